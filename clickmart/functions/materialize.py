@@ -1,0 +1,23 @@
+"""Materialise an intermediate result that several branches of one plan read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the reliable checkpoint folder and go on from there.
+
+    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session without one gets a temporary folder;
+    on a cluster the folder must be shared storage, so a missing setting is an error.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="clickmart-checkpoint-"))
+    return df.checkpoint()

@@ -1,0 +1,503 @@
+"""Every job of the library on the driver's tables, by name."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from clickmart.functions.totals import stack_rows
+from clickmart.operators import explore, journeys, marts, products, quality, reconcile, traffic
+from clickmart.operators.journeys import FunnelStep
+from clickmart.plans import metrics
+from clickmart.sources.bindings import PRODUCT_TYPES, DriverTables
+from clickmart.sources.schemas import RELATIONS
+
+# The funnel of `events`; errors are no step.
+EVENT_FUNNEL = (
+    FunnelStep(1, "session_started", "Session started", ()),
+    FunnelStep(2, "reached_view", "View", ("/view",)),
+    FunnelStep(3, "reached_click", "Click", ("/click",)),
+    FunnelStep(4, "reached_signup", "Signup", ("/signup",)),
+    FunnelStep(5, "completed_order", "Order completed", ("/purchase",)),
+)
+EVENT_PAGES = ["/view", "/click", "/signup", "/purchase", "/error"]
+
+# Volume floors that cut some groups and keep some at sf 0.01.
+MIN_CAMPAIGN_SESSIONS = 250
+MIN_LANDING_SESSIONS = 800
+
+JOBS: dict[str, Callable[[DriverTables], DataFrame]] = {}
+
+
+def job(function: Callable[[DriverTables], DataFrame]) -> Callable[[DriverTables], DataFrame]:
+    JOBS[function.__name__] = function
+    return function
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def bind(run: Callable[[DriverTables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: run(DriverTables(spark, sf_dir))
+
+    return {name: bind(run) for name, run in JOBS.items()}
+
+
+def _all_tables(t: DriverTables, items: DataFrame | None = None) -> dict[str, DataFrame]:
+    return {
+        "products": t.products(),
+        "website_sessions": t.sessions(),
+        "website_pageviews": t.pageviews(),
+        "orders": t.orders(),
+        "order_items": t.lines() if items is None else items,
+        "order_item_refunds": t.refunds(),
+    }
+
+
+# --- Exploration ---
+
+
+@job
+def row_counts(t):
+    return explore.row_counts(_all_tables(t))
+
+
+@job
+def date_ranges(t):
+    return explore.date_ranges(_all_tables(t, t.dated_lines()))
+
+
+@job
+def product_catalog(t):
+    return explore.product_catalog(t.products())
+
+
+@job
+def sessions_by_source(t):
+    return explore.sessions_by(t.sessions(), "utm_source", "direct_or_none")
+
+
+@job
+def sessions_by_campaign(t):
+    return explore.sessions_by(t.sessions(), "utm_campaign", "no_campaign")
+
+
+@job
+def sessions_by_content(t):
+    return explore.sessions_by(t.sessions(), "utm_content", "no_content")
+
+
+@job
+def sessions_by_device(t):
+    return explore.sessions_by(t.sessions(), "device_type")
+
+
+@job
+def referer_sessions(t):
+    return explore.sessions_by(t.sessions(), "http_referer")
+
+
+@job
+def pageviews_by_url(t):
+    return explore.pageviews_by_url(t.pageviews())
+
+
+@job
+def landing_page_sessions(t):
+    return explore.landing_page_sessions(t.pageviews())
+
+
+# --- Data quality ---
+
+
+@job
+def pk_uniqueness(t):
+    return quality.pk_uniqueness(_all_tables(t))
+
+
+@job
+def pk_nulls(t):
+    return quality.pk_nulls(_all_tables(t))
+
+
+@job
+def fk_orphans(t):
+    path_a = {
+        "website_sessions": t.sessions(),
+        "website_pageviews": t.pageviews(),
+        "orders": t.session_orders(),
+    }
+    path_b = {
+        "products": t.products(),
+        "orders": t.orders_with_primary(),
+        "order_items": t.lines(),
+        "order_item_refunds": t.refunds(),
+    }
+    to_session = [relation for relation in RELATIONS if relation.parent == "website_sessions"]
+    others = [relation for relation in RELATIONS if relation.parent != "website_sessions"]
+    return stack_rows([quality.fk_orphans(path_a, to_session), quality.fk_orphans(path_b, others)])
+
+
+@job
+def orders_per_session(t):
+    return quality.most_per_parent(
+        t.session_orders(), "website_session_id", "max_orders_per_session", "sessions_with_multiple_orders"
+    )
+
+
+@job
+def pageviews_per_session(t):
+    return quality.spread_per_parent(t.pageviews(), "website_session_id", "pageviews_per_session")
+
+
+@job
+def items_per_order(t):
+    return quality.spread_per_parent(t.lines(), "order_id", "items_per_order")
+
+
+@job
+def refunds_per_item(t):
+    return quality.most_per_parent(
+        t.refunds(), "order_item_id", "max_refunds_per_order_item", "order_items_with_multiple_refunds"
+    )
+
+
+@job
+def orders_before_session(t):
+    return quality.events_before_parent(
+        t.session_orders(), t.sessions(), "website_session_id", "orders_before_session_count"
+    )
+
+
+@job
+def pageviews_before_session(t):
+    return quality.events_before_parent(
+        t.pageviews(), t.sessions(), "website_session_id", "pageviews_before_session_count"
+    )
+
+
+@job
+def refunds_before_item(t):
+    return quality.events_before_parent(
+        t.refunds(), t.dated_lines(), "order_item_id", "refunds_before_order_item_count"
+    )
+
+
+@job
+def refunds_before_order(t):
+    return quality.events_before_parent(t.refunds(), t.orders(), "order_id", "refunds_before_order_count")
+
+
+# --- KPIs ---
+
+
+@job
+def core_kpis(t):
+    return traffic.core_kpis(t.sessions(), t.session_orders(), t.session_refunds())
+
+
+@job
+def monthly_kpis(t):
+    return traffic.period_kpis(t.sessions(), t.session_orders(), t.session_refunds(), grain="day")
+
+
+@job
+def source_performance(t):
+    labels = {"utm_source": "direct_or_none"}
+    return traffic.segment_performance(t.sessions(), t.session_orders(), ["utm_source"], labels)
+
+
+@job
+def campaign_performance(t):
+    labels = {"utm_campaign": "no_campaign"}
+    return traffic.segment_performance(t.sessions(), t.session_orders(), ["utm_campaign"], labels)
+
+
+@job
+def device_performance(t):
+    return traffic.segment_performance(t.sessions(), t.session_orders(), ["device_type"])
+
+
+@job
+def product_performance(t):
+    return products.product_performance(t.lines(), t.products(), t.refunds())
+
+
+# --- Business analysis ---
+
+
+@job
+def monthly_growth(t):
+    return traffic.period_growth(t.sessions(), t.session_orders(), grain="day")
+
+
+@job
+def source_campaign_segments(t):
+    return traffic.source_campaign_segments(
+        t.sessions(), t.session_orders(), explore.NULL_LABELS, min_sessions=MIN_CAMPAIGN_SESSIONS
+    )
+
+
+@job
+def device_opportunity(t):
+    return traffic.device_opportunity(t.sessions(), t.session_orders())
+
+
+@job
+def product_refund_risk(t):
+    return products.product_refund_risk(t.lines(), t.products(), t.refunds())
+
+
+@job
+def landing_page_performance(t):
+    return journeys.landing_page_performance(
+        t.pageviews(), t.sessions(), t.session_orders(), min_sessions=MIN_LANDING_SESSIONS
+    )
+
+
+@job
+def funnel_steps(t):
+    return journeys.funnel_steps(t.pageviews(), EVENT_FUNNEL)
+
+
+# --- Notebook jobs ---
+
+
+@job
+def core_kpis_check(t):
+    return traffic.core_kpis_check(t.sessions(), t.session_orders(), t.session_refunds())
+
+
+@job
+def monthly_trend(t):
+    return traffic.period_kpis(t.sessions(), t.session_orders(), grain="day")
+
+
+@job
+def monthly_items_per_order(t):
+    return products.items_per_order_by_period(t.dated_lines())
+
+
+@job
+def monthly_product_sales(t):
+    return products.product_sales_by_period(t.dated_lines(), t.products())
+
+
+def _type_sales(t: DriverTables) -> DataFrame:
+    return products.product_sales_by_period(t.dated_lines(), t.products(), label="product_type")
+
+
+@job
+def monthly_items_pivot(t):
+    return products.pivot_periods(_type_sales(t), "month", "product_type", "items_sold", PRODUCT_TYPES)
+
+
+@job
+def monthly_product_mix(t):
+    return products.product_mix(_type_sales(t), label="product_type")
+
+
+@job
+def monthly_mix_pivot(t):
+    mix = products.product_mix(_type_sales(t), label="product_type")
+    return products.pivot_periods(mix, "month", "product_type", "product_share_pct", PRODUCT_TYPES)
+
+
+@job
+def product_refund_summary(t):
+    return products.product_refund_summary(t.lines(), t.products(), t.refunds())
+
+
+# --- Marts ---
+
+
+@job
+def session_landing(t):
+    return journeys.session_landing(t.pageviews())
+
+
+@job
+def session_funnel_flags(t):
+    return journeys.funnel_flags(t.pageviews(), EVENT_FUNNEL)
+
+
+@job
+def session_funnel_long(t):
+    return journeys.funnel_long(journeys.funnel_flags(t.pageviews(), EVENT_FUNNEL), EVENT_FUNNEL)
+
+
+@job
+def dim_landing_page(t):
+    return marts.dim_landing_page(t.pageviews())
+
+
+@job
+def dim_date(t):
+    return marts.dim_date(
+        {"sessions": t.sessions(), "orders": t.session_orders(), "refunds": t.session_refunds()}
+    )
+
+
+@job
+def dim_product(t):
+    return marts.dim_product(t.products())
+
+
+@job
+def dim_channel(t):
+    return marts.dim_channel(t.sessions())
+
+
+@job
+def dim_user(t):
+    return marts.dim_user(t.sessions())
+
+
+@job
+def fact_session(t):
+    return marts.fact_session(t.sessions())
+
+
+@job
+def fact_order(t):
+    return marts.fact_order(t.session_orders())
+
+
+@job
+def fact_order_item(t):
+    return marts.fact_order_item(t.items())
+
+
+@job
+def fact_refund(t):
+    return marts.fact_refund(t.refunds())
+
+
+# --- Metric registry ---
+
+
+def _session_model(t: DriverTables) -> dict[str, DataFrame]:
+    return metrics.build_model(
+        {
+            "website_sessions": t.sessions(),
+            "orders": t.session_orders(),
+            "order_items": t.session_items(),
+            "order_item_refunds": t.session_refunds(),
+            "products": t.products(),
+        }
+    )
+
+
+CHANNEL_METRICS = [
+    "total_sessions",
+    "total_orders",
+    "channel_conversion_rate",
+    "gross_revenue",
+    "channel_revenue_per_session",
+    "net_revenue",
+    "refunded_orders",
+    "distinct_users",
+]
+REPEAT_METRICS = [
+    "total_sessions",
+    "new_sessions",
+    "repeat_sessions",
+    "repeat_session_share",
+    "orders_from_repeat_sessions",
+    "repeat_session_conversion_rate",
+    "distinct_users",
+]
+FIRST_WEEKS = (dt.date(2024, 1, 5), dt.date(2024, 1, 20))
+
+
+@job
+def metrics_overall(t):
+    return metrics.compute(_session_model(t))
+
+
+@job
+def metrics_by_source(t):
+    return metrics.compute(_session_model(t), by=["utm_source"])
+
+
+@job
+def metrics_by_device(t):
+    return metrics.compute(_session_model(t), CHANNEL_METRICS, by=["device_type"])
+
+
+@job
+def new_vs_repeat(t):
+    return metrics.compute(_session_model(t), REPEAT_METRICS, by=["device_type"])
+
+
+@job
+def revenue_by_order_date(t):
+    model = metrics.build_model({"orders": t.orders()})
+    chosen = ["total_orders", "gross_revenue_order_date", "average_order_value", "gross_margin_rate"]
+    return metrics.compute(model, chosen, by=["date"], date_role="order")
+
+
+@job
+def product_mix_pct(t):
+    model = metrics.build_model(
+        {"order_items": t.items(), "order_item_refunds": t.refunds(), "products": t.products()}
+    )
+    chosen = ["items_sold", "product_mix", "product_net_revenue", "item_refund_rate"]
+    return metrics.compute(model, chosen, by=["product_name"])
+
+
+@job
+def metrics_filtered(t):
+    return metrics.compute(
+        _session_model(t),
+        CHANNEL_METRICS,
+        by=["utm_campaign"],
+        filters={
+            "device_type": "desktop",
+            "utm_source": ["gsearch", "bsearch"],
+            "date": lambda day: day.between(*FIRST_WEEKS),
+        },
+    )
+
+
+# --- Reconciliation and documented uses ---
+
+
+@job
+def kpi_reconciliation(t):
+    return reconcile.kpi_reconciliation(t.sessions(), t.session_orders(), t.session_refunds())
+
+
+@job
+def header_line_reconciliation(t):
+    return quality.header_line_reconciliation(t.orders(), t.lines())
+
+
+@job
+def refund_consistency(t):
+    return quality.refund_consistency(t.session_items(), t.session_refunds())
+
+
+@job
+def landing_rule_agreement(t):
+    return journeys.landing_rule_agreement(t.pageviews())
+
+
+@job
+def time_to_refund(t):
+    return products.time_to_refund(t.refunds(), t.orders(), "order_id")
+
+
+@job
+def attach_rate(t):
+    return products.attach_rate(t.items())
+
+
+@job
+def user_cohorts(t):
+    return traffic.user_cohorts(t.sessions(), grain="week")
+
+
+@job
+def session_paths(t):
+    return journeys.session_paths(t.pageviews(), EVENT_PAGES)
