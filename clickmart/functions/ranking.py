@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_over_all(df: DataFrame, value: str, name: str, ranges: int = 200) -> DataFrame:
+def rank_over_all(
+    df: DataFrame, value: str, name: str, among: DataFrame | None = None, ranges: int = 200
+) -> DataFrame:
     """Add ``RANK() OVER (ORDER BY value DESC NULLS FIRST)`` as the bigint column ``name``.
 
     Equal values are counted first, so ties, however many, are one row. The distinct values are cut into ranges of
     about equal size; a rank is the number of rows in higher ranges plus the number above within the range. Where the
-    cuts fall only affects the balance, never the result. ``df`` is read several times: pass a settled one.
+    cuts fall only affects the balance, never the result. The values are read from ``among``, several times: pass a
+    settled table. It is ``df`` itself unless a plainer table with the same rows is at hand.
     """
-    ties = df.groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_rows"))
+    among = df if among is None else among
+    ties = among.groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_rows"))
     points = [(i + 1) / ranges for i in range(ranges - 1)]
     cuts = ties.agg(F.percentile_approx("_value", points)).scalar()
     cut = ties.withColumn("_cuts", cuts).select(

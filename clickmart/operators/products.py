@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickmart.functions.materialize import settle
@@ -35,29 +35,42 @@ def product_totals(items: DataFrame, refunds: DataFrame) -> DataFrame:
     )
 
 
-def _rated_products(totals: DataFrame, products: DataFrame) -> DataFrame:
-    """Named and rated products. The join comes after the aggregate and meets one row per product."""
+def _ratings(*names: str) -> list[Column]:
+    """The named columns of a product report, from product totals."""
     gross, cogs = F.col("revenue"), F.col("cogs")
-    refunded, sold = count_or_zero("refund_rows"), F.col("items_sold")
-    return totals.join(products.select("product_id", "product_name"), "product_id").select(
-        "product_id",
-        "product_name",
-        "items_sold",
-        money(gross).alias("gross_revenue"),
-        money(cogs).alias("total_cogs"),
-        money(gross - cogs).alias("gross_margin"),
-        pct(gross - cogs, money(gross)).alias("gross_margin_rate_pct"),
-        refunded.alias("refunded_items"),
-        money_or_zero("refund_amount").alias("refund_amount"),
-        pct(refunded, sold).alias("item_refund_rate_pct"),
-        money(money(gross) - money_or_zero("refund_amount")).alias("net_revenue"),
-    )
+    refunded, amount, sold = count_or_zero("refund_rows"), money_or_zero("refund_amount"), F.col("items_sold")
+    ratings = {
+        "items_sold": sold,
+        "gross_revenue": money(gross),
+        "total_cogs": money(cogs),
+        "gross_margin": money(gross - cogs),
+        "gross_margin_rate_pct": pct(gross - cogs, money(gross)),
+        "refunded_items": refunded,
+        "refund_amount": amount,
+        "item_refund_rate_pct": pct(refunded, sold),
+        "net_revenue": money(money(gross) - amount),
+    }
+    return [ratings[name].alias(name) for name in names]
 
 
 def product_performance(items: DataFrame, products: DataFrame, refunds: DataFrame) -> DataFrame:
-    return _rated_products(product_totals(items, refunds), products).orderBy(
-        F.desc_nulls_first("gross_revenue"), "product_id"
-    )
+    """Sales, margin and refunds per product. Products are joined after the aggregate, one row each."""
+    named = product_totals(items, refunds).join(products.select("product_id", "product_name"), "product_id")
+    return named.select(
+        "product_id",
+        "product_name",
+        *_ratings(
+            "items_sold",
+            "gross_revenue",
+            "total_cogs",
+            "gross_margin",
+            "gross_margin_rate_pct",
+            "refunded_items",
+            "refund_amount",
+            "item_refund_rate_pct",
+            "net_revenue",
+        ),
+    ).orderBy(F.desc_nulls_first("gross_revenue"), "product_id")
 
 
 def product_refund_risk(
@@ -69,16 +82,31 @@ def product_refund_risk(
 ) -> DataFrame:
     """Products with their ranks by net revenue and refund rate and a status.
 
-    The totals per product are settled once; the site's refund rate, both ranks and the maximum are read from them.
+    The totals per product are settled once; the site's refund rate, which also counts lines of unknown products, both
+    ranks and the maximum are read from them.
     """
-    totals = settle(product_totals(items, refunds))
+    known = products.select("product_id", "product_name", F.lit(True).alias("is_known"))
+    totals = settle(product_totals(items, refunds).join(known, "product_id", "left"))
     overall = as_row(
         totals.agg(pct(F.sum(count_or_zero("refund_rows")), F.sum("items_sold")).alias("refund_rate"))
     )
-    rated = settle(_rated_products(totals, products))
+    rated = totals.where("is_known").select(
+        "product_id",
+        "product_name",
+        *_ratings(
+            "items_sold",
+            "gross_revenue",
+            "gross_margin",
+            "gross_margin_rate_pct",
+            "refunded_items",
+            "refund_amount",
+            "item_refund_rate_pct",
+            "net_revenue",
+        ),
+    )
     best = as_row(rated.agg(F.max("net_revenue").alias("net_revenue")))
     ranked = rank_over_all(rated, "net_revenue", "net_revenue_rank")
-    ranked = rank_over_all(ranked, "item_refund_rate_pct", "refund_rate_rank")
+    ranked = rank_over_all(ranked, "item_refund_rate_pct", "refund_rate_rank", among=rated)
     ranked = ranked.withColumn("overall_item_refund_rate_pct", overall["refund_rate"])
     # Status labels; the first rule that holds decides.
     status = (
@@ -91,22 +119,9 @@ def product_refund_risk(
         .when(F.col("gross_margin_rate_pct") >= min_margin_pct, "strong_margin_product")
         .otherwise("standard_product")
     )
-    return ranked.select(
-        "product_id",
-        "product_name",
-        "items_sold",
-        "gross_revenue",
-        "gross_margin",
-        "gross_margin_rate_pct",
-        "refunded_items",
-        "refund_amount",
-        "item_refund_rate_pct",
-        "overall_item_refund_rate_pct",
-        "net_revenue",
-        "net_revenue_rank",
-        "refund_rate_rank",
-        status.alias("product_business_status"),
-    ).orderBy(F.desc_nulls_first("net_revenue"), "product_id")
+    return ranked.withColumn("product_business_status", status).orderBy(
+        F.desc_nulls_first("net_revenue"), "product_id"
+    )
 
 
 def product_refund_summary(
@@ -114,25 +129,22 @@ def product_refund_summary(
 ) -> DataFrame:
     """Sales and refunds per product label; products that share a name are one group, nameless lines are left out."""
     named = products.where(F.col(label).isNotNull()).select("product_id", label)
-    gross, refunded = money_or_zero("revenue"), money_or_zero("refund_amount")
+    sums = ("items_sold", "revenue", "cogs", "refund_rows", "refund_amount")
     return (
         product_totals(items, refunds)
         .join(named, "product_id")
         .groupBy(label)
-        .agg(
-            *[
-                F.sum(name).alias(name)
-                for name in ("items_sold", "revenue", "refund_rows", "refund_amount")
-            ]
-        )
+        .agg(*[F.sum(name).alias(name) for name in sums])
         .select(
             label,
-            "items_sold",
-            count_or_zero("refund_rows").alias("refunded_items"),
-            gross.alias("gross_revenue"),
-            refunded.alias("refund_amount"),
-            pct(count_or_zero("refund_rows"), F.col("items_sold")).alias("item_refund_rate_pct"),
-            money(gross - refunded).alias("net_revenue"),
+            *_ratings(
+                "items_sold",
+                "refunded_items",
+                "gross_revenue",
+                "refund_amount",
+                "item_refund_rate_pct",
+                "net_revenue",
+            ),
         )
         .orderBy(F.desc("item_refund_rate_pct"), label)
     )

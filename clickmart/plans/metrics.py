@@ -322,9 +322,11 @@ def compute(
     they apply before aggregation.
     """
     metrics, by, filters = tuple(metrics), tuple(by), dict(filters or {})
+    by_date = "date" in by or "date" in filters
     groups: dict[tuple[str, str], list[str]] = {}
     for name in _base_names(metrics):
-        groups.setdefault((BASE[name].fact, BASE[name].date_role or date_role), []).append(name)
+        role = (BASE[name].date_role if by_date else None) or date_role
+        groups.setdefault((BASE[name].fact, role), []).append(name)
     parts = [_fact_totals(model, names, by, filters, role) for (_, role), names in groups.items()]
     totals = merge_totals(parts, by)
     if "product_mix" in metrics:

@@ -23,9 +23,12 @@ class DriverTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark = spark
         self._dir = sf_dir
+        self._opened: dict[str, DataFrame] = {}
 
     def _read(self, table: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{table}.parquet")
+        if table not in self._opened:
+            self._opened[table] = self._spark.read.parquet(f"{self._dir}/{table}.parquet")
+        return self._opened[table]
 
     # --- Path A ---
 
@@ -179,21 +182,26 @@ class DriverTables:
         times = self.orders().select("order_id", "created_at")
         return self.lines().join(times, "order_id", "left")
 
-    def primary_lines(self) -> DataFrame:
-        """The line with the least id of every order."""
-        return self.lines().groupBy("order_id").agg(
-            F.min("order_item_id").alias("primary_item_id"),
-            F.min_by("product_id", "order_item_id").alias("primary_product_id"),
+    def _headers(self) -> DataFrame:
+        """Time, primary line (the one with the least id) and its product of every order, in one aggregate.
+
+        As it is grouped by order, a left join to it disappears from plans that use none of its columns.
+        """
+        times = self.orders().select("order_id", "created_at")
+        lines = self.lines().select("order_id", "order_item_id", "product_id")
+        return (
+            times.unionByName(lines, allowMissingColumns=True)
+            .groupBy("order_id")
+            .agg(
+                F.max("created_at").alias("created_at"),
+                F.min("order_item_id").alias("primary_item_id"),
+                F.min_by("product_id", "order_item_id").alias("primary_product_id"),
+            )
         )
 
     def items(self) -> DataFrame:
         """Order lines with all columns of the schema."""
-        headers = (
-            self.orders()
-            .select("order_id", "created_at")
-            .join(self.primary_lines(), "order_id", "full")
-            .drop("primary_product_id")
-        )
+        headers = self._headers().drop("primary_product_id")
         return (
             self.lines()
             .join(headers, "order_id", "left")
@@ -202,7 +210,8 @@ class DriverTables:
         )
 
     def orders_with_primary(self) -> DataFrame:
-        return self.orders().join(self.primary_lines().drop("primary_item_id"), "order_id", "left")
+        headers = self._headers().select("order_id", "primary_product_id")
+        return self.orders().join(headers, "order_id", "left")
 
     def refunds(self) -> DataFrame:
         return (
