@@ -517,32 +517,32 @@ METRIC_SQL = {
     "new_sessions": "s_n - s_repeat",
     "repeat_sessions": "s_repeat",
     "repeat_session_share": fraction("s_repeat", "s_n"),
-    "total_orders": "o_n",
-    "conversion_rate": fraction("o_n", "s_n"),
-    "session_conversion_rate": fraction("o_n", "s_n"),
+    "total_orders": "COALESCE(o_n, 0)",
+    "conversion_rate": fraction("COALESCE(o_n, 0)", "s_n"),
+    "session_conversion_rate": fraction("COALESCE(o_n, 0)", "s_n"),
     "gross_revenue": usd("o_usd"),
     "gross_revenue_order_date": usd("o_usd"),
     "average_order_value": fraction_usd("o_usd", "o_n", True),
     "revenue_per_session": fraction_usd("o_usd", "s_n", True),
-    "net_revenue": usd("o_usd - r_usd"),
-    "net_revenue_per_session": fraction_usd("o_usd - r_usd", "s_n", True),
+    "net_revenue": usd("o_usd - COALESCE(r_usd, 0)"),
+    "net_revenue_per_session": fraction_usd("o_usd - COALESCE(r_usd, 0)", "s_n", True),
     "gross_margin": usd("o_margin"),
     "gross_margin_rate": fraction_usd("o_margin", "o_usd"),
     "refund_amount": usd("r_usd"),
-    "refunded_items": "r_n",
-    "refunded_orders": "r_orders",
+    "refunded_items": "COALESCE(r_n, 0)",
+    "refunded_orders": "COALESCE(r_orders, 0)",
     "refund_share_of_revenue": fraction_usd("r_usd", "o_usd"),
-    "refund_order_rate": fraction("r_orders", "o_n"),
-    "items_sold": "o_n",
+    "refund_order_rate": fraction("COALESCE(r_orders, 0)", "o_n"),
+    "items_sold": "COALESCE(o_n, 0)",
     "product_gross_revenue": usd("o_usd"),
-    "product_net_revenue": usd("o_usd - r_usd"),
+    "product_net_revenue": usd("o_usd - COALESCE(r_usd, 0)"),
     "product_refund_amount": usd("r_usd"),
-    "item_refund_rate": fraction("r_n", "o_n"),
+    "item_refund_rate": fraction("COALESCE(r_n, 0)", "o_n"),
     "product_mix": fraction("o_n", "o_n"),
-    "channel_conversion_rate": fraction("o_n", "s_n"),
+    "channel_conversion_rate": fraction("COALESCE(o_n, 0)", "s_n"),
     "channel_revenue_per_session": fraction_usd("o_usd", "s_n", True),
-    "orders_from_repeat_sessions": "o_repeat",
-    "repeat_session_conversion_rate": fraction("o_repeat", "s_repeat"),
+    "orders_from_repeat_sessions": "COALESCE(o_repeat, 0)",
+    "repeat_session_conversion_rate": fraction("COALESCE(o_repeat, 0)", "s_repeat"),
     "distinct_users": "s_users",
 }
 
