@@ -5,41 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickmart.functions.materialize import settle
 
-def rank_over_all(
-    df: DataFrame, value: str, name: str, among: DataFrame | None = None, ranges: int = 200
-) -> DataFrame:
+
+def rank_over_all(df: DataFrame, value: str, name: str, among: DataFrame | None = None) -> DataFrame:
     """Add ``RANK() OVER (ORDER BY value DESC NULLS FIRST)`` as the bigint column ``name``.
 
-    Equal values are counted first, so ties, however many, are one row. The distinct values are cut into ranges of
-    about equal size; a rank is the number of rows in higher ranges plus the number above within the range. Where the
-    cuts fall only affects the balance, never the result. The values are read from ``among``, several times: pass a
-    settled table. It is ``df`` itself unless a plainer table with the same rows is at hand.
+    Equal values are counted first, so ties, however many, are one row. The distinct values are partitioned by range
+    and settled with the number of their range; a rank is the number of rows in higher ranges plus the number above
+    within the range. The values are read from ``among``: ``df`` itself unless a plainer table with the same rows is
+    at hand.
     """
-    among = df if among is None else among
-    ties = among.groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_rows"))
-    points = [(i + 1) / ranges for i in range(ranges - 1)]
-    cuts = ties.agg(F.percentile_approx("_value", points)).scalar()
-    cut = ties.withColumn("_cuts", cuts).select(
-        "_value",
-        "_rows",
-        F.coalesce(F.size(F.filter("_cuts", lambda c: c > F.col("_value"))), F.lit(0)).alias("_range"),
-    )
+    ties = (df if among is None else among).groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_rows"))
+    descending = F.desc_nulls_first("_value")
+    ranges = settle(ties.repartitionByRange(descending).withColumn("_range", F.spark_partition_id()))
 
-    # At most `ranges` rows from here, whatever the size of df.
-    in_order = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range from here, which is at most one per shuffle partition.
+    above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     higher = (
-        cut.groupBy("_range")
+        ranges.groupBy("_range")
         .agg(F.sum("_rows").alias("_rows"))
-        .select("_range", F.coalesce(F.sum("_rows").over(in_order), F.lit(0)).alias("_higher"))
+        .select("_range", F.coalesce(F.sum("_rows").over(above), F.lit(0)).alias("_higher"))
     )
 
-    within = (
-        Window.partitionBy("_range")
-        .orderBy(F.desc_nulls_first("_value"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ranked = cut.join(F.broadcast(higher), "_range").select(
+    within = Window.partitionBy("_range").orderBy(descending).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranges.join(F.broadcast(higher), "_range").select(
         "_value",
         (1 + F.col("_higher") + F.coalesce(F.sum("_rows").over(within), F.lit(0))).cast("bigint").alias(name),
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickmart.functions.periods import calendar_parts
@@ -16,14 +18,8 @@ def _named(column: str) -> Column:
     return F.coalesce(F.nullif(column, F.lit("")), F.lit(NULL_LABELS[column]))
 
 
-def dim_date(facts: dict[str, DataFrame], ts: str = "created_at") -> DataFrame:
-    """One row per day from the first to the last event of any fact, so no event falls off the calendar."""
-    bounds = stack_rows(
-        [
-            df.agg(F.to_date(F.min(ts)).alias("first"), F.to_date(F.max(ts)).alias("last"))
-            for df in facts.values()
-        ]
-    ).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+def _calendar(bounds: DataFrame) -> DataFrame:
+    """One row per day of a one-row table of (first, last)."""
     return (
         bounds.select(F.explode(F.sequence("first", "last")).alias("date"))
         .select("date", *calendar_parts("date"))
@@ -31,6 +27,20 @@ def dim_date(facts: dict[str, DataFrame], ts: str = "created_at") -> DataFrame:
     )
 
 
+def dim_date(facts: dict[str, DataFrame], ts: str = "created_at") -> DataFrame:
+    """One row per day from the first to the last event of any fact, so no event falls off the calendar."""
+    bounds = [
+        df.agg(F.to_date(F.min(ts)).alias("first"), F.to_date(F.max(ts)).alias("last"))
+        for df in facts.values()
+    ]
+    return _calendar(stack_rows(bounds).agg(F.min("first").alias("first"), F.max("last").alias("last")))
+
+
+def dim_date_between(spark: SparkSession, first: date, last: date) -> DataFrame:
+    """One row per day between two given dates."""
+    return _calendar(spark.createDataFrame([(first, last)], "first date, last date"))
+
+
 def dim_product(products: DataFrame) -> DataFrame:
     return products.select("product_id", "product_name", F.to_date("created_at").alias("launch_date"))
 

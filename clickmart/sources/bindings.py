@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 USD_A = "decimal(10,2)"
 USD_B = "decimal(12,2)"
 
+# Columns of the driver's tables that are used, so that no file is opened to find them out.
+COLUMNS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "part": "p_partkey bigint, p_name string, p_type string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz",
+}
+
 # Product types of `part`, for pivots.
 PRODUCT_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
@@ -27,7 +36,7 @@ class DriverTables:
 
     def _read(self, table: str) -> DataFrame:
         if table not in self._opened:
-            self._opened[table] = self._spark.read.parquet(f"{self._dir}/{table}.parquet")
+            self._opened[table] = self._spark.read.schema(COLUMNS[table]).parquet(f"{self._dir}/{table}.parquet")
         return self._opened[table]
 
     # --- Path A ---
@@ -162,7 +171,7 @@ class DriverTables:
                 "l_linenumber",
                 "l_partkey",
                 "l_suppkey",
-                F.to_date("l_shipdate"),
+                F.unix_date(F.to_date("l_shipdate")),
                 F.col("l_quantity").cast("int"),
             ).alias("order_item_id"),
             F.col("l_orderkey").alias("order_id"),

@@ -46,3 +46,9 @@ def test_other_facts_and_dimensions(make):
     assert rows(marts.dim_product(product)) == [(1, "Bear", day.date())]
     views = make("website_pageviews", "website_pageview_id created_at website_session_id pageview_url", (1, day, 1, "/a"), (2, day, 2, "/a"))
     assert rows(marts.dim_landing_page(views)) == [("/a",)]
+
+
+def test_calendar_between_given_dates(spark):
+    days = marts.dim_date_between(spark, dt.date(2012, 3, 1), dt.date(2014, 12, 31))
+    assert days.count() == 1036
+    assert rows(days)[-1] == (dt.date(2014, 12, 31), 2014, 4, 12, "December", "2014-12")

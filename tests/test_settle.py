@@ -1,0 +1,49 @@
+import subprocess
+import sys
+
+import pytest
+
+from clickmart.functions.materialize import settle
+
+SESSION = """
+import sys
+from pyspark.sql import SparkSession
+from clickmart.functions.materialize import settle
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1]).getOrCreate()
+print(settle(spark.range(5)).count())
+"""
+
+
+def test_lineage_is_cut_and_rows_stay(spark):
+    settled = settle(spark.range(10).where("id > 3"))
+    assert sorted(r.id for r in settled.collect()) == [4, 5, 6, 7, 8, 9]
+    assert "Range" not in settled._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_clusters_folder_is_used(tmp_path):
+    done = subprocess.run(
+        [sys.executable, "-c", SESSION, str(tmp_path)], capture_output=True, text=True, timeout=120
+    )
+    assert done.stdout.strip() == "5", done.stderr
+    assert any(tmp_path.rglob("part-*"))
+
+
+def test_a_cluster_without_a_folder_is_an_error(monkeypatch):
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    class Frame:
+        sparkSession = Session()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        settle(Frame())

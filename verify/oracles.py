@@ -132,8 +132,9 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
     "ln": (
         (),
         """
-        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE),
-                         CAST(l_quantity AS INT)) AS order_item_id,
+        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                         date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)), CAST(l_quantity AS INT))
+                 AS order_item_id,
                l_orderkey AS order_id, l_partkey AS product_id, l_shipdate, l_returnflag,
                CAST(l_extendedprice AS DECIMAL(12,2)) AS price_usd,
                CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (l_partkey % 50 + 20) * 0.01 AS DECIMAL(12,2))
