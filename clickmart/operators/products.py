@@ -232,11 +232,15 @@ def time_to_refund(refunds: DataFrame, started: DataFrame, key: str) -> DataFram
 def attach_rate(items: DataFrame) -> DataFrame:
     """How often orders with a primary product also hold an add-on product.
 
-    Baskets are folded to one row per order and product, and an order has one primary line, so the join emits at most
-    one row per basket entry instead of all pairs of an order.
+    Add-ons are folded to one row per order and product, and an order has one primary product (that of its first
+    primary line, should there be several), so the join emits one row per add-on instead of all pairs of an order.
     """
     is_primary = F.col("is_primary_item") == 1
-    primaries = items.where(is_primary).select("order_id", F.col("product_id").alias("primary_product_id"))
+    primaries = (
+        items.where(is_primary)
+        .groupBy("order_id")
+        .agg(F.min_by("product_id", "order_item_id").alias("primary_product_id"))
+    )
     add_ons = (
         items.where(~is_primary)
         .groupBy("order_id", F.col("product_id").alias("add_on_product_id"))

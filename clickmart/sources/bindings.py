@@ -191,36 +191,32 @@ class DriverTables:
         times = self.orders().select("order_id", "created_at")
         return self.lines().join(times, "order_id", "left")
 
-    def _headers(self) -> DataFrame:
-        """Time, primary line (the one with the least id) and its product of every order, in one aggregate.
+    def primary_lines(self) -> DataFrame:
+        """The line with the least id of every order, and its product."""
+        return self.lines().groupBy("order_id").agg(
+            F.min("order_item_id").alias("primary_item_id"),
+            F.min_by("product_id", "order_item_id").alias("primary_product_id"),
+        )
 
-        As it is grouped by order, a left join to it disappears from plans that use none of its columns.
-        """
-        times = self.orders().select("order_id", "created_at")
-        lines = self.lines().select("order_id", "order_item_id", "product_id")
-        return (
-            times.unionByName(lines, allowMissingColumns=True)
-            .groupBy("order_id")
-            .agg(
-                F.max("created_at").alias("created_at"),
-                F.min("order_item_id").alias("primary_item_id"),
-                F.min_by("product_id", "order_item_id").alias("primary_product_id"),
-            )
+    def _flag_primary(self, lines: DataFrame) -> DataFrame:
+        """Lines with is_primary_item. The join is by line id, so the lines of a large order stay spread out."""
+        flags = self.primary_lines().select(
+            F.col("primary_item_id").alias("order_item_id"), F.lit(1).alias("is_primary_item")
         )
+        return lines.join(flags, "order_item_id", "left").withColumn(
+            "is_primary_item", F.coalesce("is_primary_item", F.lit(0))
+        )
+
+    def flagged_lines(self) -> DataFrame:
+        """Order lines with the primary flag, without the time."""
+        return self._flag_primary(self.lines())
 
     def items(self) -> DataFrame:
         """Order lines with all columns of the schema."""
-        headers = self._headers().drop("primary_product_id")
-        return (
-            self.lines()
-            .join(headers, "order_id", "left")
-            .withColumn("is_primary_item", (F.col("order_item_id") == F.col("primary_item_id")).cast("int"))
-            .drop("primary_item_id")
-        )
+        return self._flag_primary(self.dated_lines())
 
     def orders_with_primary(self) -> DataFrame:
-        headers = self._headers().select("order_id", "primary_product_id")
-        return self.orders().join(headers, "order_id", "left")
+        return self.orders().join(self.primary_lines().drop("primary_item_id"), "order_id", "left")
 
     def refunds(self) -> DataFrame:
         return (

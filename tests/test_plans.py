@@ -54,8 +54,8 @@ def test_products_meet_totals_not_lines(plan_settings):
     assert "keys=[product_id" in text[join : text.index("SortMergeJoin [order_item_id")]
 
 
-def test_unused_order_headers_are_not_joined(plan_settings):
-    assert "o_orderdate" not in plan(plan_settings, "product_mix_pct")
+def test_primary_flags_are_joined_by_line_not_by_order(plan_settings):
+    assert "SortMergeJoin [order_item_id" in plan(plan_settings, "fact_order_item")
 
 
 def test_flags_are_hash_aggregated(plan_settings):

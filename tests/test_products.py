@@ -168,3 +168,14 @@ def test_attach_rate(shop):
         (1, 2, 2, 1, 1, usd("50.00")),
         (9, 4, 1, 1, 2, usd("100.00")),  # the add-on twice in one order
     ]
+
+
+def test_attach_rate_with_several_primary_lines_in_an_order(make):
+    items = make(
+        "order_items",
+        "order_item_id order_id product_id is_primary_item",
+        (1, 1, 5, 1),
+        (2, 1, 6, 1),
+        (3, 1, 7, 0),
+    )
+    assert rows(jobs.attach_rate(items)) == [(5, 7, 1, 1, 1, usd("100.00"))]

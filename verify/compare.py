@@ -27,6 +27,8 @@ def local_session(cpus: str = "8", app: str = "clickmart-verify") -> SparkSessio
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -439,9 +439,8 @@ def revenue_by_order_date(t):
 
 @job
 def product_mix_pct(t):
-    model = metrics.build_model(
-        {"order_items": t.items(), "order_item_refunds": t.refunds(), "products": t.products()}
-    )
+    model = metrics.build_model({"order_item_refunds": t.refunds(), "products": t.products()})
+    model["items"] = t.lines()  # dates and flags are not asked for
     chosen = ["items_sold", "product_mix", "product_net_revenue", "item_refund_rate"]
     return metrics.compute(model, chosen, by=["product_name"])
 
@@ -490,7 +489,7 @@ def time_to_refund(t):
 
 @job
 def attach_rate(t):
-    return products.attach_rate(t.items())
+    return products.attach_rate(t.flagged_lines())
 
 
 @job
