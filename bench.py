@@ -11,8 +11,8 @@ import re
 import sys
 import time
 
-from verify import jobs
-from verify.compare import local_session
+from clickmart_checks import jobs
+from clickmart_checks.compare import local_session
 
 HEADLINES = [
     "core_kpis",

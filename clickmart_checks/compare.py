@@ -1,6 +1,6 @@
 """Run every job in Spark and its SQL in DuckDB and compare columns, types, rows and values.
 
-python -m verify.compare [sf_dir] [job ...]
+python -m clickmart_checks.compare [sf_dir] [job ...]
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import time
 import duckdb
 from pyspark.sql import DataFrame, SparkSession
 
-from verify import jobs, oracles
+from clickmart_checks import jobs, oracles
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -19,13 +19,14 @@ TABLES = (
 ).split()
 
 
-def local_session(cpus: str = "8", app: str = "clickmart-verify") -> SparkSession:
+def local_session(cpus: str = "8", app: str = "clickmart-checks") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")

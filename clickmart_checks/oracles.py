@@ -6,7 +6,7 @@ half away from zero in whole numbers (cents), which is exact in any engine.
 
 from __future__ import annotations
 
-from verify.jobs import (
+from clickmart_checks.jobs import (
     EVENT_FUNNEL,
     EVENT_PAGES,
     FIRST_WEEKS,

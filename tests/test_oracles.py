@@ -2,8 +2,8 @@
 
 import pytest
 
-from verify import jobs, oracles
-from verify.compare import TABLES, differences, duck
+from clickmart_checks import jobs, oracles
+from clickmart_checks.compare import TABLES, differences, duck
 
 PLAIN = "/root/testdata/sf0.001"
 

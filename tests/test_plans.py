@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from verify import jobs
+from clickmart_checks import jobs
 
 SF = "/root/testdata/sf0.001"
 
