@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickmart.functions.materialize import settle
@@ -232,28 +232,29 @@ def time_to_refund(refunds: DataFrame, started: DataFrame, key: str) -> DataFram
 def attach_rate(items: DataFrame) -> DataFrame:
     """How often orders with a primary product also hold an add-on product.
 
-    Add-ons are folded to one row per order and product, and an order has one primary product (that of its first
-    primary line, should there be several), so the join emits one row per add-on instead of all pairs of an order.
+    Baskets are folded to one row per order and product before they meet their primary product (that of the first
+    primary line, should there be several). So an order brings at most one row per product of the catalog, however many
+    lines it has, and the pairs are one per add-on, never all pairs of an order. Both windows are bounded by the catalog.
     """
     is_primary = F.col("is_primary_item") == 1
-    primaries = (
-        items.where(is_primary)
-        .groupBy("order_id")
-        .agg(F.min_by("product_id", "order_item_id").alias("primary_product_id"))
+    baskets = items.groupBy("order_id", F.col("product_id").alias("add_on_product_id")).agg(
+        F.min(F.when(is_primary, F.col("order_item_id"))).alias("primary_line"),
+        F.count_if(~is_primary).alias("add_on_items"),
     )
-    add_ons = (
-        items.where(~is_primary)
-        .groupBy("order_id", F.col("product_id").alias("add_on_product_id"))
-        .agg(F.count("*").alias("add_on_items"))
+    of_order = F.min_by("add_on_product_id", "primary_line").over(Window.partitionBy("order_id"))
+    with_primary = baskets.withColumn("primary_product_id", of_order).where("primary_product_id IS NOT NULL")
+    totals = with_primary.groupBy("primary_product_id", "add_on_product_id").agg(
+        F.count_if(F.col("add_on_items") > 0).alias("attached_orders"),
+        F.sum("add_on_items").alias("add_on_items"),
+        # An order counts for its primary product once: in the basket row that holds the primary line.
+        F.count_if(
+            F.col("primary_line").isNotNull() & (F.col("add_on_product_id") == F.col("primary_product_id"))
+        ).alias("primary_orders"),
     )
-    attached = (
-        primaries.join(add_ons, "order_id")
-        .groupBy("primary_product_id", "add_on_product_id")
-        .agg(F.count("*").alias("attached_orders"), F.sum("add_on_items").alias("add_on_items"))
-    )
-    per_primary = primaries.groupBy("primary_product_id").agg(F.count("*").alias("primary_orders"))
+    of_primary = F.sum("primary_orders").over(Window.partitionBy("primary_product_id"))
     return (
-        attached.join(per_primary, "primary_product_id")
+        totals.withColumn("primary_orders", of_primary)
+        .where("attached_orders > 0")
         .select(
             "primary_product_id",
             "add_on_product_id",
