@@ -7,11 +7,10 @@ Campaign values are invented.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-USD_A = "decimal(10,2)"
-USD_B = "decimal(12,2)"
+COGS_A = "CAST(price_usd * CAST((k % 50 + 20) * 0.01BD AS DECIMAL(3,2)) AS DECIMAL(10,2))"
 
 # Columns of the driver's tables that are used, so that no file is opened to find them out.
 COLUMNS = {
@@ -42,23 +41,19 @@ class DriverTables:
     # --- Path A ---
 
     def _events(self) -> DataFrame:
-        day_no = F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
-        return self._read("events").select(
-            F.col("event_id").alias("website_pageview_id"),
-            F.col("ts").alias("created_at"),
+        return self._read("events").selectExpr(
+            "event_id AS website_pageview_id",
+            "ts AS created_at",
             "user_id",
-            (F.col("user_id") * 100000 + day_no).alias("website_session_id"),
+            "user_id * 100000 + datediff(CAST(ts AS DATE), DATE '2024-01-01') AS website_session_id",
             "event_type",
-            F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k"),
-            F.col("value").cast(USD_A).alias("price_usd"),
+            "CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k",
+            "CAST(value AS DECIMAL(10,2)) AS price_usd",
         )
 
     def pageviews(self) -> DataFrame:
-        return self._events().select(
-            "website_pageview_id",
-            "created_at",
-            "website_session_id",
-            F.concat(F.lit("/"), "event_type").alias("pageview_url"),
+        return self._events().selectExpr(
+            "website_pageview_id", "created_at", "website_session_id", "concat('/', event_type) AS pageview_url"
         )
 
     def sessions(self) -> DataFrame:
@@ -72,113 +67,91 @@ class DriverTables:
                 F.min_by("k", "website_pageview_id").alias("k"),
             )
         )
-
-        def pick(modulus: int, none: str | None, *named: str, rest: str) -> Column:
-            choice = F.when(F.col("k") % modulus == 0, F.lit(none).cast("string"))
-            for i, name in enumerate(named, 1):
-                choice = choice.when(F.col("k") % modulus == i, name)
-            return choice.otherwise(rest)
-
-        source = pick(4, None, "gsearch", "bsearch", rest="socialbook")
-        first_visit = F.min("created_at").over(Window.partitionBy("user_id"))  # one row per day and user
-        return visits.select(
+        source = "CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 'gsearch' WHEN 2 THEN 'bsearch' ELSE 'socialbook' END"
+        return visits.selectExpr(
             "website_session_id",
             "created_at",
             "user_id",
-            (F.col("created_at") > first_visit).cast("int").alias("is_repeat_session"),
-            source.alias("utm_source"),
-            pick(5, None, "brand", "pilot", rest="nonbrand").alias("utm_campaign"),
-            pick(7, None, "ad_1", rest="ad_2").alias("utm_content"),
-            pick(3, "mobile", rest="desktop").alias("device_type"),
-            F.concat(F.lit("https://"), source, F.lit(".example")).alias("http_referer"),
+            # A user has one row per day here, so the window stays small.
+            "CAST(created_at > MIN(created_at) OVER (PARTITION BY user_id) AS INT) AS is_repeat_session",
+            f"{source} AS utm_source",
+            "CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN 'brand' WHEN 2 THEN 'pilot' ELSE 'nonbrand' END AS utm_campaign",
+            "CASE k % 7 WHEN 0 THEN NULL WHEN 1 THEN 'ad_1' ELSE 'ad_2' END AS utm_content",
+            "IF(k % 3 = 0, 'mobile', 'desktop') AS device_type",
+            f"concat('https://', {source}, '.example') AS http_referer",
         )
 
     def _purchases(self) -> DataFrame:
-        return (
-            self._events()
-            .where("event_type = 'purchase'")
-            .withColumn(
-                "cogs_usd",
-                (F.col("price_usd") * (F.col("k") % 50 + 20) * F.expr("0.01BD")).cast(USD_A),
-            )
-        )
+        return self._events().where("event_type = 'purchase'")
 
     def session_orders(self) -> DataFrame:
-        return self._purchases().select(
-            F.col("website_pageview_id").alias("order_id"),
+        return self._purchases().selectExpr(
+            "website_pageview_id AS order_id",
             "created_at",
             "website_session_id",
             "user_id",
-            F.col("k").cast("bigint").alias("primary_product_id"),
-            F.lit(1).alias("items_purchased"),
+            "CAST(k AS BIGINT) AS primary_product_id",
+            "1 AS items_purchased",
             "price_usd",
-            "cogs_usd",
+            f"{COGS_A} AS cogs_usd",
         )
 
     def session_items(self) -> DataFrame:
-        return self._purchases().select(
-            F.col("website_pageview_id").alias("order_item_id"),
+        return self._purchases().selectExpr(
+            "website_pageview_id AS order_item_id",
             "created_at",
-            F.col("website_pageview_id").alias("order_id"),
-            F.col("k").cast("bigint").alias("product_id"),
-            F.lit(1).alias("is_primary_item"),
+            "website_pageview_id AS order_id",
+            "CAST(k AS BIGINT) AS product_id",
+            "1 AS is_primary_item",
             "price_usd",
-            "cogs_usd",
+            f"{COGS_A} AS cogs_usd",
         )
 
     def session_refunds(self) -> DataFrame:
         return (
             self._purchases()
             .where("k % 10 = 0")
-            .select(
-                F.col("website_pageview_id").alias("order_item_refund_id"),
-                (F.col("created_at") + F.make_dt_interval(days=F.col("k") % 7)).alias("created_at"),
-                F.col("website_pageview_id").alias("order_item_id"),
-                F.col("website_pageview_id").alias("order_id"),
-                (F.col("price_usd") * F.expr("0.50BD")).cast(USD_A).alias("refund_amount_usd"),
+            .selectExpr(
+                "website_pageview_id AS order_item_refund_id",
+                "created_at + make_dt_interval(k % 7) AS created_at",
+                "website_pageview_id AS order_item_id",
+                "website_pageview_id AS order_id",
+                "CAST(price_usd * 0.50BD AS DECIMAL(10,2)) AS refund_amount_usd",
             )
         )
 
     # --- Path B ---
 
     def products(self) -> DataFrame:
-        launch = F.expr("timestamp_ntz'1995-01-01 00:00:00'")
-        return self._read("part").select(
-            F.col("p_partkey").alias("product_id"),
-            (launch + F.make_dt_interval(days=(F.col("p_partkey") % 365).cast("int"))).alias("created_at"),
-            F.col("p_name").alias("product_name"),
-            F.col("p_type").alias("product_type"),
+        return self._read("part").selectExpr(
+            "p_partkey AS product_id",
+            "TIMESTAMP_NTZ '1995-01-01 00:00:00' + make_dt_interval(CAST(p_partkey % 365 AS INT)) AS created_at",
+            "p_name AS product_name",
+            "p_type AS product_type",
         )
 
     def orders(self) -> DataFrame:
-        price = F.col("o_totalprice").cast(USD_B)
-        return self._read("orders").select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_orderdate").alias("created_at"),
-            F.lit(None).cast("bigint").alias("website_session_id"),
-            F.col("o_custkey").alias("user_id"),
-            price.alias("price_usd"),
-            (price * F.expr("0.60BD")).cast(USD_B).alias("cogs_usd"),
+        price = "CAST(o_totalprice AS DECIMAL(12,2))"
+        return self._read("orders").selectExpr(
+            "o_orderkey AS order_id",
+            "o_orderdate AS created_at",
+            "CAST(NULL AS BIGINT) AS website_session_id",
+            "o_custkey AS user_id",
+            f"{price} AS price_usd",
+            f"CAST({price} * 0.60BD AS DECIMAL(12,2)) AS cogs_usd",
         )
 
     def _lines(self) -> DataFrame:
         """Lines under an id made of their own columns: no numbering, so an order of any size needs no single task."""
-        price = F.col("l_extendedprice").cast(USD_B)
-        return self._read("lineitem").select(
-            F.concat_ws(
-                "-",
-                "l_orderkey",
-                "l_linenumber",
-                "l_partkey",
-                "l_suppkey",
-                F.unix_date(F.to_date("l_shipdate")),
-                F.col("l_quantity").cast("int"),
-            ).alias("order_item_id"),
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("product_id"),
-            price.alias("price_usd"),
-            (price * (F.col("l_partkey") % 50 + 20) * F.expr("0.01BD")).cast(USD_B).alias("cogs_usd"),
-            F.col("l_shipdate").alias("shipped_at"),
+        price = "CAST(l_extendedprice AS DECIMAL(12,2))"
+        return self._read("lineitem").selectExpr(
+            "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, unix_date(CAST(l_shipdate AS DATE)), "
+            "CAST(l_quantity AS INT)) AS order_item_id",
+            "l_orderkey AS order_id",
+            "l_partkey AS product_id",
+            f"{price} AS price_usd",
+            f"CAST({price} * CAST((l_partkey % 50 + 20) * 0.01BD AS DECIMAL(3,2)) AS DECIMAL(12,2)) AS cogs_usd",
+            "l_shipdate AS shipped_at",
             "l_returnflag",
         )
 

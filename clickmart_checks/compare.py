@@ -27,6 +27,7 @@ def local_session(cpus: str = "8", app: str = "clickmart-checks") -> SparkSessio
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
