@@ -1,0 +1,145 @@
+"""The operators' results by plain Python over all rows, written from their definitions."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import xxhash
+
+WHITE = " \t\n\v\f\r"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def ascii_lower(text: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def line_dedup(docs):
+    key = lambda line: ascii_lower(line.strip(WHITE))
+    holders = defaultdict(set)
+    for doc_id, text in docs:
+        for line in (text or "").split("\n"):
+            if doc_id is not None and len(key(line)) >= 10:
+                holders[key(line)].add(doc_id)
+    out = []
+    for doc_id, text in docs:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if not (doc_id is not None and len(key(x)) >= 10 and min(holders[key(x)]) != doc_id)]
+        out.append((doc_id, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return out
+
+
+def quality(docs):
+    out = []
+    for doc_id, text in docs:
+        text = text or ""
+        words = WORD.findall(text)
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        counts = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        repeated = {i + k for i in range(len(words) - 7) if counts[tuple(words[i : i + 8])] > 1 for k in range(8)}
+        failed = len(words) < 20 or 100 * len(repeated) > 30 * len(words)
+        symbols = sum(c in "#*$%&|<>" for c in text)
+        stutters = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+        chars, digits = sum(map(len, words)), sum("0" <= c <= "9" for c in text)
+        duplicates = len(lines) - len(set(lines))
+        rejected = (
+            failed
+            or 10 * symbols > len(words)
+            or 100 * duplicates > 40 * len(lines)
+            or 100 * stutters > 30 * len(words)
+            or not 2 * len(words) <= chars <= 15 * len(words)
+            or upper > lower
+            or 2 * digits > chars
+            or 100 * sum(x.rstrip(WHITE).endswith(("...", "…")) for x in lines) > 50 * len(lines)
+            or max((len(w.encode()) for w in words), default=0) > 5000
+            or bool(re.search(r"(?a:lorem ipsum|\bjavascript (?:is|must be) (?:disabled|enabled))", ascii_lower(text)))
+        )
+        out.append((doc_id, len(words), chars, symbols, duplicates, len(repeated), failed, not rejected))
+    return out
+
+
+def smallest_reachable(nodes, edges):
+    parent = {n: n for n in nodes}
+
+    def root(n):
+        while parent[n] != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def simhash(docs, length=3, limit=2):
+    prints = []
+    for _, text in docs:
+        words = WORD.findall(ascii_lower(text or ""))
+        runs = [" ".join(words[i : i + length]) for i in range(max(1, len(words) - length + 1))] if words else []
+        hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    distinct = sorted(set(prints))
+    edges = [(a, b) for i, a in enumerate(distinct) for b in distinct[:i] if (a ^ b).bit_count() <= limit]
+    ids = defaultdict(set)
+    for (doc_id, _), p in zip(docs, prints, strict=True):
+        ids[doc_id].add(p)
+    edges += [(a, min(s)) for doc_id, s in ids.items() if doc_id is not None for a in s]
+    root = smallest_reachable(distinct, edges)
+    least = {}
+    for (doc_id, _), p in zip(docs, prints, strict=True):
+        if doc_id is not None:
+            least[root[p]] = min(least.get(root[p], doc_id), doc_id)
+    return [(doc_id, f"{p:016x}", least.get(root[p])) for (doc_id, _), p in zip(docs, prints, strict=True)]
+
+
+def tile_coverage(item, text, least):
+    """Greedy string tiling by comparing all places."""
+    in_item, in_text, covered, longest = [False] * len(item), [False] * len(text), 0, min(len(item), len(text))
+    while longest >= least:
+        laid = False
+        for a in range(len(item) - longest + 1):
+            for b in range(len(text) - longest + 1):
+                if (
+                    item[a : a + longest] == text[b : b + longest]
+                    and not any(in_item[a : a + longest])
+                    and not any(in_text[b : b + longest])
+                ):
+                    in_item[a : a + longest] = in_text[b : b + longest] = [True] * longest
+                    covered, laid = covered + longest, True
+        longest -= not laid or longest == least or 1
+    return covered / len(item)
+
+
+def plain_words(text):
+    edges = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    return [w.strip(edges) for w in WORD.findall(ascii_lower(text or "")) if w.strip(edges)]
+
+
+def contamination(docs, items, threshold=0.8, least=5):
+    runs = [(i, t, {tuple(t[k : k + least]) for k in range(len(t) - least + 1)}) for i, t in ((i, plain_words(x)) for i, x in items)]
+    out = []
+    for doc_id, text in docs:
+        words = plain_words(text)
+        own = {tuple(words[k : k + least]) for k in range(len(words) - least + 1)}
+        for item_id, item, seeds in runs:
+            if own & seeds and (coverage := tile_coverage(item, words, least)) >= threshold:
+                out.append((doc_id, item_id, coverage))
+    return out
+
+
+def token_pieces(docs, path, length=4096):
+    from tokenizers import Tokenizer
+
+    tokenizer, out = Tokenizer.from_file(path), []
+    for doc_id, text in docs:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        for piece, start in enumerate(range(0, len(ids), length)):
+            part = ids[start : start + length]
+            out.append((doc_id, piece, start, len(part), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part))))
+    return out

@@ -1,0 +1,105 @@
+"""Line and SimHash deduplication against brute force."""
+
+import numpy as np
+import pytest
+
+from clickmart.llm import line_dedup, simhash_dedup
+from clickmart.llm.common import settle
+from clickmart.llm.graph import components
+from tests.llm import brute
+from tests.llm.conftest import ODD, expected, rows_of
+
+LINES = [*ODD, *[(100 + i, f"a line that everybody has\nown line number {i}\nA LINE that everybody has ") for i in range(60)]]
+
+
+@pytest.mark.parametrize("source", ["odd", "given"])
+@pytest.mark.parametrize("options", [{}, {"bits_per_key": 1, "probes": 1}, {"filter_mb": 0}], ids=["usual", "crowded", "slices"])
+def test_lines(spark, as_documents, given, source, options):
+    rows = LINES if source == "odd" else given
+    if source == "given" and options:
+        rows = given[:80]
+    docs = as_documents(rows)
+    done = line_dedup.dedup_lines(docs, counts="counts", **options)
+    found = rows_of(done.selectExpr("doc_id", "counts.n_lines", "counts.n_dropped", "sha2(cast(coalesce(text, '') as binary), 256) s"), "*")
+    assert found == expected(brute.line_dedup(rows))
+    assert line_dedup.dedup_lines(docs).columns == docs.columns
+
+
+def test_lines_of_nothing(as_documents):
+    assert line_dedup.dedup_lines(as_documents([(1, "x")]).where("doc_id = 2")).count() == 0
+
+
+def test_only_suspects_pass_the_filter(spark, as_documents):
+    rows = [(i, f"line number {i} of its own\nanother line number {i}") for i in range(2000)] + [(5000, "line number 7 of its own")]
+    keys = settle(line_dedup.map_rows(line_dedup.texts_of(as_documents(rows)), line_dedup._keys_of, line_dedup.KEYS))
+    passed = line_dedup.suspects(keys)
+    assert 2 <= passed.count() < 200
+    assert passed.groupBy("key").count().where("count > 1").count() >= 1
+
+
+def near_prints(seed, count, flips):
+    """Fingerprints around a few centres."""
+    random = np.random.default_rng(seed)
+    out = []
+    for k in range(count):
+        value = [0, (1 << 64) - 1, 0x0123456789ABCDEF][k % 3]
+        for b in random.choice(64, flips, replace=False):
+            value ^= 1 << int(b)
+        out.append(simhash_dedup.signed(value))
+    return sorted(set(out))
+
+
+@pytest.mark.parametrize(("count", "flips"), [(60, 2), (900, 3), (400, 5)])
+def test_links_connect_all_within_the_limit(spark, count, flips):
+    """Also where buckets are larger than those that are paired up."""
+    prints = near_prints(count, count, flips)
+    edges = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
+    wanted = brute.smallest_reachable(prints, edges)
+    found = simhash_dedup.links(spark.createDataFrame([(p,) for p in prints], "fingerprint bigint"))
+    listed = [(r["u"], r["v"]) for r in found.collect()]
+    assert {frozenset(e) for e in listed} <= {frozenset(e) for e in edges}
+    assert brute.smallest_reachable(prints, listed) == wanted
+    named = {r["node"]: r["component"] for r in components(found).collect()}
+    assert {p: named.get(p, p) for p in prints} == wanted
+
+
+@pytest.mark.parametrize("partitions", [2, 3, 4, 5])
+def test_thresholds_obey_the_pigeonhole(partitions):
+    cost = np.random.default_rng(partitions).random((50, partitions, 3)).cumsum(axis=2)
+    found = simhash_dedup.allocate(cost, 2)
+    assert (found.sum(axis=1) == 2 - partitions + 1).all() and found.min() >= -1 and found.max() <= 2
+    price = lambda t: sum(cost[0, p, x] if x >= 0 else 0 for p, x in enumerate(t))
+    best = min(price(t) for t in np.ndindex(*[4] * partitions) if sum(t) == 3 for t in [tuple(x - 1 for x in t)] if sum(t) == 3 - partitions)
+    assert np.isclose(price(found[0]), best)
+
+
+def test_bits_are_parted(spark):
+    groups = simhash_dedup.group_bits(spark.createDataFrame([(p,) for p in near_prints(1, 300, 9)], "fingerprint bigint"), 3)
+    assert sorted(b for g in groups for b in g) == list(range(64)) and {len(g) for g in groups} <= {21, 22}
+
+
+@pytest.mark.parametrize("source", ["odd", "given"])
+def test_near_duplicates(as_documents, given, source):
+    rows = ODD if source == "odd" else given
+    docs = as_documents(rows)
+    wanted = brute.simhash(rows)
+    assert rows_of(simhash_dedup.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == expected(wanted)
+    kept = simhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert rows_of(kept, "doc_id") == expected({(i,) for i, _, c in wanted if i == c and i is not None} | set()) + [(None,)] * sum(
+        r[0] is None for r in rows
+    ) or sorted(map(repr, rows_of(kept, "doc_id"))) == sorted(
+        [repr((i,)) for i in {i for i, _, c in wanted if i == c and i is not None}] + [repr((None,))] * sum(r[0] is None for r in rows)
+    )
+
+
+def test_near_duplicates_of_nothing(as_documents):
+    none = as_documents([(1, "x")]).where("doc_id = 2")
+    assert simhash_dedup.near_duplicates(none).count() == 0 and simhash_dedup.keep_one(none).count() == 0
+
+
+def test_components_of_a_long_chain_and_a_hub(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + k) for k in range(1, 400)] + [(5000, 5000)]
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert found == {i: 0 for i in range(1, 301)} | {1000 + k: 1000 for k in range(1, 400)}
+    assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
