@@ -143,3 +143,123 @@ def token_pieces(docs, path, length=4096):
             part = ids[start : start + length]
             out.append((doc_id, piece, start, len(part), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part))))
     return out
+
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+
+
+def license_base(docs):
+    out = []
+    for doc_id, text in docs:
+        words = ALNUM.findall(ascii_lower(text or ""))
+        places = [
+            (i, label)
+            for phrase, label in PHRASES.items()
+            for i in range(len(words))
+            if words[i : i + len(phrase.split())] == phrase.split()
+        ]
+        starts = [i for i, _ in places]
+        labels = ",".join(sorted({label for _, label in places}))
+        out.append((doc_id, len(words), len(places), min(starts, default=None), max(starts, default=None), labels))
+    return out
+
+
+def unigram_counts(docs, pieces):
+    from tokenizers import Tokenizer, models
+
+    tokenizer = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=False))
+    scores, floor = dict(pieces), min(s for _, s in pieces) - 10
+    out = []
+    for doc_id, text in docs:
+        words, tokens, unknown, score = WORD.findall(text or ""), 0, 0, 0.0
+        for word in words:
+            for token in tokenizer.model.tokenize("▁" + word):
+                tokens += 1
+                unknown += token.id == 0
+                score += scores[token.value] if token.value in scores else len(token.value.replace("<unk>", "")) * floor
+        out.append((doc_id, len(words), tokens, unknown, score))
+    return out
+
+
+def lm_scores(docs, order=2):
+    """Counts in dictionaries; weights by EM over all tokens of the deleted fold."""
+    import math
+
+    fold = lambda i: 0 if i is None else zlib.crc32(str(i).encode()) % 7
+    texts = [(i, fold(i), [*WORD.findall(ascii_lower(t or "")), None]) for i, t in docs]
+
+    def grams(tokens, n):
+        padded = ["<s>"] * (n - 1) + tokens
+        return [tuple(padded[k : k + n]) for k in range(len(tokens))]
+
+    def count(chosen):
+        counts = [Counter(g for _, f, t in texts if chosen(f) for g in grams(t, n)) for n in range(1, order + 1)]
+        return counts, sum(counts[0].values()), sum(chosen(f) for _, f, _ in texts)
+
+    whole, tokens, n_texts = count(lambda f: f != 2)
+    part, part_tokens, part_texts = count(lambda f: f not in (2, 3))
+    known = len(whole[0])
+
+    def shares(words, counts, total, starts):
+        out, by_order = [], [grams(words, n) for n in range(1, order + 1)]
+        for k in range(len(words)):
+            own, context = [1 / (known + 1), counts[0][(words[k],)] / max(1, total)], 0
+            for n in range(2, order + 1):
+                gram = by_order[n - 1][k]
+                context = starts if k == 0 else counts[n - 2][by_order[n - 2][k - 1]]
+                own.append(counts[n - 1][gram] / context if context else 0.0)
+            out.append((own, context.bit_length()))
+        return out
+
+    weights = defaultdict(lambda: [1 / (order + 1)] * (order + 1))
+    if order > 1:
+        weights[0] = [1 / order] * order + [0.0]
+    events = [e for _, f, t in texts if f == 3 for e in shares(t, part, part_tokens, part_texts)]
+    for _ in range(12):
+        sums = defaultdict(lambda: [0.0] * (order + 1))
+        for own, bucket in events:
+            mixed = [w * s for w, s in zip(weights[bucket], own, strict=True)]
+            for n, m in enumerate(mixed):
+                sums[bucket][n] += m / sum(mixed)
+        new = {b: [x / sum(s) for x in s] for b, s in sums.items()}
+        moved = max((abs(x - y) for b, s in new.items() for x, y in zip(s, weights[b], strict=True)), default=0)
+        weights.update(new)
+        if moved < 1e-4:
+            break
+    out = []
+    for doc_id, f, t in texts:
+        base = sum(math.log10((whole[0][(w,)] + 1) / (tokens + known + 1)) for w in t)
+        score = sum(
+            math.log10(sum(w * s for w, s in zip(weights[b], own, strict=True))) for own, b in shares(t, whole, tokens, n_texts)
+        )
+        out.append((doc_id, f == 2, len(t), sum(whole[0][(w,)] > 0 for w in t), tokens, base, score))
+    return out
+
+
+def active_lists(captures, entries):
+    """Lists of each capture by going through all entries."""
+    from urllib.parse import urlsplit
+
+    out = []
+    for url, day in captures:
+        try:
+            parts = urlsplit(url or "")
+            host, path = (parts.hostname or "").rstrip("."), parts.path.rstrip("/").lower()
+        except ValueError:
+            host, path = "", ""
+        latest = {}
+        for name, kind, key, action, since in entries:
+            if None in (name, key, action, since, day) or not host or since > day:
+                continue
+            key = key.lower()
+            hit = {
+                "host": host == key,
+                "domain": host == key or host.endswith("." + key),
+                "path": host + path == key or (host + path).startswith(key + "/"),
+            }.get(kind)
+            if hit:
+                latest.setdefault((name, kind, key), []).append((since, action == "remove"))
+        on = {name for (name, _, _), seen in latest.items() if not max(seen)[1]}
+        out.append((url, day, host, sorted(on), bool(on) and "allow" not in on))
+    return out
