@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -33,55 +34,79 @@ from clickmart.llm.common import map_rows, settle, texts_of, utf8
 
 LENGTH = 4096
 END = (1).to_bytes(4, "little")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 PUNCTUATION = b".,;:!?"
+LAST_LETTER, DOTTED_I = "\u017f", "\u0130"  # letters up to here are composed and lower-case to one other, but for one
+
+
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes as characters: printable ones of Latin-1 as they are, the others from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: 256 + k for k, b in enumerate(others)}
 
 
 class Encoder:
-    """Token ids of a text as little-endian 32-bit numbers, words remembered.
+    """Token ids of a text as little-endian 32-bit numbers, words remembered up to a bound.
 
-    No token spans white space, so the ids of a text are those of its words. Texts with a special token's opening are
-    encoded whole, as A-Z must not be lower-cased in them.
+    No token spans white space, so the ids of a text are those of its words. Words of Latin letters, with punctuation
+    after them or not, go straight to the tokenizer's merges; any others to the whole tokenizer. Texts with a special
+    token's opening are encoded whole, as A-Z must not be lower-cased in them.
     """
 
+    LETTERS = _byte_letters()
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
+        self.ends: dict[bytes, bytes] = {}
 
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
-        rest, model = [], self.tokenizer.model
-        for word in words:
-            if word.isalpha():  # ASCII letters, a single token of the first step
-                self.known[word] = np.array([t.id for t in model.tokenize(word.decode())], "<u4").tobytes()
-            else:
-                rest.append(word)
-        self.known.update(zip(rest, self._encode(rest), strict=True))
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _plain(self, word: bytes) -> bytes | None:
+        """Ids of a word of Latin letters and what punctuation ends it; None for other words."""
+        stem = word.rstrip(PUNCTUATION)
+        if stem.isalpha():
+            spelt = stem.decode()
+        else:
+            letters = stem.decode()
+            if not letters.isalpha() or max(letters) > LAST_LETTER or DOTTED_I in letters:
+                return None
+            spelt = letters.lower().encode().decode("latin-1").translate(self.LETTERS)
+        ids = array("I", [t.id for t in self.merges(spelt)]).tobytes()
+        if len(stem) < len(word):
+            end = word[len(stem) :]
+            if end not in self.ends:
+                if len(self.ends) > CACHED_WORDS:
+                    self.ends.clear()
+                self.ends[end] = self._whole([end])[0]
+            ids += self.ends[end]
+        return ids
 
     def ids(self, text: bytes) -> bytes:
         if b"<|" in text:
-            return self._encode([text])[0]
+            return self._whole([text])[0]
         words = text.lower().split()
         found = list(map(self.known.get, words))
         if None in found:
-            unknown = {w for w, ids in zip(words, found, strict=True) if ids is None}
-            stems = {w: w.rstrip(PUNCTUATION) for w in unknown}
-            stems = {w: s for w, s in stems.items() if s != w and s.isalpha()}
-            ends = {w[len(s) :] for w, s in stems.items()}
-            self._learn(unknown - stems.keys() | {p for p in (*stems.values(), *ends) if p not in self.known})
-            local = {w: self.known[s] + self.known[w[len(s) :]] for w, s in stems.items()}
-            self.known.update(local)
-            missing = {w for w in words if w not in self.known}  # forgotten meanwhile
-            local.update(zip(missing, self._encode(list(missing)), strict=True))
-            found = [local.get(w) or self.known[w] for w in words]
+            fresh, rest = {}, []
+            for word in {w for w, ids in zip(words, found, strict=True) if ids is None}:
+                ids = self._plain(word)
+                if ids is None:
+                    rest.append(word)
+                else:
+                    fresh[word] = ids
+            fresh.update(zip(rest, self._whole(rest), strict=True))
+            found = [fresh[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            if len(self.known) + len(fresh) > CACHED_WORDS:
+                self.known.clear()
+            self.known.update(fresh)
         return b"".join(found)
 
 
