@@ -2,35 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickmart.functions.materialize import settle
+
+def _bucket(value: Column, scale: int) -> Column:
+    """A whole number that never falls as the decimal rises: sign, number of digits, first four digits.
+
+    There are at most some hundred thousand of them, however many values.
+    """
+    units = (F.abs(value) * F.lit(10**scale)).cast("decimal(38,0)").cast("string")
+    lead = F.rpad(F.substring(units, 1, 4), 4, "0").cast("bigint")
+    return F.signum(value).cast("bigint") * (F.length(units) * 10_000 + lead)
 
 
 def rank_over_all(df: DataFrame, value: str, name: str, among: DataFrame | None = None) -> DataFrame:
-    """Add ``RANK() OVER (ORDER BY value DESC NULLS FIRST)`` as the bigint column ``name``.
+    """Add ``RANK() OVER (ORDER BY value DESC NULLS FIRST)`` of a decimal or whole number as the bigint column ``name``.
 
-    Equal values are counted first, so ties, however many, are one row. The distinct values are partitioned by range
-    and settled with the number of their range; a rank is the number of rows in higher ranges plus the number above
-    within the range. The values are read from ``among``: ``df`` itself unless a plainer table with the same rows is
-    at hand.
+    Equal values are counted first, so ties, however many, are one row. A rank is the number of rows in higher buckets
+    of values plus the number above within the bucket. The values are read from ``among``: ``df`` itself unless a
+    plainer table with the same rows is at hand.
     """
-    ties = (df if among is None else among).groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_rows"))
-    descending = F.desc_nulls_first("_value")
-    ranges = settle(ties.repartitionByRange(descending).withColumn("_range", F.spark_partition_id()))
-
-    # One row per range from here, which is at most one per shuffle partition.
-    above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    higher = (
-        ranges.groupBy("_range")
-        .agg(F.sum("_rows").alias("_rows"))
-        .select("_range", F.coalesce(F.sum("_rows").over(above), F.lit(0)).alias("_higher"))
-    )
-
-    within = Window.partitionBy("_range").orderBy(descending).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranges.join(F.broadcast(higher), "_range").select(
-        "_value",
-        (1 + F.col("_higher") + F.coalesce(F.sum("_rows").over(within), F.lit(0))).cast("bigint").alias(name),
-    )
+    source = df if among is None else among
+    ties = source.groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_rows"))
+    ties = ties.withColumn("_bucket", _bucket(F.col("_value"), getattr(df.schema[value].dataType, "scale", 0)))
+
+    above = Window.orderBy(F.desc_nulls_first("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    higher = ties.groupBy("_bucket").agg(F.sum("_rows").alias("_rows"))
+    higher = higher.select(F.col("_bucket").alias("_of"), F.coalesce(F.sum("_rows").over(above), F.lit(0)).alias("_higher"))
+
+    descending = Window.partitionBy("_bucket").orderBy(F.desc_nulls_first("_value"))
+    within = F.sum("_rows").over(descending.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = ties.withColumn("_within", F.coalesce(within, F.lit(0))).join(higher, F.col("_bucket").eqNullSafe(F.col("_of")))
+    ranked = ranked.select("_value", (1 + F.col("_higher") + F.col("_within")).cast("bigint").alias(name))
     return df.join(ranked, df[value].eqNullSafe(ranked["_value"])).drop("_value")

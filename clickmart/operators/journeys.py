@@ -188,7 +188,60 @@ def landing_rule_agreement(pageviews: DataFrame) -> DataFrame:
     )
 
 
-def session_paths(pageviews: DataFrame, pages: list[str]) -> DataFrame:
+def numbered_views(pageviews: DataFrame) -> DataFrame:
+    """website_session_id, step (from 1, by time, then id) and page of every page view; views of no session are left out.
+
+    Views are numbered within a minute of a session and minutes by the number of views before them, so that a session
+    with very many views is not sorted as one.
+    """
+    views = pageviews.where("website_session_id IS NOT NULL").select(
+        "website_session_id",
+        "created_at",
+        "website_pageview_id",
+        F.col("pageview_url").alias("page"),
+        F.date_trunc("minute", "created_at").alias("_minute"),
+    )
+    per_minute = views.groupBy("website_session_id", "_minute").agg(F.count("*").alias("_views"))
+    minutes = Window.partitionBy("website_session_id").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_minute.select(
+        F.col("website_session_id").alias("_session"),
+        F.col("_minute").alias("_at"),
+        F.coalesce(F.sum("_views").over(minutes), F.lit(0)).alias("_before"),
+    )
+    inside = Window.partitionBy("website_session_id", "_minute").orderBy("created_at", "website_pageview_id")
+    same = (F.col("website_session_id") == F.col("_session")) & F.col("_minute").eqNullSafe(F.col("_at"))
+    return (
+        views.withColumn("_row", F.row_number().over(inside))
+        .join(before, same)
+        .select("website_session_id", (F.col("_before") + F.col("_row")).alias("step"), "page")
+    )
+
+
+def session_paths(pageviews: DataFrame) -> DataFrame:
+    """How many sessions took each path, a path being all page views of a session in order, repeats included.
+
+    One row per path and step: ``path_id`` is the least id of the sessions that took it. A session's path is told by a
+    digest of its steps, so no value holds a whole path.
+    """
+    steps = numbered_views(pageviews)
+    digest = F.xxhash64("step", "page", F.col("page").isNull())
+    taken = steps.groupBy("website_session_id").agg(
+        F.count("*").alias("n_steps"),
+        F.bit_xor(digest).alias("by_xor"),
+        F.sum(digest.cast("decimal(20,0)")).alias("by_sum"),
+    )
+    paths = taken.groupBy("n_steps", "by_xor", "by_sum").agg(
+        F.min("website_session_id").alias("path_id"), F.count("*").alias("sessions")
+    )
+    chosen = paths.select("path_id", "sessions")
+    return (
+        steps.join(chosen, steps["website_session_id"] == chosen["path_id"])
+        .select("path_id", "step", "page", "sessions")
+        .orderBy(F.desc("sessions"), "path_id", "step")
+    )
+
+
+def first_visit_orders(pageviews: DataFrame, pages: list[str]) -> DataFrame:
     """How often each order of first visits to the given pages occurs, e.g. ``/home > /products > /cart``.
 
     A page counts at its first visit in the session. The state kept per session is one time and id per page, so a

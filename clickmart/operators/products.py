@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickmart.functions.materialize import settle
 from clickmart.functions.periods import period
 from clickmart.functions.ranking import rank_over_all
 from clickmart.functions.ratios import count_or_zero, money, money_or_zero, pct, per
@@ -82,11 +81,11 @@ def product_refund_risk(
 ) -> DataFrame:
     """Products with their ranks by net revenue and refund rate and a status.
 
-    The totals per product are settled once; the site's refund rate, which also counts lines of unknown products, both
-    ranks and the maximum are read from them.
+    The site's refund rate, which also counts lines of unknown products, both ranks and the maximum are read from the
+    totals per product, whose shuffle they share.
     """
     known = products.select("product_id", "product_name", F.lit(True).alias("is_known"))
-    totals = settle(product_totals(items, refunds).join(known, "product_id", "left"))
+    totals = product_totals(items, refunds).join(known, "product_id", "left")
     overall = as_row(
         totals.agg(pct(F.sum(count_or_zero("refund_rows")), F.sum("items_sold")).alias("refund_rate"))
     )
@@ -150,13 +149,19 @@ def product_refund_summary(
     )
 
 
-def items_per_order_by_period(items: DataFrame, grain: str = "month") -> DataFrame:
-    """Average lines per order; an order with lines in two periods counts in both."""
-    baskets = (
-        items.where("created_at IS NOT NULL AND order_id IS NOT NULL")
-        .groupBy(period("created_at", grain), "order_id")
-        .agg(F.count("order_item_id").alias("lines"))
-    )
+def items_per_order_by_period(items: DataFrame, grain: str = "month", orders: DataFrame | None = None) -> DataFrame:
+    """Average lines per order; an order with lines in two periods counts in both.
+
+    Lines have a date of their own, or that of their order if ``orders`` are given. Then they are counted per order
+    first, so the join sees each order once, however many lines it has.
+    """
+    if orders is None:
+        lines = items.where("created_at IS NOT NULL AND order_id IS NOT NULL")
+        baskets = lines.groupBy(period("created_at", grain), "order_id").agg(F.count("order_item_id").alias("lines"))
+    else:
+        counted = items.groupBy("order_id").agg(F.count("order_item_id").alias("lines"))
+        dated = orders.where("created_at IS NOT NULL").select("order_id", period("created_at", grain))
+        baskets = counted.join(dated, "order_id")
     return (
         baskets.groupBy(grain)
         .agg(per(F.sum("lines"), F.count("*")).alias("avg_items_per_order"))
@@ -202,12 +207,17 @@ def product_mix(sales: DataFrame, grain: str = "month", label: str = "product_na
     )
 
 
-def pivot_periods(df: DataFrame, grain: str, label: str, value: str, labels: list[str]) -> DataFrame:
-    """Periods down, the given labels across, 0 where a label has no row."""
-    wide = df.groupBy(grain).pivot(label, labels).agg(F.sum(value))
+def pivot_periods(
+    df: DataFrame, grain: str, label: str, value: str, labels: list[str], rest: str = "other"
+) -> DataFrame:
+    """Periods down, the given labels across, 0 where a label has no row; all other labels add up in ``rest``."""
+    if rest in labels:
+        raise ValueError(f"{rest!r} is one of the labels; choose another name for the rest")
+    column = F.when(F.col(label).isin(*labels), F.col(label)).otherwise(rest)
+    wide = df.withColumn(label, column).groupBy(grain).pivot(label, [*labels, rest]).agg(F.sum(value))
     kind = df.schema[value].dataType
     return wide.select(
-        grain, *[F.coalesce(F.col(f"`{name}`"), F.lit(0)).cast(kind).alias(name) for name in labels]
+        grain, *[F.coalesce(F.col(f"`{name}`"), F.lit(0)).cast(kind).alias(name) for name in [*labels, rest]]
     ).orderBy(grain)
 
 
@@ -234,27 +244,25 @@ def attach_rate(items: DataFrame) -> DataFrame:
 
     Baskets are folded to one row per order and product before they meet their primary product (that of the first
     primary line, should there be several). So an order brings at most one row per product of the catalog, however many
-    lines it has, and the pairs are one per add-on, never all pairs of an order. Both windows are bounded by the catalog.
+    lines it has, and the pairs are one per add-on, never all pairs of an order. The primary product is one row per
+    order, so adaptive execution can split the baskets of a large one.
     """
     is_primary = F.col("is_primary_item") == 1
-    baskets = items.groupBy("order_id", F.col("product_id").alias("add_on_product_id")).agg(
-        F.min(F.when(is_primary, F.col("order_item_id"))).alias("primary_line"),
-        F.count_if(~is_primary).alias("add_on_items"),
+    product = F.col("product_id")
+    baskets = items.groupBy("order_id", product.alias("add_on_product_id")).agg(
+        F.count_if(~is_primary).alias("add_on_items")
     )
-    of_order = F.min_by("add_on_product_id", "primary_line").over(Window.partitionBy("order_id"))
-    with_primary = baskets.withColumn("primary_product_id", of_order).where("primary_product_id IS NOT NULL")
-    totals = with_primary.groupBy("primary_product_id", "add_on_product_id").agg(
-        F.count_if(F.col("add_on_items") > 0).alias("attached_orders"),
-        F.sum("add_on_items").alias("add_on_items"),
-        # An order counts for its primary product once: in the basket row that holds the primary line.
-        F.count_if(
-            F.col("primary_line").isNotNull() & (F.col("add_on_product_id") == F.col("primary_product_id"))
-        ).alias("primary_orders"),
+    first = items.where(is_primary & F.col("order_id").isNotNull()).groupBy("order_id")
+    first = first.agg(F.min_by(product, "order_item_id").alias("primary_product_id")).where("primary_product_id IS NOT NULL")
+    attached = (
+        baskets.where("add_on_items > 0")
+        .join(first, "order_id")
+        .groupBy("primary_product_id", "add_on_product_id")
+        .agg(F.count("*").alias("attached_orders"), F.sum("add_on_items").alias("add_on_items"))
     )
-    of_primary = F.sum("primary_orders").over(Window.partitionBy("primary_product_id"))
+    primary = first.groupBy("primary_product_id").agg(F.count("*").alias("primary_orders"))
     return (
-        totals.withColumn("primary_orders", of_primary)
-        .where("attached_orders > 0")
+        attached.join(primary, "primary_product_id")
         .select(
             "primary_product_id",
             "add_on_product_id",

@@ -113,22 +113,23 @@ def header_line_reconciliation(orders: DataFrame, items: DataFrame) -> DataFrame
 
 
 def refund_consistency(items: DataFrame, refunds: DataFrame) -> DataFrame:
-    """Refunds against the line they refund: other order, partial amount, more than the price.
+    """Refunds against the line they refund: no such line, other order, partial amount, more than the price.
 
     Refunds of one line to the same order and amount are counted before the join.
     """
     grouped = refunds.groupBy("order_item_id", "order_id", "refund_amount_usd").agg(
         F.count("*").alias("rows")
     )
-    lines = items.select("order_item_id", F.col("order_id").alias("line_order_id"), "price_usd")
-    amount, price = F.col("refund_amount_usd"), F.col("price_usd")
+    lines = items.select("order_item_id", F.col("order_id").alias("line_order_id"), "price_usd", F.lit(True).alias("found"))
+    amount, price, found = F.col("refund_amount_usd"), F.col("price_usd"), F.col("found")
 
     def rows_where(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("rows"))), F.lit(0))
 
-    return grouped.join(lines, "order_item_id").agg(
+    return grouped.join(lines, "order_item_id", "left").agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("refunds"),
-        rows_where(~F.col("order_id").eqNullSafe(F.col("line_order_id"))).alias("order_id_mismatches"),
+        rows_where(found.isNull()).alias("refunds_without_line"),
+        rows_where(found & ~F.col("order_id").eqNullSafe(F.col("line_order_id"))).alias("order_id_mismatches"),
         rows_where(amount < price).alias("partial_refunds"),
         rows_where(amount > price).alias("refunds_above_price"),
     )

@@ -208,10 +208,14 @@ def _lookup(model: Mapping[str, DataFrame], table: str, key: str, columns: set[s
 
 
 def _matches(column: str, wanted: Any) -> Column:
+    """None, alone or in a collection, chooses the rows without a value."""
     if callable(wanted):
         return wanted(F.col(column))
+    if wanted is None:
+        return F.col(column).isNull()
     if isinstance(wanted, (list, tuple, set, frozenset)):
-        return F.col(column).isin(*wanted)
+        chosen = F.col(column).isin(*[value for value in wanted if value is not None])
+        return chosen | F.col(column).isNull() if None in wanted else chosen
     return F.col(column) == wanted
 
 
@@ -248,7 +252,8 @@ def _fact_totals(
     rows = rows.select(*keys, *[value.alias(f"_{name}") for name, value in sums.items()])
     if fks:
         # One row per foreign key before the join: a session with very many orders is one row, not a hot key.
-        rows = rows.groupBy(*keys).agg(*[F.sum(f"_{name}").alias(f"_{name}") for name in sums])
+        folded = [F.sum(f"_{name}").alias(f"_{name}") for name in sums]
+        rows = rows.groupBy(*keys).agg(*folded) if folded else rows.distinct()
         rows = _with_ancestors(model, fact, rows, needed - own)
         for column in sorted(set(chosen) - own):
             rows = rows.where(_matches(column, chosen[column]))
@@ -288,19 +293,11 @@ def _value(metric: str) -> Column:
     return fraction(_value(first), _value(second))
 
 
-def _with_selection_total(
-    model: Mapping[str, DataFrame],
-    totals: DataFrame,
-    by: tuple[str, ...],
-    filters: Mapping[str, Any],
-    role: str,
-) -> DataFrame:
-    """Add the items sold over all selected products, in each group of the remaining attributes."""
+def _with_selection_total(model: Mapping[str, DataFrame], totals: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Add the items sold over all selected products, in each group of the remaining attributes, from the totals."""
     products = set(model["products"].columns) if "products" in model else set()
-    rest = tuple(name for name in by if name not in products)
-    selection = _fact_totals(model, ["items_sold"], rest, filters, role).withColumnRenamed(
-        "items_sold", "_selection"
-    )
+    rest = [name for name in by if name not in products]
+    selection = totals.groupBy(*rest).agg(F.sum("items_sold").alias("_selection"))
     if not rest:
         return totals.withColumn("_selection", as_row(selection)["_selection"])
     other = selection.withColumnsRenamed({name: f"_{name}" for name in rest})
@@ -308,6 +305,13 @@ def _with_selection_total(
     return totals.join(other, same, "left").drop(*[f"_{name}" for name in rest])
 
 
+def _check_filters(model: Mapping[str, DataFrame], filters: Mapping[str, Any], role: str) -> None:
+    known = {column for table in model.values() for column in table.columns}
+    unknown = [name for name in filters if (DATE_ROLES[role] if name == "date" else name) not in known]
+    if unknown:
+        raise ValueError(f"no table has the attributes {unknown} to filter by")
+
+
 def compute(
     model: Mapping[str, DataFrame],
     metrics: Iterable[str] = METRICS,
@@ -319,9 +323,11 @@ def compute(
 
     ``by`` names attributes of the facts and dimensions, or ``date``, which means the date of ``date_role``.
     ``filters`` maps an attribute to a value, a collection of values, or a function from its column to a condition;
-    they apply before aggregation.
+    they apply before aggregation. None stands for a missing value. A filter acts on the facts that its table reaches
+    and leaves the others as they are; a name that no table has is an error.
     """
     metrics, by, filters = tuple(metrics), tuple(by), dict(filters or {})
+    _check_filters(model, filters, date_role)
     by_date = "date" in by or "date" in filters
     groups: dict[tuple[str, str], list[str]] = {}
     for name in _base_names(metrics):
@@ -330,6 +336,6 @@ def compute(
     parts = [_fact_totals(model, names, by, filters, role) for (_, role), names in groups.items()]
     totals = merge_totals(parts, by)
     if "product_mix" in metrics:
-        totals = _with_selection_total(model, totals, by, filters, date_role)
+        totals = _with_selection_total(model, totals, by)
     result = totals.select(*by, *[_value(metric).alias(metric) for metric in metrics])
     return result.orderBy(*by) if by else result

@@ -28,9 +28,11 @@ PRODUCT_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 class DriverTables:
     """Lazy DataFrames over one data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, spread: int = 1):
+        """``spread`` times as many days lie between events, so that their month becomes several."""
         self._spark = spark
         self._dir = sf_dir
+        self._spread = spread
         self._opened: dict[str, DataFrame] = {}
 
     def _read(self, table: str) -> DataFrame:
@@ -41,11 +43,13 @@ class DriverTables:
     # --- Path A ---
 
     def _events(self) -> DataFrame:
+        day = "datediff(CAST(ts AS DATE), DATE '2024-01-01')"
+        later = f" + make_dt_interval({day} * {self._spread - 1})" if self._spread > 1 else ""
         return self._read("events").selectExpr(
             "event_id AS website_pageview_id",
-            "ts AS created_at",
+            f"ts{later} AS created_at",
             "user_id",
-            "user_id * 100000 + datediff(CAST(ts AS DATE), DATE '2024-01-01') AS website_session_id",
+            f"user_id * 100000 + {day} AS website_session_id",
             "event_type",
             "CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k",
             "CAST(value AS DECIMAL(10,2)) AS price_usd",
@@ -142,11 +146,16 @@ class DriverTables:
         )
 
     def _lines(self) -> DataFrame:
-        """Lines under an id made of their own columns: no numbering, so an order of any size needs no single task."""
+        """Lines under an id made of their own columns: no numbering, so an order of any size needs no single task.
+
+        The id is 60 bits of a digest of all columns. Equal lines would share it; ``pk_uniqueness`` counts them.
+        """
         price = "CAST(l_extendedprice AS DECIMAL(12,2))"
+        own = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "unix_date(CAST(l_shipdate AS DATE))")
+        own += ("CAST(l_quantity AS DECIMAL(12,2))", price, "l_returnflag")
+        told = ", ".join(f"COALESCE(CAST({column} AS STRING), '~')" for column in own)
         return self._read("lineitem").selectExpr(
-            "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, unix_date(CAST(l_shipdate AS DATE)), "
-            "CAST(l_quantity AS INT)) AS order_item_id",
+            f"CAST(conv(substring(md5(concat_ws('-', {told})), 1, 15), 16, 10) AS BIGINT) AS order_item_id",
             "l_orderkey AS order_id",
             "l_partkey AS product_id",
             f"{price} AS price_usd",

@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clickmart.functions.totals import stack_rows
 from clickmart.operators import explore, journeys, marts, products, quality, reconcile, traffic
@@ -28,7 +29,11 @@ EVENT_PAGES = ["/view", "/click", "/signup", "/purchase", "/error"]
 MIN_CAMPAIGN_SESSIONS = 250
 MIN_LANDING_SESSIONS = 800
 
+# The events span 30 days; spread out like this they fall into six months.
+MONTHS_SPREAD = 6
+
 JOBS: dict[str, Callable[[DriverTables], DataFrame]] = {}
+SPREAD: dict[str, int] = {}
 
 
 def job(function: Callable[[DriverTables], DataFrame]) -> Callable[[DriverTables], DataFrame]:
@@ -36,11 +41,17 @@ def job(function: Callable[[DriverTables], DataFrame]) -> Callable[[DriverTables
     return function
 
 
+def monthly_job(function: Callable[[DriverTables], DataFrame]) -> Callable[[DriverTables], DataFrame]:
+    """A job whose events are spread over several months."""
+    SPREAD[function.__name__] = MONTHS_SPREAD
+    return job(function)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(run: Callable[[DriverTables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: run(DriverTables(spark, sf_dir))
+    def bind(run: Callable[[DriverTables], DataFrame], spread: int) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: run(DriverTables(spark, sf_dir, spread))
 
-    return {name: bind(run) for name, run in JOBS.items()}
+    return {name: bind(run, SPREAD.get(name, 1)) for name, run in JOBS.items()}
 
 
 def _all_tables(t: DriverTables, items: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -196,8 +207,13 @@ def core_kpis(t):
     return traffic.core_kpis(t.sessions(), t.session_orders(), t.session_refunds())
 
 
-@job
+@monthly_job
 def monthly_kpis(t):
+    return traffic.period_kpis(t.sessions(), t.session_orders(), t.session_refunds(), grain="month")
+
+
+@job
+def daily_kpis(t):
     return traffic.period_kpis(t.sessions(), t.session_orders(), t.session_refunds(), grain="day")
 
 
@@ -226,8 +242,13 @@ def product_performance(t):
 # --- Business analysis ---
 
 
-@job
+@monthly_job
 def monthly_growth(t):
+    return traffic.period_growth(t.sessions(), t.session_orders(), grain="month")
+
+
+@job
+def daily_growth(t):
     return traffic.period_growth(t.sessions(), t.session_orders(), grain="day")
 
 
@@ -268,14 +289,19 @@ def core_kpis_check(t):
     return traffic.core_kpis_check(t.sessions(), t.session_orders(), t.session_refunds())
 
 
-@job
+@monthly_job
 def monthly_trend(t):
+    return traffic.period_kpis(t.sessions(), t.session_orders(), grain="month")
+
+
+@job
+def daily_trend(t):
     return traffic.period_kpis(t.sessions(), t.session_orders(), grain="day")
 
 
 @job
 def monthly_items_per_order(t):
-    return products.items_per_order_by_period(t.dated_lines())
+    return products.items_per_order_by_period(t.lines(), orders=t.orders())
 
 
 @job
@@ -445,6 +471,20 @@ def product_mix_pct(t):
     return metrics.compute(model, chosen, by=["product_name"])
 
 
+@job
+def refund_order_rate_by_source(t):
+    return metrics.compute(_session_model(t), ["refund_order_rate"], by=["utm_source"])
+
+
+@job
+def metrics_without_campaign(t):
+    """Sessions that came by no advertisement, or by one of two; a missing value is chosen by None."""
+    model = _session_model(t)
+    raw = t.sessions().select("website_session_id", F.col("utm_content").alias("content"))
+    model["sessions"] = model["sessions"].join(raw, "website_session_id")
+    return metrics.compute(model, CHANNEL_METRICS, by=["device_type"], filters={"content": [None, "ad_1"]})
+
+
 @job
 def metrics_filtered(t):
     return metrics.compute(
@@ -499,4 +539,99 @@ def user_cohorts(t):
 
 @job
 def session_paths(t):
-    return journeys.session_paths(t.pageviews(), EVENT_PAGES)
+    return journeys.session_paths(t.pageviews())
+
+
+@job
+def first_visit_orders(t):
+    return journeys.first_visit_orders(t.pageviews(), EVENT_PAGES)
+
+
+# --- Data quality on tables with flaws: missing and dangling keys, repeated, misdirected and excessive refunds ---
+
+
+def _flawed_sessions(t: DriverTables) -> DataFrame:
+    """Sessions without every eleventh, some without id, dated by their first page view by id instead of time."""
+    first = t.pageviews().groupBy("website_session_id").agg(F.min_by("created_at", "website_pageview_id").alias("created_at"))
+    kept = first.where("website_session_id % 11 <> 0")
+    return kept.withColumn("website_session_id", F.expr("IF(website_session_id % 13 <> 0, website_session_id, NULL)"))
+
+
+def _flawed_items(t: DriverTables, lines: DataFrame) -> DataFrame:
+    return lines.withColumn("order_item_id", F.expr("IF(order_item_id % 101 <> 0, order_item_id, NULL)"))
+
+
+def _flawed_refunds(t: DriverTables) -> DataFrame:
+    refunds = t.refunds()
+    changed = refunds.withColumns(
+        {
+            "order_id": F.expr("order_id + IF(order_item_id % 7 = 0, 1, 0)"),
+            "refund_amount_usd": F.expr("CAST(refund_amount_usd * (order_item_id % 3 + 1) * 0.50BD AS DECIMAL(12,2))"),
+        }
+    )
+    again = refunds.where("order_item_id % 5 = 0").withColumn("order_item_refund_id", F.col("order_item_refund_id") + 1)
+    return changed.unionByName(again)
+
+
+def _flawed_products(t: DriverTables) -> DataFrame:
+    return t.products().withColumn("product_id", F.expr("IF(product_id % 50 <> 0, product_id, NULL)"))
+
+
+def _flawed_orders(t: DriverTables) -> DataFrame:
+    return t.orders().withColumn("order_id", F.expr("IF(order_id % 97 <> 0, order_id, NULL)"))
+
+
+@job
+def pk_nulls_flawed(t):
+    return quality.pk_nulls(
+        {
+            "products": _flawed_products(t),
+            "website_sessions": _flawed_sessions(t),
+            "orders": _flawed_orders(t),
+            "order_items": _flawed_items(t, t.lines()),
+        }
+    )
+
+
+@job
+def fk_orphans_flawed(t):
+    path_a = {
+        "website_sessions": _flawed_sessions(t),
+        "website_pageviews": t.pageviews(),
+        "orders": t.session_orders(),
+    }
+    path_b = {
+        "products": _flawed_products(t),
+        "orders": _flawed_orders(t),
+        "order_items": _flawed_items(t, t.lines()),
+        "order_item_refunds": _flawed_refunds(t),
+    }
+    to_session = [relation for relation in RELATIONS if relation.parent == "website_sessions"]
+    others = [r for r in RELATIONS if r.parent != "website_sessions" and r.fk != "primary_product_id"]
+    return stack_rows([quality.fk_orphans(path_a, to_session), quality.fk_orphans(path_b, others)])
+
+
+@job
+def refunds_per_item_flawed(t):
+    return quality.most_per_parent(
+        _flawed_refunds(t), "order_item_id", "max_refunds_per_order_item", "order_items_with_multiple_refunds"
+    )
+
+
+@job
+def refund_consistency_flawed(t):
+    return quality.refund_consistency(_flawed_items(t, t.lines()), _flawed_refunds(t))
+
+
+@job
+def orders_before_session_flawed(t):
+    return quality.events_before_parent(
+        t.session_orders(), _flawed_sessions(t), "website_session_id", "orders_before_session_count"
+    )
+
+
+@job
+def pageviews_before_session_flawed(t):
+    return quality.events_before_parent(
+        t.pageviews(), _flawed_sessions(t), "website_session_id", "pageviews_before_session_count"
+    )

@@ -12,6 +12,7 @@ from clickmart_checks.jobs import (
     FIRST_WEEKS,
     MIN_CAMPAIGN_SESSIONS,
     MIN_LANDING_SESSIONS,
+    MONTHS_SPREAD,
     PRODUCT_TYPES,
 )
 
@@ -132,9 +133,13 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
     "ln": (
         (),
         """
-        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
-                         date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)), CAST(l_quantity AS INT))
-                 AS order_item_id,
+        SELECT CAST('0x' || substr(md5(concat_ws('-', COALESCE(CAST(l_orderkey AS VARCHAR), '~'),
+                 COALESCE(CAST(l_linenumber AS VARCHAR), '~'), COALESCE(CAST(l_partkey AS VARCHAR), '~'),
+                 COALESCE(CAST(l_suppkey AS VARCHAR), '~'),
+                 COALESCE(CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS VARCHAR), '~'),
+                 COALESCE(CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR), '~'),
+                 COALESCE(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR), '~'),
+                 COALESCE(l_returnflag, '~'))), 1, 15) AS BIGINT) AS order_item_id,
                l_orderkey AS order_id, l_partkey AS product_id, l_shipdate, l_returnflag,
                CAST(l_extendedprice AS DECIMAL(12,2)) AS price_usd,
                CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (l_partkey % 50 + 20) * 0.01 AS DECIMAL(12,2))
@@ -290,25 +295,27 @@ def _headlines(names: list[str], columns: str = "'{name}' AS metric_name, {value
     return _with("ws wo wr", {"site": SITE}) + " UNION ALL ".join(rows)
 
 
-def _daily(columns: dict[str, str]) -> str:
-    """Path A per day of each table's own dates, for days with sessions."""
+def _trend(columns: dict[str, str], grain: str = "day", spread: int = 1) -> str:
+    """Path A per period of each table's own dates, for periods with sessions; events ``spread`` times as far apart."""
+    bucket = f"CAST(date_trunc('{grain}', created_at) AS DATE) AS {grain}"
     ctes = {
-        "s": "SELECT CAST(created_at AS DATE) AS day, count(*) AS visits FROM ws GROUP BY 1",
-        "o": "SELECT CAST(created_at AS DATE) AS day, count(*) AS n, sum(price_usd) AS gross_n, "
+        "s": f"SELECT {bucket}, count(*) AS visits FROM ws GROUP BY 1",
+        "o": f"SELECT {bucket}, count(*) AS n, sum(price_usd) AS gross_n, "
         "sum(price_usd - cogs_usd) AS margin_n FROM wo GROUP BY 1",
-        "r": "SELECT CAST(created_at AS DATE) AS day, sum(refund_amount_usd) AS refunded_n FROM wr GROUP BY 1",
-        "d": "SELECT s.day, visits, COALESCE(n, 0) AS bought, COALESCE(gross_n, 0) AS gross, "
+        "r": f"SELECT {bucket}, sum(refund_amount_usd) AS refunded_n FROM wr GROUP BY 1",
+        "d": f"SELECT s.{grain}, visits, COALESCE(n, 0) AS bought, COALESCE(gross_n, 0) AS gross, "
         "COALESCE(margin_n, 0) AS margin, COALESCE(refunded_n, 0) AS refunded "
-        "FROM s LEFT JOIN o ON o.day = s.day LEFT JOIN r ON r.day = s.day",
+        f"FROM s LEFT JOIN o ON o.{grain} = s.{grain} LEFT JOIN r ON r.{grain} = s.{grain}",
         "lagged": "SELECT *, lag(visits) OVER w AS visits0, lag(bought) OVER w AS bought0, "
-        "lag(gross) OVER w AS gross0 FROM d WINDOW w AS (ORDER BY day)",
+        f"lag(gross) OVER w AS gross0 FROM d WINDOW w AS (ORDER BY {grain})",
     }
-    chosen = ", ".join(f"{value} AS {name}" for name, value in columns.items())
-    return _with("ws wo wr", ctes) + f"SELECT {chosen} FROM lagged"
+    chosen = ", ".join(f"{value} AS {name}" for name, value in ({grain: grain} | columns).items())
+    day = "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))"
+    later = f"ts + CAST({day} * {spread - 1} AS INT) * INTERVAL '1' DAY AS created_at"
+    return _with("ws wo wr", ctes).replace("ts AS created_at", later) + f"SELECT {chosen} FROM lagged"
 
 
 TREND = {
-    "day": "day",
     "sessions": "visits",
     "orders": "bought",
     "conversion_rate_pct": pct("bought", "visits"),
@@ -322,11 +329,14 @@ TREND_REFUNDS = {
     "gross_margin": usd("margin"),
     "gross_margin_rate_pct": pct_usd("margin", "gross"),
 }
-TREND_CHANGE = {
-    "sessions_dod_change_pct": pct("visits - visits0", "visits0"),
-    "orders_dod_change_pct": pct("bought - bought0", "bought0"),
-    "revenue_dod_change_pct": pct_usd("gross - gross0", "gross0"),
-}
+
+
+def _change(suffix: str) -> dict[str, str]:
+    return {
+        f"sessions_{suffix}_change_pct": pct("visits - visits0", "visits0"),
+        f"orders_{suffix}_change_pct": pct("bought - bought0", "bought0"),
+        f"revenue_{suffix}_change_pct": pct_usd("gross - gross0", "gross0"),
+    }
 
 
 def _segments(keys: dict[str, str], source: str = "ws", least: int = 0) -> str:
@@ -501,7 +511,9 @@ def _pivot(source: str, value: str, kind: str) -> str:
         f"CAST(COALESCE(sum(CASE WHEN product_type = '{t}' THEN {value} END), 0) AS {kind}) AS {t}"
         for t in PRODUCT_TYPES
     )
-    return _with("it pr", MIX) + f"SELECT month, {wide} FROM {source} GROUP BY month"
+    listed = ", ".join(f"'{t}'" for t in PRODUCT_TYPES)
+    rest = f"COALESCE(sum(CASE WHEN product_type IN ({listed}) THEN 0 ELSE {value} END), 0)"
+    return _with("it pr", MIX) + f"SELECT month, {wide}, CAST({rest} AS {kind}) AS other FROM {source} GROUP BY month"
 
 
 NAMED_SESSIONS = (
@@ -640,17 +652,102 @@ def _attach_rate() -> str:
     )
 
 
-def _paths() -> str:
+def _first_visit_orders() -> str:
     pages = ", ".join(f"'{page}'" for page in EVENT_PAGES)
     ctes = {
-        "visits": "SELECT website_session_id, pageview_url, min(created_at) AS seen "
+        "visits": "SELECT website_session_id, pageview_url, min(created_at) AS seen, "
+        "min_by(website_pageview_id, (created_at, website_pageview_id)) AS seen_id "
         f"FROM pv WHERE pageview_url IN ({pages}) GROUP BY 1, 2",
-        "walks": "SELECT website_session_id, string_agg(pageview_url, ' > ' ORDER BY seen) AS path "
+        "walks": "SELECT website_session_id, string_agg(pageview_url, ' > ' ORDER BY seen, seen_id) AS path "
         "FROM visits GROUP BY 1",
     }
     return _with("pv", ctes) + "SELECT path, count(*) AS sessions FROM walks GROUP BY 1"
 
 
+def _session_paths() -> str:
+    ctes = {
+        "walks": "SELECT website_session_id, list(pageview_url ORDER BY created_at, website_pageview_id) AS pages "
+        "FROM pv WHERE website_session_id IS NOT NULL GROUP BY 1",
+        "paths": "SELECT pages, min(website_session_id) AS path_id, count(*) AS sessions FROM walks GROUP BY 1",
+    }
+    return _with("pv", ctes) + (
+        "SELECT path_id, CAST(step AS BIGINT) AS step, pages[step] AS page, sessions "
+        "FROM (SELECT *, unnest(generate_series(1, len(pages))) AS step FROM paths)"
+    )
+
+
+# --- Tables with flaws, so that the checks find some ---
+
+FLAWED = {
+    "f_ws": "SELECT CASE WHEN s.website_session_id % 13 <> 0 THEN s.website_session_id END AS website_session_id, "
+    "arg_min(pv.created_at, pv.website_pageview_id) AS created_at FROM ws s "
+    "JOIN pv ON pv.website_session_id = s.website_session_id "
+    "WHERE s.website_session_id % 11 <> 0 GROUP BY s.website_session_id",
+    "f_pr": "SELECT CASE WHEN product_id % 50 <> 0 THEN product_id END AS product_id FROM pr",
+    "f_od": "SELECT CASE WHEN order_id % 97 <> 0 THEN order_id END AS order_id, created_at FROM od",
+    "f_it": "SELECT CASE WHEN order_item_id % 101 <> 0 THEN order_item_id END AS order_item_id, order_id, "
+    "product_id, created_at, price_usd FROM it",
+    "f_rf": "SELECT order_item_refund_id, order_item_id, order_id + CASE WHEN order_item_id % 7 = 0 THEN 1 ELSE 0 END "
+    "AS order_id, created_at, CAST(refund_amount_usd * (order_item_id % 3 + 1) * 0.50 AS DECIMAL(12,2)) "
+    "AS refund_amount_usd FROM rf UNION ALL "
+    "SELECT order_item_refund_id + 1, order_item_id, order_id, created_at, refund_amount_usd FROM rf "
+    "WHERE order_item_id % 5 = 0",
+}
+FLAWED_TABLES = "ws wo pv pr od it rf"
+
+
+def _flawed_orphans() -> str:
+    relations = [
+        ("orders_without_matching_session", "wo", "website_session_id", "f_ws", "website_session_id"),
+        ("website_pageviews_without_matching_session", "pv", "website_session_id", "f_ws", "website_session_id"),
+        ("order_items_without_matching_order", "f_it", "order_id", "f_od", "order_id"),
+        ("order_items_without_matching_product", "f_it", "product_id", "f_pr", "product_id"),
+        ("order_item_refunds_without_matching_order_item", "f_rf", "order_item_id", "f_it", "order_item_id"),
+        ("order_item_refunds_without_matching_order", "f_rf", "order_id", "f_od", "order_id"),
+    ]
+    rows = [
+        f"SELECT '{name}' AS check_name, count(*) AS orphan_count FROM {child} c "
+        f"WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pk} = c.{fk})"
+        for name, child, fk, parent, pk in relations
+    ]
+    return _with(FLAWED_TABLES, FLAWED) + " UNION ALL ".join(rows)
+
+
+def _flawed_nulls() -> str:
+    keys = [
+        ("products", "f_pr", "product_id"),
+        ("website_sessions", "f_ws", "website_session_id"),
+        ("orders", "f_od", "order_id"),
+        ("order_items", "f_it", "order_item_id"),
+    ]
+    rows = [f"SELECT '{name}.{key}' AS field_name, count(*) - count({key}) AS null_count FROM {t}" for name, t, key in keys]
+    return _with(FLAWED_TABLES, FLAWED) + " UNION ALL ".join(rows)
+
+
+def _flawed_consistency() -> str:
+    return _with(FLAWED_TABLES, FLAWED) + (
+        "SELECT count(*) AS refunds, count(*) FILTER (WHERE i.order_item_id IS NULL) AS refunds_without_line, "
+        "count(*) FILTER (WHERE i.order_item_id IS NOT NULL AND r.order_id IS DISTINCT FROM i.order_id) "
+        "AS order_id_mismatches, count(*) FILTER (WHERE refund_amount_usd < price_usd) AS partial_refunds, "
+        "count(*) FILTER (WHERE refund_amount_usd > price_usd) AS refunds_above_price "
+        "FROM f_rf r LEFT JOIN f_it i ON i.order_item_id = r.order_item_id"
+    )
+
+
+def _flawed_most() -> str:
+    return _with(FLAWED_TABLES, FLAWED | {"c": "SELECT count(*) AS n FROM f_rf GROUP BY order_item_id"}) + (
+        "SELECT max(n) AS max_refunds_per_order_item, "
+        "sum(CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT AS order_items_with_multiple_refunds FROM c"
+    )
+
+
+def _flawed_before(child: str, name: str) -> str:
+    return _with(FLAWED_TABLES, FLAWED) + (
+        f"SELECT count(*) AS {name} FROM {child} c, f_ws p "
+        "WHERE c.website_session_id = p.website_session_id AND c.created_at < p.created_at"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     least, most = FIRST_WEEKS
     users = (
@@ -716,7 +813,8 @@ def oracle_sql() -> dict[str, str]:
         "refunds_before_order": _before("rf", "od", "order_id", "refunds_before_order_count"),
         # KPIs
         "core_kpis": _headlines(list(HEADLINES)),
-        "monthly_kpis": _daily(TREND | TREND_REFUNDS),
+        "monthly_kpis": _trend(TREND | TREND_REFUNDS, "month", MONTHS_SPREAD),
+        "daily_kpis": _trend(TREND | TREND_REFUNDS),
         "source_performance": _performance("utm_source", "direct_or_none"),
         "campaign_performance": _performance("utm_campaign", "no_campaign"),
         "device_performance": _performance("device_type"),
@@ -724,7 +822,8 @@ def oracle_sql() -> dict[str, str]:
         + f"SELECT sums.product_id, product_name, {_columns(PRODUCT_COLUMNS)}, {usd('cogs')} AS total_cogs "
         "FROM sums JOIN pr ON pr.product_id = sums.product_id",
         # Business analysis
-        "monthly_growth": _daily(TREND | TREND_CHANGE),
+        "monthly_growth": _trend(TREND | _change("mom"), "month", MONTHS_SPREAD),
+        "daily_growth": _trend(TREND | _change("dod")),
         "source_campaign_segments": _against_site(
             {
                 "utm_source": "COALESCE(x.utm_source, 'direct_or_none')",
@@ -767,7 +866,8 @@ def oracle_sql() -> dict[str, str]:
         "core_kpis_check": _headlines(CHECKED).replace(
             "'session_to_order_conversion_rate_pct'", "'conversion_rate_pct'"
         ),
-        "monthly_trend": _daily(TREND),
+        "monthly_trend": _trend(TREND, "month", MONTHS_SPREAD),
+        "daily_trend": _trend(TREND),
         "monthly_items_per_order": _with("it", {"b": month_baskets})
         + f"SELECT month, {avg('sum(n)', 'count(*)')} AS avg_items_per_order FROM b GROUP BY 1",
         "monthly_product_sales": _with("it pr") + _sales("product_name"),
@@ -812,6 +912,10 @@ def oracle_sql() -> dict[str, str]:
         f"{fraction_usd('sum(price_usd)', 'count(*)', True)} AS average_order_value, "
         f"{fraction_usd('sum(price_usd - cogs_usd)', 'sum(price_usd)')} AS gross_margin_rate FROM od GROUP BY 1",
         "product_mix_pct": _product_mix_pct(),
+        "refund_order_rate_by_source": _metrics(["refund_order_rate"], "utm_source"),
+        "metrics_without_campaign": _metrics(
+            CHANNEL, "device_type", "fs.website_session_id IN (SELECT website_session_id FROM ws WHERE utm_content IS NULL OR utm_content = 'ad_1')"
+        ),
         "metrics_filtered": _metrics(
             CHANNEL,
             "utm_campaign",
@@ -822,10 +926,11 @@ def oracle_sql() -> dict[str, str]:
         "kpi_reconciliation": _reconciliation(),
         "header_line_reconciliation": _header_lines(),
         "refund_consistency": _with("wo wr")
-        + "SELECT count(*) AS refunds, count(*) FILTER (WHERE wr.order_id <> wo.order_id) AS order_id_mismatches, "
+        + "SELECT count(*) AS refunds, count(*) FILTER (WHERE wo.order_id IS NULL) AS refunds_without_line, "
+        "count(*) FILTER (WHERE wr.order_id <> wo.order_id) AS order_id_mismatches, "
         "count(*) FILTER (WHERE refund_amount_usd < price_usd) AS partial_refunds, "
         "count(*) FILTER (WHERE refund_amount_usd > price_usd) AS refunds_above_price "
-        "FROM wr JOIN wo ON wo.order_id = wr.order_item_id",
+        "FROM wr LEFT JOIN wo ON wo.order_id = wr.order_item_id",
         "landing_rule_agreement": _with("pv", {"x": both_rules})
         + "SELECT count(*) AS sessions, count(*) FILTER (WHERE a IS DISTINCT FROM b) "
         "AS sessions_with_different_landing FROM x",
@@ -836,5 +941,13 @@ def oracle_sql() -> dict[str, str]:
         "attach_rate": _attach_rate(),
         "user_cohorts": _with("ws", {"u": users})
         + "SELECT first_week, week, count(DISTINCT user_id) AS users FROM u GROUP BY 1, 2",
-        "session_paths": _paths(),
+        "session_paths": _session_paths(),
+        "first_visit_orders": _first_visit_orders(),
+        # Tables with flaws
+        "pk_nulls_flawed": _flawed_nulls(),
+        "fk_orphans_flawed": _flawed_orphans(),
+        "refunds_per_item_flawed": _flawed_most(),
+        "refund_consistency_flawed": _flawed_consistency(),
+        "orders_before_session_flawed": _flawed_before("wo", "orders_before_session_count"),
+        "pageviews_before_session_flawed": _flawed_before("pv", "pageviews_before_session_count"),
     }

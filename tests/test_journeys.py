@@ -109,18 +109,44 @@ def test_landing_page_labels_and_base(make):
     assert found["/home"]["session_share_pct"] == usd("54.55")
 
 
-def test_session_paths_against_brute_force(make):
+def _random_views(make, n_sessions):
+    """Visits that repeat pages, in the same minute and second, of pages no list names, and of no session."""
     rng = random.Random(3)
-    pages = ["/a", "/b", "/c"]
     data = [
-        (i, at(f"2012-01-01 10:{rng.randrange(60):02}"), rng.randrange(40), rng.choice(pages + ["/other"]))
+        (
+            i,
+            at(f"2012-01-01 10:{rng.randrange(4):02}:{rng.choice(['00', '30'])}"),
+            rng.choice([None, *range(n_sessions)]),
+            rng.choice(["/a", "/b", "/c", "/other", None]),
+        )
         for i in range(400)
     ]
-    views = make("website_pageviews", "website_pageview_id created_at website_session_id pageview_url", *data)
+    columns = "website_pageview_id created_at website_session_id pageview_url"
+    return make("website_pageviews", columns, *data), sorted(data, key=lambda r: (r[1], r[0]))
+
+
+def test_first_visit_orders_against_brute_force(make):
+    pages = ["/a", "/b", "/c"]
+    views, in_order = _random_views(make, 40)
     walks: dict[int, list[str]] = {}
-    for _, _, session, page in sorted(data, key=lambda r: (r[1], r[0])):
+    for _, _, session, page in in_order:
         walk = walks.setdefault(session, [])
         if page in pages and page not in walk:
             walk.append(page)
     expected = Counter(" > ".join(walk) for walk in walks.values())
-    assert dict(rows(jobs.session_paths(views, pages))) == expected
+    assert dict(rows(jobs.first_visit_orders(views, pages))) == expected
+
+
+@pytest.mark.parametrize("n_sessions", [2, 40, 300])
+def test_session_paths_against_brute_force(make, n_sessions):
+    views, in_order = _random_views(make, n_sessions)
+    walks: dict[int, tuple] = {}
+    for _, _, session, page in in_order:
+        if session is not None:
+            walks[session] = (*walks.get(session, ()), page)
+    taken = Counter(walks.values())
+    least = {path: min(s for s, p in walks.items() if p == path) for path in taken}
+    expected = {(least[p], k, page, n) for p, n in taken.items() for k, page in enumerate(p, 1)}
+    found = rows(jobs.session_paths(views))
+    assert set(found) == expected and len(found) == len(expected)
+    assert sum(r[3] for r in found) == sum(session is not None for _, _, session, _ in in_order)

@@ -165,3 +165,40 @@ def test_empty_tables(make):
     names = ("website_sessions", "orders", "order_items", "order_item_refunds", "products")
     (row,) = compute(build_model({name: make(name, "created_at") for name in names})).collect()
     assert row.total_sessions == 0 and row.conversion_rate is None and row.gross_revenue is None
+
+
+def test_each_metric_alone(tables):
+    """Ungrouped, grouped by an attribute of sessions, and filtered: as in the table of all metrics."""
+    model = build_model(tables)
+    (whole,) = compute(model).collect()
+    grouped = by(compute(model, by=["utm_source"]), "utm_source")
+    (filtered,) = compute(model, filters={"device_type": "mobile"}).collect()
+    for metric in METRICS:
+        assert compute(model, [metric]).collect()[0][metric] == whole[metric]
+        for source, row in by(compute(model, [metric], by=["utm_source"]), "utm_source").items():
+            assert row[metric] == grouped[source][metric]
+        assert compute(model, [metric], filters={"device_type": "mobile"}).collect()[0][metric] == filtered[metric]
+
+
+def test_refunded_orders_alone(tables):
+    model = build_model(tables)
+    found = by(compute(model, ["refunded_orders"], by=["utm_source"]), "utm_source")
+    assert found["g"]["refunded_orders"] == 2
+    assert compute(model, ["refunded_orders"], filters={"device_type": "mobile"}).collect()[0][0] == 1
+
+
+def test_missing_values_can_be_chosen(tables):
+    model = build_model(tables)
+
+    def sessions(wanted):
+        return compute(model, ["total_sessions"], filters={"device_type": wanted}).collect()[0][0]
+
+    assert sessions(None) == 1 and sessions([None]) == 1
+    assert sessions([None, "mobile"]) == 2 and sessions({"mobile"}) == 1 and sessions([]) == 0
+
+
+def test_names_that_no_table_has_are_errors(tables):
+    model = build_model(tables)
+    with pytest.raises(ValueError, match="devise_type"):
+        compute(model, ["total_sessions"], filters={"devise_type": "mobile"})
+    compute(model, ["total_sessions"], filters={"product_name": "Bear", "date": dt.date(2012, 1, 1)}).collect()

@@ -27,7 +27,7 @@ def test_conversion_needs_no_expand(plan_settings, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["funnel_steps", "session_funnel_flags", "session_paths", "landing_rule_agreement", "pageviews_by_url"]
+    "name", ["funnel_steps", "session_funnel_flags", "first_visit_orders", "landing_rule_agreement", "pageviews_by_url"]
 )
 def test_pageviews_are_scanned_once(plan_settings, name):
     assert plan(plan_settings, name).count("FileScan") == 1
@@ -75,3 +75,21 @@ def test_windows_never_run_over_fact_rows(plan_settings):
         text = plan(plan_settings, name)
         below = text[text.index("Window") :]
         assert "HashAggregate" in below[: below.index("FileScan")]
+
+
+def test_no_line_is_sorted_before_it_is_combined(plan_settings):
+    for name in ("attach_rate", "product_performance", "fk_orphans"):
+        assert "SortAggregate" not in plan(plan_settings, name)
+
+
+def test_baskets_and_primary_products_meet_before_an_exchange(plan_settings):
+    """A join whose rows are shuffled again can be split where an order is large."""
+    text = plan(plan_settings, "attach_rate")
+    join = text.index("SortMergeJoin [order_id")
+    assert "Exchange hashpartitioning(primary_product_id" in text[:join]
+
+
+def test_items_are_added_up_once_for_their_share(spark):
+    df = jobs.queries()["product_mix_pct"](spark, SF)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from decimal import Decimal
 
 import pytest
 
@@ -102,24 +103,30 @@ def test_refund_rate_equal_to_the_average_is_no_risk(make):
     assert row.product_business_status == "top_net_revenue_product"
 
 
-@pytest.mark.parametrize("ranges", ["1", "3", "40"])
-def test_rank_over_all_equals_rank(spark, ranges):
-    """With any number of ranges, also when adaptive execution does not merge them."""
-    rng = random.Random(int(ranges))
+@pytest.mark.parametrize("kind", ["long", "decimal(22,2)"])
+def test_rank_over_all_equals_rank(spark, kind):
+    """With ties held by a third of all rows, NULLs, both signs and values of very different size."""
+    rng = random.Random(kind)
     values = [0] * 400 + [rng.randrange(-50, 50) for _ in range(300)] + [None] * 5 + [10**9, -(10**9)]
+    values += [rng.randrange(-(10**k), 10**k) for k in range(1, 12) for _ in range(40)]
+    if kind != "long":
+        values = [v if v is None else Decimal(v) / 100 for v in values]
     rng.shuffle(values)
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v long")
-    spark.conf.set("spark.sql.shuffle.partitions", ranges)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"id long, v {kind}")
     found = rank_over_all(df, "v", "r").collect()
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     order = lambda v: (0, 0) if v is None else (1, -v)
     assert len(found) == len(values)
     for row in found:
         assert row.r == 1 + sum(order(v) < order(row.v) for v in values)
 
 
+def test_product_refund_risk_starts_no_job(spark, shop, tmp_path):
+    spark.sparkContext.setJobGroup("lazy", "")
+    jobs.product_refund_risk(*shop)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_rank_over_all_of_nothing(spark):
     assert rank_over_all(spark.createDataFrame([], "v long"), "v", "r").collect() == []
 
@@ -131,6 +138,13 @@ def test_items_per_order_by_month(shop):
     ]
 
 
+def test_items_per_order_dated_by_the_order(shop, make):
+    """Lines without a date of their own; an order that is unknown or undated is left out."""
+    items = make("order_items", "order_item_id order_id", (1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (6, 4))
+    orders = make("orders", "order_id created_at", (1, at("2012-01-31")), (2, at("2012-01-01")), (3, None))
+    assert rows(jobs.items_per_order_by_period(items, orders=orders)) == [(dt.date(2012, 1, 1), usd("2.00"))]
+
+
 def test_sales_mix_and_pivot(shop):
     items, products, _ = shop
     sales = jobs.product_sales_by_period(items, products)
@@ -143,13 +157,15 @@ def test_sales_mix_and_pivot(shop):
     mix = jobs.product_mix(sales)
     assert [r.product_share_pct for r in mix.collect()] == [usd("66.67"), usd("33.33"), usd("100.00")]
     assert rows(jobs.pivot_periods(sales, "month", "product_name", "items_sold", ["Panda", "Bear", "None such"])) == [
-        (january, 1, 2, 0),
-        (february, 0, 1, 0),
+        (january, 1, 2, 0, 0),
+        (february, 0, 1, 0, 0),
     ]
     assert rows(jobs.pivot_periods(mix, "month", "product_name", "product_share_pct", ["Panda"])) == [
-        (january, usd("33.33")),
-        (february, usd("0.00")),
+        (january, usd("33.33"), usd("66.67")),  # what is not listed is not lost
+        (february, usd("0.00"), usd("100.00")),
     ]
+    with pytest.raises(ValueError, match="Panda"):
+        jobs.pivot_periods(mix, "month", "product_name", "product_share_pct", ["Panda"], rest="Panda")
 
 
 def test_time_to_refund(shop, make):

@@ -90,8 +90,10 @@ def test_refund_consistency(make):
         (1, 1, 1, usd("10.00")),
         (2, 2, 2, usd("4.00")),
         (3, 2, 1, usd("6.00")),
+        (4, 9, 1, usd("6.00")),  # no such line
+        (5, None, 1, usd("6.00")),
     )
-    assert rows(quality.refund_consistency(items, refunds)) == [(3, 1, 1, 1)]
+    assert rows(quality.refund_consistency(items, refunds)) == [(5, 2, 1, 1, 1)]
 
 
 def test_keys_cover_all_relations():
