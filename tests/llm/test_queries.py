@@ -1,0 +1,94 @@
+"""The registered queries on a whole small table, column by column, against brute force."""
+
+import pytest
+
+from clickmart.llm import queries, token_counts
+from tests.llm import brute
+from tests.llm.conftest import PLAIN, expected, rows_of
+from tests.llm.test_packing import check_sequences
+from tests.llm.test_scoring import close
+
+FOUND = queries.queries()
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{PLAIN}/benchmark.parquet").select("item_id", "text").collect()]
+
+
+def run(spark, name):
+    return FOUND[name](spark, PLAIN)
+
+
+def test_names():
+    numbers = sorted(int(name[2:].split("_")[0]) for name in FOUND if name.startswith("op"))
+    assert numbers == list(range(1, 11)) and "pipeline" in FOUND
+    assert set(queries.oracle_sql()) <= set(FOUND)
+
+
+def test_op1(spark, given):
+    found = run(spark, "op1_lm_scoring")
+    assert found.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    found = [tuple(r) for r in found.collect()]
+    close(found, brute.lm_scores(given))
+    unseen = [r for r in found if r[1]]
+    assert sum(r[6] for r in unseen) > sum(r[5] for r in unseen)
+
+
+def test_op3(spark, given):
+    assert rows_of(run(spark, "op3_line_dedup"), "doc_id", "n_lines", "n_dropped", "kept_sha256") == expected(brute.line_dedup(given))
+
+
+def test_op4(spark, given):
+    columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    found = run(spark, "op4_quality_rules")
+    assert found.columns == columns and rows_of(found, "*") == expected(brute.quality(given))
+
+
+def test_op4_keeps_what_is_labelled_good(spark):
+    """Of the labelled documents with enough words, all good ones but a few stay and nearly all bad ones go."""
+    found = queries.quality_rules_query(spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    by = {tuple(r)[:2]: r["n"] for r in found.where("not base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().withColumnRenamed("count", "n").collect()}
+    assert by.get((1, False), 0) <= 0.01 * by[(1, True)]
+    assert by.get((0, True), 0) <= 0.2 * (by.get((0, False), 0) + 1)
+
+
+def test_op5(spark, given):
+    found = run(spark, "op5_license_scan")
+    assert found.columns == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    assert rows_of(found.select(found.columns[:6]), "*") == expected(brute.license_base(given))
+
+
+def test_op6(spark, given):
+    pieces = token_counts.vocabulary(queries._tokenizer("piece_bpe_32k.model"))
+    assert rows_of(run(spark, "op6_token_counts"), "*") == expected(brute.unigram_counts(given, pieces))
+
+
+def test_op7(spark, given):
+    found = run(spark, "op7_best_fit_packing")
+    path = queries._tokenizer("word_bpe_49k.json")
+    assert rows_of(found, "doc_id", "piece", "start", "length", "ids_crc32") == expected(brute.token_pieces(given, path))
+    used, least = check_sequences(found.collect(), 4096)
+    assert used <= least + 1
+
+
+def test_op8(spark, given):
+    assert rows_of(run(spark, "op8_simhash_near_dedup"), "doc_id", "fingerprint", "component_id") == expected(brute.simhash(given))
+
+
+def test_op9(spark, given):
+    """Bands miss a similar pair now and then, never equal paragraphs."""
+    from tests.llm.test_passages import brute_report
+
+    found = {r[0]: r for r in rows_of(run(spark, "op9_substring_dedup"), "doc_id", "class_id", "n_repeated", "n_removed", "words_removed")}
+    wanted = {r[0]: r for r in brute_report(given)}
+    assert found.keys() == wanted.keys()
+    assert sum(found[i] == wanted[i] for i in wanted) >= 0.98 * len(wanted)
+
+
+def test_op10(spark, given, items):
+    some = [r for r in given if len(r[1]) < 3000]
+    ids = {i for i, _ in some}
+    found = run(spark, "op10_benchmark_decontamination").where("coverage < 1.1")
+    assert [r for r in rows_of(found, "doc_id", "item_id", "coverage") if r[0] in ids] == expected(brute.contamination(some, items))

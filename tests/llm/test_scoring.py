@@ -25,13 +25,6 @@ def test_interpolated_scores(as_documents, order, chunk, span):
     close([tuple(r) for r in found.collect()], brute.lm_scores([r for r in LM], order))
 
 
-def test_given_texts_score_better_than_by_add_one(as_documents, given):
-    found = [tuple(r) for r in lm_interpolation.interpolated_scores(as_documents(given), chunk_tokens=9000).collect()]
-    close(found, brute.lm_scores(given))
-    unseen = [r for r in found if r[1]]
-    assert sum(r[6] for r in unseen) > sum(r[5] for r in unseen)
-
-
 def test_probabilities_add_up_to_one(as_documents):
     """Of all known tokens, the end among them, and one for the unknown; single tokens, so that a text's is theirs times the end's."""
     train = [(i, "a b a c b a") for i in range(10, 40)]
@@ -64,9 +57,8 @@ def test_ties_are_decided_as_by_the_tokenizer(spark):
     assert expected(found) == expected(brute.unigram_counts(texts, PIECES))
 
 
-@pytest.mark.parametrize("source", ["odd", "given"])
-def test_token_counts(as_documents, given, source):
-    rows = [r for r in ODD if r[1] != LONG] if source == "odd" else given
+def test_token_counts(as_documents):
+    rows = [r for r in ODD if r[1] != LONG]
     path = queries._tokenizer("piece_bpe_32k.model")
     found = token_counts.token_counts(as_documents(rows), path)
     assert rows_of(found, "*") == expected(brute.unigram_counts(rows, token_counts.vocabulary(path)))
@@ -91,11 +83,10 @@ LICENCES = [
 ]
 
 
-@pytest.mark.parametrize("source", ["odd", "given"])
-def test_license_places(as_documents, given, source):
-    rows = LICENCES if source == "odd" else given
-    found = license_scan.scan(as_documents(rows))
-    assert rows_of(found, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == expected(brute.license_base(rows))
+def test_license_places(as_documents):
+    found = license_scan.scan(as_documents(LICENCES))
+    columns = "doc_id n_words n_base first_word last_word base_labels".split()
+    assert rows_of(found, *columns) == expected(brute.license_base(LICENCES))
     for row in found.collect():
         assert set(filter(None, row["base_labels"].split(","))) <= set(row["labels"].split(","))
         assert 0 <= row["score"] <= 1 and (row["score"] > 0) == (row["labels"] != "")
