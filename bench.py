@@ -1,6 +1,7 @@
 """Time the headline queries on local[$BENCH_CPUS] over $BENCH_SF_DIR and print one JSON line.
 
-Arguments name the queries to time instead; ``all`` times every registered query.
+Arguments name the queries to time instead; ``all`` times every query of the library's own. Every query runs once to
+warm up, then $BENCH_RUNS times (3 if not given), of which the median counts.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import os
 import re
 import sys
 import time
+from statistics import median
 
 from clickmart_checks import jobs
 from clickmart_checks.compare import local_session
@@ -47,11 +49,12 @@ def main(names: list[str]) -> None:
     def run(name: str) -> float:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        return round(time.perf_counter() - start, 3)
+        return time.perf_counter() - start
 
-    for name in names[:3]:  # warm the JVM
+    for name in names:
         run(name)
-    seconds = {name: run(name) for name in names}
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    seconds = {name: round(median(run(name) for _ in range(runs)), 3) for name in names}
     scale = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(

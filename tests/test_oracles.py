@@ -63,3 +63,19 @@ def test_job(spark, name):
 @pytest.mark.parametrize("name", list(jobs.queries()))
 def test_job_with_hot_keys(spark, like_large_tables, hot_dir, name):
     assert differences(jobs.queries()[name](spark, hot_dir), oracles.oracle_sql()[name], duck(hot_dir)) == []
+
+
+@pytest.mark.parametrize("name", ["source_campaign_segments", "landing_page_performance"])
+def test_job_with_floors_that_leave_rows(spark, monkeypatch, name):
+    for module in (jobs, oracles):
+        monkeypatch.setattr(module, "MIN_CAMPAIGN_SESSIONS", 20)
+        monkeypatch.setattr(module, "MIN_LANDING_SESSIONS", 70)
+    df = jobs.queries()[name](spark, PLAIN)
+    assert 0 < df.count() and differences(df, oracles.oracle_sql()[name], duck(PLAIN)) == []
+
+
+@pytest.mark.parametrize("name", [name for name in jobs.queries() if name.endswith("_flawed")])
+def test_flaws_are_found(spark, name):
+    """Every number that a check reports is above zero."""
+    for row in jobs.queries()[name](spark, "/root/testdata/sf0.01").collect():
+        assert all(value > 0 for value in row if not isinstance(value, str)), row
