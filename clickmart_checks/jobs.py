@@ -551,9 +551,9 @@ def first_visit_orders(t):
 
 
 def _flawed_sessions(t: DriverTables) -> DataFrame:
-    """Sessions without every eleventh, some without id, dated by their first page view by id instead of time."""
-    first = t.pageviews().groupBy("website_session_id").agg(F.min_by("created_at", "website_pageview_id").alias("created_at"))
-    kept = first.where("website_session_id % 11 <> 0")
+    """Sessions without every eleventh, some without id, dated by their last page view instead of the first."""
+    last = t.pageviews().groupBy("website_session_id").agg(F.max_by("created_at", "website_pageview_id").alias("created_at"))
+    kept = last.where("website_session_id % 11 <> 0")
     return kept.withColumn("website_session_id", F.expr("IF(website_session_id % 13 <> 0, website_session_id, NULL)"))
 
 

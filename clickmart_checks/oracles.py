@@ -680,7 +680,7 @@ def _session_paths() -> str:
 
 FLAWED = {
     "f_ws": "SELECT CASE WHEN s.website_session_id % 13 <> 0 THEN s.website_session_id END AS website_session_id, "
-    "arg_min(pv.created_at, pv.website_pageview_id) AS created_at FROM ws s "
+    "arg_max(pv.created_at, pv.website_pageview_id) AS created_at FROM ws s "
     "JOIN pv ON pv.website_session_id = s.website_session_id "
     "WHERE s.website_session_id % 11 <> 0 GROUP BY s.website_session_id",
     "f_pr": "SELECT CASE WHEN product_id % 50 <> 0 THEN product_id END AS product_id FROM pr",
