@@ -145,7 +145,8 @@ def repeats(docs: DataFrame, **filter_options: int) -> DataFrame:
     keys = settle(map_rows(texts_of(docs).where("doc_id is not null"), _keys_of, KEYS))
     suspected = settle(suspects(keys, **filter_options).distinct())
     first = suspected.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    lost = suspected.join(first.select("key", "first"), "key").where("doc_id > first").select("doc_id", "key")
+    first = settle(first.select("key", "first"))  # a join of two tables, in which a key of many documents can be split
+    lost = suspected.join(first, "key").where("doc_id > first").select("doc_id", "key")
     return settle(lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys")))  # no longer than the document
 
 
