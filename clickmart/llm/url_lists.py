@@ -62,7 +62,8 @@ def as_of(keys: DataFrame, valid: DataFrame, group: list[str]) -> DataFrame:
 def on_lists(captures: DataFrame, entries: DataFrame, url: str, day: str, exceptions: tuple[str, ...] = ("allow",)) -> DataFrame:
     """``captures`` with ``host``, ``lists`` (the sorted names of the lists it was on that day) and ``blocked``."""
     valid = intervals(entries)
-    work = captures.withColumns({"_host": host_of(F.col(url)), "_path": F.lower(path_of(F.col(url))), "_day": F.col(day).cast("date")})
+    whole = F.struct(*(captures[c] for c in captures.columns)).alias("_row")  # apart from names used here
+    work = captures.select(whole, host_of(captures[url]).alias("_host"), F.lower(path_of(captures[url])).alias("_path"), captures[day].cast("date").alias("_day"))
     known = work.where("_host <> '' and _day is not null").select("_host", "_path", "_day")
 
     labels = F.split("_host", r"\.")
@@ -89,7 +90,7 @@ def on_lists(captures: DataFrame, entries: DataFrame, url: str, day: str, except
     excepted = F.arrays_overlap(lists, F.array(*map(F.lit, exceptions)).cast("array<string>"))
     names = {new: fresh(new, captures) for new in ("host", "lists", "blocked")}
     return found.select(
-        *captures.columns,
+        "_row.*",
         F.col("_host").alias(names["host"]),
         lists.alias(names["lists"]),
         ((F.size(lists) > 0) & ~excepted).alias(names["blocked"]),

@@ -171,10 +171,11 @@ URLS = [
 def test_lists_as_of_the_day(spark):
     captures = [(u, DAY + dt.timedelta(n)) for u in URLS for n in (-1, 0, 4, 5, 9, 10, 19, 20, 25, 31)]
     captures += [(URLS[0], None), (URLS[0], DAY), (URLS[0], DAY)]
-    table = spark.createDataFrame([(*c, "mine") for c in captures], "url string, day date, lists string")
+    table = spark.createDataFrame([(*c, "mine", "h") for c in captures], "url string, day date, lists string, _host string")
     entries = spark.createDataFrame(ENTRIES, "list string, kind string, key string, action string, day date")
     found = url_lists.on_lists(table, entries, "url", "day")
-    assert found.columns == ["url", "day", "lists", "host", "lists_", "blocked"]
+    assert found.columns == ["url", "day", "lists", "_host", "host", "lists_", "blocked"]
+    assert {tuple(r) for r in found.select("lists", "_host").collect()} == {("mine", "h")}
     assert rows_of(found, "url", "day", "host", "lists_", "blocked") == expected(brute.active_lists(captures, ENTRIES))
     kept = url_lists.keep_allowed(table, entries, "url", "day")
     assert kept.columns == table.columns
