@@ -280,6 +280,7 @@ def source_campaign_segments(
         .when(~has_volume(share) & earns_well(), "smaller_but_high_value")
         .otherwise("average_or_low_priority")
     )
+    # The report's columns.
     return compared.select(
         *dims,
         "sessions",
@@ -295,6 +296,7 @@ def source_campaign_segments(
 
 def compared_columns(dim: str, status: Column, name: str) -> list[Column]:
     """The columns shared by the device and landing page comparisons."""
+    # The reports' columns.
     columns = (
         dim,
         "sessions",
