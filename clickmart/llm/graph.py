@@ -11,14 +11,14 @@ from clickmart.llm.common import settle
 def _star(edges: DataFrame) -> DataFrame:
     """Edges ``(u, v)``, v < u, by which every neighbour of a node that is not smaller hangs on the least one."""
     both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    # Hubs are split by adaptive execution: each neighbour needs one row of ``least``.
+    least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    # A join of two tables, so that adaptive execution can split the neighbours of a hub.
     return both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, hang on the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = settle(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
-        after = settle(_small_star(_star(now).distinct()).distinct())
+        after = settle(_small_star(settle(_star(now).distinct())).distinct())
         # A star in which each node hangs on a node that hangs on nothing stays as it is.
         hanging = after.select(F.col("u").alias("node"))
         done = after.join(hanging, after["v"] == hanging["node"], "left_semi").limit(1).count() == 0
