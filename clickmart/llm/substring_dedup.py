@@ -11,8 +11,10 @@ the bucket, where a prefix of their rarest shingles says they may pass (two sets
 shingle of such prefixes). So no candidate is lost and nothing is paired up where a bucket is a group of copies. Links
 have exact Jaccard similarity. Their components are classes of paragraphs.
 
-Paragraphs of a class that two documents hold are repeated. Runs of them, with small gaps, count as a passage from
-``min_words`` on. A passage's paragraphs stay in the smallest doc_id that holds their class and go elsewhere.
+Paragraphs of a class that two documents hold are repeated. A passage is a sequence of them, with small gaps, of
+``min_words`` or a few more; it counts if two documents hold the same sequence of classes. So a short line that many
+documents have links none of them, whatever stands beside it. A passage's paragraphs stay in the smallest doc_id that
+holds it and go elsewhere.
 
 Edge cases: NULL and empty texts have no paragraphs; paragraphs shorter than a shingle are never compared; a paragraph
 repeated within one document only is none; rows without doc_id are left as they are; rows that repeat a doc_id are one
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickmart.llm.common import fresh, settle, texts_of, utf8
@@ -230,8 +232,8 @@ def links(mixed: DataFrame, shingles: DataFrame, similar: float) -> DataFrame:
     return led.union(similar_pairs(others, shingles, similar))
 
 
-def passages(docs: DataFrame, similar: float = SIMILAR, min_words: int = MIN_WORDS, recall: float = 0.98) -> DataFrame:
-    """doc_id, start, n_words, class and first (the class's smallest doc_id) of the paragraphs of repeated passages."""
+def repeated_paragraphs(docs: DataFrame, similar: float, recall: float) -> DataFrame:
+    """doc_id, start, n_words and class of the paragraphs whose class two documents hold."""
     found = settle(buckets(docs, *tuned(similar, recall)))
     repeated = found.select("text").distinct()
     held = settle(paragraphs(docs).join(repeated, "text", "left_semi"))
@@ -241,23 +243,60 @@ def passages(docs: DataFrame, similar: float = SIMILAR, min_words: int = MIN_WOR
     shingles = settle(shingles_of(docs, settle(places)))
     reached = components(links(mixed, shingles, similar))
     classes = held.join(reached, held["text"] == reached["node"], "left").withColumn("class", F.coalesce("component", "text"))
+    classes = settle(classes.select("doc_id", "start", "n_words", "class").distinct())
     across = classes.groupBy("class").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    shared = classes.join(across.select("class", "first"), "class").select("doc_id", "start", "n_words", "class", "first").distinct()
-    by_doc = Window.partitionBy("doc_id").orderBy("start", "n_words")
-    end = F.max(F.col("start") + F.col("n_words")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    runs = shared.withColumn("new", F.coalesce(F.col("start") > end + GAP, F.lit(True)).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.sum("n_words").over(Window.partitionBy("doc_id", "run"))
-    return runs.withColumn("total", total).where(F.col("total") >= min_words).select("doc_id", "start", "n_words", "class", "first")
+    return classes.join(settle(across.select("class")), "class").select("doc_id", "start", "n_words", "class")
+
+
+def sequences(shared: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, key and members (start, n_words) of the shortest sequence of ``min_words`` from each paragraph on."""
+    most = -(-min_words // SHINGLE)  # no paragraph is shorter than a shingle
+    following = Window.partitionBy("doc_id").orderBy("start", "n_words", "class").rowsBetween(0, most - 1)
+    ahead = shared.withColumn("ahead", F.collect_list(F.struct("start", "n_words", "class")).over(following))
+
+    def longer(so_far: Column, one: Column) -> Column:
+        goes_on = (so_far["words"] < min_words) & so_far["whole"]
+        near = one["start"] <= so_far["end"] + GAP
+        return F.when(
+            goes_on & near,
+            F.struct(
+                (so_far["words"] + one["n_words"]).alias("words"),
+                F.greatest(so_far["end"], one["start"] + one["n_words"]).alias("end"),
+                (so_far["members"] + 1).alias("members"),
+                F.xxhash64(so_far["key"], one["class"]).alias("key"),
+                F.lit(True).alias("whole"),
+            ),
+        ).otherwise(so_far.withField("whole", so_far["whole"] & ~(goes_on & ~near)))
+
+    none = F.struct(
+        F.lit(0).cast("bigint").alias("words"),
+        F.col("start").alias("end"),
+        F.lit(0).alias("members"),
+        F.lit(0).cast("bigint").alias("key"),
+        F.lit(True).alias("whole"),
+    )
+    found = ahead.withColumn("s", F.aggregate("ahead", none, longer)).where(F.col("s.words") >= min_words)
+    members = F.slice("ahead", F.lit(1), F.col("s.members"))
+    return found.select("doc_id", F.col("s.key").alias("key"), members.alias("members"))
+
+
+def passages(docs: DataFrame, similar: float = SIMILAR, min_words: int = MIN_WORDS, recall: float = 0.98) -> DataFrame:
+    """doc_id, start and n_words of the paragraphs of passages that two documents hold, and first: the smallest that does."""
+    held = settle(sequences(repeated_paragraphs(docs, similar, recall), min_words))
+    keys = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    shared = held.join(settle(keys.select("key", "first")), "key")
+    return shared.select("doc_id", F.explode("members").alias("m"), "first").select("doc_id", "m.start", "m.n_words", "first").distinct()
 
 
 def report(docs: DataFrame, **options: float) -> DataFrame:
     """A row for each row of ``docs``: its class_id (the smallest doc_id that shared passages lead to), repeats and removals."""
     found = settle(passages(docs, **options))
-    counts = found.groupBy("doc_id").agg(
+    each = found.groupBy("doc_id", "start", "n_words").agg(F.min("first").alias("first"))
+    goes = F.col("doc_id") > F.col("first")
+    counts = each.groupBy("doc_id").agg(
         F.count("*").alias("n_repeated"),
-        F.sum((F.col("doc_id") > F.col("first")).cast("bigint")).alias("n_removed"),
-        F.sum(F.when(F.col("doc_id") > F.col("first"), F.col("n_words")).otherwise(0)).alias("words_removed"),
+        F.sum(goes.cast("bigint")).alias("n_removed"),
+        F.sum(F.when(goes, F.col("n_words")).otherwise(0)).alias("words_removed"),
     )
     edges = found.where("doc_id > first").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).distinct()
     reached = components(edges)
@@ -269,7 +308,8 @@ def report(docs: DataFrame, **options: float) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, **options: float) -> DataFrame:
     """``docs`` without the paragraphs that go; the words of a line that stay are joined by a space where one is cut."""
-    gone = passages(docs, **options).where("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
+    gone = passages(docs, **options).where("doc_id > first").select("doc_id", "start", "n_words").distinct()
+    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
     drop, of = fresh("_drop", docs), fresh("_of", docs)
     gone = gone.select(F.col("doc_id").alias(of), F.col("spans").alias(drop))
     at, width = [c.lower() for c in docs.columns].index("text"), len(docs.columns)

@@ -22,7 +22,7 @@ def sets_of(docs):
 
 
 def brute_report(docs, min_words=sub.MIN_WORDS):
-    """Classes by comparing all paragraphs, then runs, then removals."""
+    """Classes by comparing all paragraphs, then sequences that two documents hold, then removals."""
     held = sets_of(docs)
     texts = {s: i for i, s in enumerate(sorted({h[3] for h in held}, key=sorted))}
     by_size = list(texts)
@@ -33,19 +33,30 @@ def brute_report(docs, min_words=sub.MIN_WORDS):
     docs_of = {}
     for doc_id, _, _, s in held:
         docs_of.setdefault(root[texts[s]], set()).add(doc_id)
-    out, links = {}, []
+    held_by, sequences = {}, {}
     for doc_id in {h[0] for h in held}:
         mine = sorted({(a, n, root[texts[s]]) for d, a, n, s in held if d == doc_id and len(docs_of[root[texts[s]]]) > 1})
-        runs, end = [], None
-        for a, n, c in mine:
-            if end is None or a > end + sub.GAP:
-                runs.append([])
-            runs[-1].append((a, n, c))
-            end = max(end or 0, a + n)
-        kept = [x for run in runs if sum(n for _, n, _ in run) >= min_words for x in run]
-        gone = [(a, n, c) for a, n, c in kept if min(docs_of[c]) < doc_id]
-        out[doc_id] = (len(kept), len(gone), sum(n for _, n, _ in gone))
-        links += [(doc_id, min(docs_of[c])) for _, _, c in gone]
+        for k in range(len(mine)):
+            words, end, members = 0, mine[k][0], []
+            for a, n, c in mine[k:]:
+                if words >= min_words or a > end + sub.GAP:
+                    break
+                words, end = words + n, max(end, a + n)
+                members.append((a, n, c))
+            if words >= min_words:
+                key = tuple(c for _, _, c in members)
+                held_by.setdefault(key, set()).add(doc_id)
+                sequences.setdefault(doc_id, []).append((key, members))
+    out, links = {}, []
+    for doc_id, found in sequences.items():
+        least = {}
+        for key, members in found:
+            if len(held_by[key]) > 1:
+                links.append((doc_id, min(held_by[key])))
+                for a, n, _ in members:
+                    least[a, n] = min(held_by[key] | {least.get((a, n), doc_id)})
+        gone = [n for (_, n), first in least.items() if first < doc_id]
+        out[doc_id] = (len(least), len(gone), sum(gone))
     classes = brute.smallest_reachable({d for d, _ in docs if d is not None}, links)
     return sorted(((d, classes.get(d), *out.get(d, (0, 0, 0))) for d, _ in docs), key=repr)
 
