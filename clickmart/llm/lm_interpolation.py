@@ -40,7 +40,7 @@ from clickmart.llm.common import packed, settle, texts_of, utf8
 
 FOLDS = 7
 HELD_OUT, DELETED = 2, 3
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 RANGE_TOKENS = 1 << 21
 BUCKETS = 65  # binary digits of a count, 0 for none
 START, END = 1, 2  # stand for the marks among the words' hashes
