@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from clickmart.llm.common import fresh
 
 KINDS = ("host", "domain", "path")
+SALTS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -80,7 +81,11 @@ def on_lists(captures: DataFrame, entries: DataFrame, url: str, day: str, except
     with_paths = paths.select(F.substring_index("key", "/", 1).alias("_host")).distinct()
     steps = F.split("_path", "/")
     up_to = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat("_host", F.concat_ws("/", F.slice(steps, 1, i))))
-    places = known.join(with_paths, "_host", "left_semi").distinct().withColumn("_at_key", F.explode(up_to))
+    # A host may hold a third of all captures: its captures are dealt over several salts, its name stands under each.
+    salt = F.pmod(F.xxhash64("_path", "_day"), F.lit(SALTS).cast("bigint"))
+    salted = with_paths.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    on_path_hosts = known.withColumn("_salt", salt).join(salted, ["_host", "_salt"], "left_semi").drop("_salt")
+    places = on_path_hosts.distinct().withColumn("_at_key", F.explode(up_to))
     by_path = as_of(places.withColumn("_at_kind", F.lit("path")), paths, ["_host", "_path", "_day"])
 
     found = work.join(by_host.withColumnRenamed("_lists", "_by_host"), ["_host", "_day"], "left")
