@@ -43,7 +43,22 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def map_rows(df: DataFrame, rows: Callable[..., Iterable[tuple]], schema: StructType, rows_per_batch: int = 4096) -> DataFrame:
+def flat_schema(columns: str) -> StructType:
+    """A schema from ``"doc_id long, text string"``, without a session."""
+    found = StructType()
+    for column in columns.split(","):
+        found = found.add(*column.split())
+    return found
+
+
+def text_at(df: DataFrame) -> int:
+    """The place of the text column."""
+    return [column.lower() for column in df.columns].index("text")
+
+
+def map_rows(
+    df: DataFrame, rows: Callable[..., Iterable[tuple]], schema: StructType, rows_per_batch: int = 4096
+) -> DataFrame:
     """``rows(*columns)`` gets the columns of an Arrow batch and yields result tuples; they leave in bounded batches."""
     arrow = to_arrow_schema(schema)
 

@@ -25,9 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType
 
-from clickmart.llm.common import map_rows, texts_of, utf8
+from clickmart.llm.common import flat_schema, map_rows, text_at, texts_of, utf8
 
 LEAST = 5
 THRESHOLD = 0.8
@@ -99,7 +99,8 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[
                 continue
             while places[h]:
                 at = places[h].pop()
-                if not covered[1][at : at + longest].any() and (item[start : start + longest] == text[at : at + longest]).all():
+                same = (item[start : start + longest] == text[at : at + longest]).all()
+                if same and not covered[1][at : at + longest].any():
                     covered[0][start : start + longest] = True
                     covered[1][at : at + longest] = True
                     found.append((start, at, longest))
@@ -118,7 +119,8 @@ class Block:
         self.codes = {w: xxhash.xxh64_intdigest(w) or 1 for _, ws in split for w in ws}
         self.items = [(item_id, np.array([self.codes[w] for w in ws], np.uint64)) for item_id, ws in split]
         seeds = [Rolling(codes).windows(least) if len(codes) >= least else np.zeros(0, np.uint64) for _, codes in self.items]
-        hashes, of = np.concatenate([np.zeros(0, np.uint64), *seeds]), np.repeat(np.arange(len(seeds)), list(map(len, seeds)))
+        hashes = np.concatenate([np.zeros(0, np.uint64), *seeds])
+        of = np.repeat(np.arange(len(seeds)), list(map(len, seeds)))
         order = np.argsort(hashes, kind="stable")
         self.seeds, self.of = hashes[order], of[order]
 
@@ -151,7 +153,8 @@ class Block:
 def blocks(benchmark: DataFrame, least: int, block_bytes: int) -> Iterator[Block]:
     """The benchmark's items in blocks of about ``block_bytes`` of text; the driver holds one at a time."""
     items, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
+    both = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    for row in both.toLocalIterator():
         items.append((row["item_id"], (row["text"] or "").encode()))
         size += len(items[-1][1])
         if size >= block_bytes:
@@ -161,8 +164,8 @@ def blocks(benchmark: DataFrame, least: int, block_bytes: int) -> Iterator[Block
         yield Block(items, least)
 
 
-TILE = StructType().add("item_start", "integer").add("doc_start", "integer").add("length", "integer")
-SCHEMA = StructType().add("doc_id", "long").add("item_id", "long").add("coverage", "double").add("tiles", ArrayType(TILE))
+TILE = flat_schema("item_start integer, doc_start integer, length integer")
+SCHEMA = flat_schema("doc_id long, item_id long, coverage double").add("tiles", ArrayType(TILE))
 
 
 def contamination(
@@ -188,7 +191,7 @@ def keep_clean(
     docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, block_bytes: int = 16 << 20
 ) -> DataFrame:
     """The rows of ``docs`` that cover less than ``threshold`` of every item, with all their columns."""
-    at = [c.lower() for c in docs.columns].index("text")
+    at = text_at(docs)
     for block in blocks(benchmark, least, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 

@@ -20,9 +20,9 @@ from itertools import islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType
 
-from clickmart.llm.common import map_rows, texts_of, utf8
+from clickmart.llm.common import flat_schema, map_rows, texts_of, utf8
 from clickmart.llm.license_rules import BASE_PHRASES, Rule, rules
 
 #: Every ASCII byte but letters and digits becomes a space; A-Z are lower-cased before.
@@ -60,10 +60,11 @@ class Scanner:
         widest = max((end - start for start, end, _ in found), default=0)
         for start, end, i in found:
             at = bisect_left(kept, (start - widest, 0, 0))
-            if not any(s <= start and end <= e for s, e, _ in takewhile(lambda d, start=start: d[0] <= start, islice(kept, at, None))):
+            before = takewhile(lambda d, start=start: d[0] <= start, islice(kept, at, None))
+            if not any(end <= e for _, e, _ in before):
                 insort(kept, (start, end, i))
         place = lambda at: joined.count(" ", 1, at)  # noqa: E731  spaces before a word, without the first
-        return sorted(((place(s), place(s) + joined.count(" ", s, e) + 1, self.rules[i]) for s, e, i in kept), key=lambda d: d[:2])
+        return [(place(s), place(s) + joined.count(" ", s, e) + 1, self.rules[i]) for s, e, i in kept]
 
 
 @lru_cache(maxsize=1)
@@ -83,9 +84,11 @@ def phrase_places(words: list[bytes], phrase: list[bytes]) -> list[int]:
             found.append(at)
 
 
-DETECTION = StructType().add("label", "string").add("form", "string").add("first_word", "long").add("n_words", "long")
-SCAN = StructType().add("doc_id", "long").add("n_words", "long").add("n_base", "long").add("first_word", "long").add("last_word", "long")
-SCAN = SCAN.add("base_labels", "string").add("labels", "string").add("score", "double").add("detections", ArrayType(DETECTION))
+DETECTION = flat_schema("label string, form string, first_word long, n_words long")
+SCAN = flat_schema(
+    "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
+    "score double"
+).add("detections", ArrayType(DETECTION))
 
 
 def scan(docs: DataFrame) -> DataFrame:

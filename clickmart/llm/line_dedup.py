@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from clickmart.llm.common import fresh, map_rows, packed, settle, texts_of, utf8
+from clickmart.llm.common import flat_schema, fresh, map_rows, packed, settle, text_at, texts_of, utf8
 
 MIN_CHARS = 10
 SEGMENT = 1 << 18  # bytes of a filter that travel as one row
-KEYS = StructType().add("doc_id", "long").add("keys", "binary").add("n", "long")
-SEGMENTS = StructType().add("segment", "integer").add("part", "integer").add("once", "binary").add("twice", "binary")
+KEYS = flat_schema("doc_id long, keys binary, n long")
+SEGMENTS = flat_schema("segment integer, part integer, once binary, twice binary")
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -123,7 +123,7 @@ def suspects(keys: DataFrame, bits_per_key: int = 10, probes: int = 4, filter_mb
     total = keys.agg(F.sum("n")).first()[0] or 0
     bits = 1 << max(16, min(int(total * bits_per_key).bit_length(), (filter_mb << 23).bit_length() - 1))
     slices = max(1, -(-int(total * bits_per_key) // bits))
-    schema = StructType().add("doc_id", "long").add("key", "binary")
+    schema = flat_schema("doc_id long, key binary")
     context, found = keys.sparkSession.sparkContext, None
     for part in range(slices):
         shared = context.broadcast(twice_filter(keys, bits, probes, slices, part))
@@ -157,13 +157,14 @@ def dedup_lines(docs: DataFrame, counts: str | None = None, **filter_options: in
     of = fresh("_of", docs)
     lost = lost.select(F.col("doc_id").alias(of), F.col("keys").alias(drop))
     joined = docs.join(lost, docs["doc_id"] == lost[of], "left").drop(of)
-    at, width = [c.lower() for c in docs.columns].index("text"), len(docs.columns)
+    at, width = text_at(docs), len(docs.columns)
     n_lines, n_dropped = pa.field("n_lines", pa.int64()), pa.field("n_dropped", pa.int64())
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lines_of, dropped_of = [], [], []
-            for text, keys, known in zip(utf8(batch.column(at)), batch.column(drop), batch.column(at).is_valid(), strict=True):
+            read = zip(utf8(batch.column(at)), batch.column(drop), batch.column(at).is_valid(), strict=True)
+            for text, keys, known in read:
                 lines = text.split(b"\n")
                 gone = set(keys.as_py() or ())
                 kept = [line for line in lines if line_key(line) not in gone] if gone else lines
@@ -174,11 +175,12 @@ def dedup_lines(docs: DataFrame, counts: str | None = None, **filter_options: in
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             fields = [batch.schema.field(i) for i in range(width)]
             if counts:
-                columns.append(pa.StructArray.from_arrays([pa.array(lines_of, pa.int64()), pa.array(dropped_of, pa.int64())], fields=[n_lines, n_dropped]))
+                numbers = [pa.array(lines_of, pa.int64()), pa.array(dropped_of, pa.int64())]
+                columns.append(pa.StructArray.from_arrays(numbers, fields=[n_lines, n_dropped]))
                 fields.append(pa.field(counts, columns[-1].type))
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     schema = StructType(list(docs.schema.fields))
     if counts:
-        schema = schema.add(counts, StructType().add("n_lines", "long").add("n_dropped", "long"))
+        schema = schema.add(counts, flat_schema("n_lines long, n_dropped long"))
     return joined.mapInArrow(rebuild, schema)

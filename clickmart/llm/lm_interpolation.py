@@ -34,9 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from clickmart.llm.common import packed, settle, texts_of, utf8
+from clickmart.llm.common import flat_schema, packed, settle, texts_of, utf8
 
 FOLDS = 7
 HELD_OUT, DELETED = 2, 3
@@ -92,7 +91,8 @@ class Chunk:
     def of(ids: list, folds: list, texts: list[np.ndarray]) -> Chunk:
         """From the hashes of each text's tokens."""
         words, tokens = np.unique(np.concatenate(texts), return_inverse=True)
-        return Chunk(words, tokens.astype(np.int32), ids, np.array(folds, np.int32), np.array([len(t) for t in texts], np.int64))
+        lengths = np.array([len(t) for t in texts], np.int64)
+        return Chunk(words, tokens.astype(np.int32), ids, np.array(folds, np.int32), lengths)
 
     def first(self) -> np.ndarray:
         """Where each token's text starts."""
@@ -116,11 +116,10 @@ class Chunk:
             yield np.unique(lengthen(gram, hashes), return_inverse=True)
 
 
-CHUNKS = StructType().add("chunk", "long")
-for _name in ("n_tokens", "n_deleted", "n_train_texts", "n_deleted_texts"):
-    CHUNKS = CHUNKS.add(_name, "long")
-for _name in ("words", "tokens", "ids", "nulls", "folds", "lengths"):
-    CHUNKS = CHUNKS.add(_name, "binary")
+CHUNKS = flat_schema(
+    "chunk long, n_tokens long, n_deleted long, n_train_texts long, n_deleted_texts long, "
+    "words binary, tokens binary, ids binary, nulls binary, folds binary, lengths binary"
+)
 
 
 def _packed_chunk(number: int, c: Chunk) -> tuple:
@@ -134,7 +133,8 @@ def _packed_chunk(number: int, c: Chunk) -> tuple:
 def _chunk(row: dict) -> Chunk:
     nulls = stretch(row["nulls"], "u1")
     ids = [None if none else i for i, none in zip(stretch(row["ids"], "<i8").tolist(), nulls.tolist(), strict=True)]
-    return Chunk(stretch_sorted(row["words"]), stretch(row["tokens"], "<i4"), ids, stretch(row["folds"], "<i4"), stretch(row["lengths"], "<i8"))
+    words, tokens = stretch_sorted(row["words"]), stretch(row["tokens"], "<i4")
+    return Chunk(words, tokens, ids, stretch(row["folds"], "<i4"), stretch(row["lengths"], "<i8"))
 
 
 def chunked(docs: DataFrame, chunk_tokens: int) -> DataFrame:
@@ -143,7 +143,8 @@ def chunked(docs: DataFrame, chunk_tokens: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, ([], [], []), 0
         for batch in batches:
-            for doc_id, text, part in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            ids, texts, folds = batch.columns
+            for doc_id, text, part in zip(ids.to_pylist(), utf8(texts), folds.to_pylist(), strict=True):
                 hashes = [*map(digest, text.lower().split()), END]
                 for column, value in zip(held, (doc_id, part, np.array(hashes, np.uint64)), strict=True):
                     column.append(value)
@@ -157,8 +158,10 @@ def chunked(docs: DataFrame, chunk_tokens: int) -> DataFrame:
     return texts_of(docs, fold(F.col("doc_id").cast("bigint")).alias("fold")).mapInArrow(run, CHUNKS)
 
 
-ASKED = StructType().add("chunk", "long").add("order", "integer").add("range", "long").add("keys", "binary").add("train", "binary").add("deleted", "binary")
-ANSWERS = StructType().add("chunk", "long").add("order", "integer").add("range", "long").add("train", "binary").add("deleted", "binary").add("n_known", "long").add("n_train", "long")
+ASKED = flat_schema("chunk long, order integer, range long, keys binary, train binary, deleted binary")
+ANSWERS = flat_schema(
+    "chunk long, order integer, range long, train binary, deleted binary, n_known long, n_train long"
+)
 
 
 def asked(chunks: DataFrame, order: int, range_bits: int) -> DataFrame:
@@ -168,14 +171,17 @@ def asked(chunks: DataFrame, order: int, range_bits: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = _chunk(row)
-                train, deleted = (chunk.in_fold(f).astype(np.float64) for f in (chunk.folds != HELD_OUT, chunk.folds == DELETED))
+                train = chunk.in_fold(chunk.folds != HELD_OUT).astype(np.float64)
+                deleted = chunk.in_fold(chunk.folds == DELETED).astype(np.float64)
                 for n, (keys, places) in enumerate(chunk.grams(order), 1):
                     counts = [np.bincount(places, w, len(keys)).astype("<u4") for w in (train, deleted)]
-                    ranges = (keys >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(keys), np.int64)
+                    ranges = np.zeros(len(keys), np.int64)
+                    if range_bits:
+                        ranges = (keys >> np.uint64(64 - range_bits)).astype(np.int64)
                     cuts = np.flatnonzero(np.diff(ranges, prepend=-1)).tolist()
                     for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-                        part = (row["chunk"], n, int(ranges[a]), squeeze_sorted(keys[a:b]), squeeze(counts[0][a:b]), squeeze(counts[1][a:b]))
-                        yield packed([part], to_arrow_schema(ASKED))
+                        sent = squeeze_sorted(keys[a:b]), *(squeeze(c[a:b]) for c in counts)
+                        yield packed([(row["chunk"], n, int(ranges[a]), *sent)], to_arrow_schema(ASKED))
 
     return chunks.mapInArrow(run, ASKED)
 
@@ -200,11 +206,13 @@ def answered(asks: DataFrame) -> DataFrame:
     return asks.groupBy("order", "range").applyInPandas(total, ANSWERS)
 
 
-MET = StructType().add("chunk", "long").add("ids", "binary").add("nulls", "binary").add("folds", "binary").add("lengths", "binary").add("counts", "binary").add("deleted", "binary")
+MET = flat_schema(
+    "chunk long, ids binary, nulls binary, folds binary, lengths binary, counts binary, deleted binary"
+)
 
 
 def met(chunks: DataFrame, answers: DataFrame, order: int) -> DataFrame:
-    """Each chunk's texts as the counts of its tokens' n-grams; ``deleted``: the same for the deleted fold, without itself."""
+    """Each chunk's texts as the counts of its tokens' n-grams; ``deleted`` has the deleted fold's, without its own."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0].to_dict()
@@ -217,7 +225,8 @@ def met(chunks: DataFrame, answers: DataFrame, order: int) -> DataFrame:
             train, deleted = (np.concatenate([stretch(c, "<u8") for c in mine[name]]) for name in ("train", "deleted"))
             by_order.append(squeeze(train[places].astype("<u8")))
             without.append(squeeze((train - deleted)[places[inside]].astype("<u8")))
-        return pd.DataFrame([{"chunk": row["chunk"], "ids": row["ids"], "nulls": row["nulls"], "folds": row["folds"], "lengths": row["lengths"], "counts": _bind(by_order), "deleted": _bind(without)}])
+        same = {name: row[name] for name in ("chunk", "ids", "nulls", "folds", "lengths")}
+        return pd.DataFrame([same | {"counts": _bind(by_order), "deleted": _bind(without)}])
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, MET)
 
@@ -235,7 +244,9 @@ def _unbind(data: bytes) -> list[np.ndarray]:
     return found
 
 
-def estimates(counts: list[np.ndarray], lengths: np.ndarray, tokens: int, texts: int, known: int) -> tuple[np.ndarray, np.ndarray]:
+def estimates(
+    counts: list[np.ndarray], lengths: np.ndarray, tokens: int, texts: int, known: int
+) -> tuple[np.ndarray, np.ndarray]:
     """For each token the uniform share and the estimate of each n-gram; and the bucket of its longest context.
 
     The count of a context is that of the n-gram before the token; before a first token it is the number of texts.
@@ -280,7 +291,8 @@ def learn(counted: DataFrame, order: int, tokens: int, texts: int, known: int, r
             yield pd.DataFrame({"bucket": at[:, 0], "k": at[:, 1], "n": sums[sums > 0]})
 
         found = np.zeros((BUCKETS, width))
-        for row in folds.mapInPandas(expect, "bucket int, k int, n double").groupBy("bucket", "k").agg(F.sum("n").alias("n")).collect():
+        sums = folds.mapInPandas(expect, "bucket int, k int, n double").groupBy("bucket", "k").agg(F.sum("n").alias("n"))
+        for row in sums.collect():
             found[row["bucket"], row["k"]] = row["n"]  # a sum for each bucket and weight
         seen = found.sum(axis=1) > 0
         weights = now.copy()
@@ -290,13 +302,22 @@ def learn(counted: DataFrame, order: int, tokens: int, texts: int, known: int, r
     return weights
 
 
-SCORES = StructType().add("doc_id", "long").add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
+SCORES = flat_schema(
+    "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+)
 
 
-def interpolated_scores(docs: DataFrame, order: int = 2, rounds: int = 12, chunk_tokens: int = CHUNK_TOKENS, range_tokens: int = RANGE_TOKENS) -> DataFrame:
+def interpolated_scores(
+    docs: DataFrame,
+    order: int = 2,
+    rounds: int = 12,
+    chunk_tokens: int = CHUNK_TOKENS,
+    range_tokens: int = RANGE_TOKENS,
+) -> DataFrame:
     """log10 probabilities of all texts by the interpolated model (``score``) and by add-one counts (``base_score``)."""
     chunks = settle(chunked(docs, chunk_tokens))
-    sums = chunks.agg(*(F.coalesce(F.sum(f"n_{c}"), F.lit(0)) for c in ("tokens", "deleted", "train_texts", "deleted_texts")))
+    sizes = ("n_tokens", "n_deleted", "n_train_texts", "n_deleted_texts")
+    sums = chunks.agg(*(F.coalesce(F.sum(size), F.lit(0)) for size in sizes))
     size, deleted_tokens, texts, deleted_texts = sums.first()
     range_bits = max(0, (-(-size // range_tokens) - 1).bit_length())
     answers = settle(answered(asked(chunks, order, range_bits)))

@@ -28,9 +28,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from clickmart.llm.common import map_rows, settle, texts_of, utf8
+from clickmart.llm.common import flat_schema, map_rows, settle, texts_of, utf8
 
 LENGTH = 4096
 END = (1).to_bytes(4, "little")
@@ -40,7 +39,7 @@ LAST_LETTER, DOTTED_I = "\u017f", "\u0130"  # letters up to here are composed an
 
 
 def _byte_letters() -> dict[int, int]:
-    """How byte-level vocabularies write bytes as characters: printable ones of Latin-1 as they are, the others from 256 on."""
+    """How byte-level vocabularies write bytes: the printable ones of Latin-1 as they are, the others from 256 on."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = (b for b in range(256) if b not in printable)
     return {b: 256 + k for k, b in enumerate(others)}
@@ -115,7 +114,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-PIECES = StructType().add("doc_id", "long").add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
+PIECES = flat_schema("doc_id long, piece integer, start long, length long, ids_crc32 long")
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
@@ -221,18 +220,27 @@ def evolve(population: list[Packing], generations: int, random: np.random.Genera
     return population
 
 
-ISLANDS = StructType()
-for _name, _type in (("group", "long"), ("island", "integer"), ("ids", "binary"), ("sizes", "binary"), ("population", "binary"), ("bins", "long"), ("elite", "binary")):
-    ISLANDS = ISLANDS.add(_name, _type)
+ISLANDS = flat_schema(
+    "group long, island integer, ids binary, sizes binary, population binary, bins long, elite binary"
+)
 
 
 def _row(group: int, island: int, ids: bytes, population: list[Packing]) -> dict:
     best = population[0]
-    bins = np.concatenate([p.bin_of for p in population]).astype("<i4").tobytes()
-    return {"group": group, "island": island, "ids": ids, "sizes": best.sizes.astype("<i4").tobytes(), "population": bins, "bins": -best.score()[0], "elite": best.bin_of.astype("<i4").tobytes()}
-
-
-def solve(items: DataFrame, groups: int, capacity: int, islands: int, population: int, generations: int, epochs: int) -> DataFrame:
+    return {
+        "group": group,
+        "island": island,
+        "ids": ids,
+        "sizes": best.sizes.astype("<i4").tobytes(),
+        "population": np.concatenate([p.bin_of for p in population]).astype("<i4").tobytes(),
+        "bins": -best.score()[0],
+        "elite": best.bin_of.astype("<i4").tobytes(),
+    }
+
+
+def solve(
+    items: DataFrame, groups: int, capacity: int, islands: int, population: int, generations: int, epochs: int
+) -> DataFrame:
     """uid, group, bin, offset and room left of the bin, for items ``uid, length`` dealt into groups."""
 
     def settle_on(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -247,7 +255,8 @@ def solve(items: DataFrame, groups: int, capacity: int, islands: int, population
             for frame in frames:
                 for row in frame.itertuples(index=False):
                     sizes = np.frombuffer(row.sizes, "<i4").astype(np.int64)
-                    members = [Packing(sizes, capacity, p.astype(np.int32)) for p in np.frombuffer(row.population, "<i4").reshape(-1, len(sizes))]
+                    bins = np.frombuffer(row.population, "<i4").reshape(-1, len(sizes))
+                    members = [Packing(sizes, capacity, b.astype(np.int32)) for b in bins]
                     guest = Packing(sizes, capacity, np.frombuffer(row.guest, "<i4").astype(np.int32))
                     members = sorted([*members[: max(1, population - 1)], guest], key=Packing.score, reverse=True)
                     random = np.random.default_rng([row.group, row.island, number])
@@ -264,7 +273,8 @@ def solve(items: DataFrame, groups: int, capacity: int, islands: int, population
                 heads = np.concatenate([[True], np.diff(bin_of[order]) > 0])
                 offset = before - np.maximum.accumulate(np.where(heads, before, 0))
                 room = capacity - np.bincount(bin_of, sizes).astype(np.int64)[bin_of[order]]
-                yield pd.DataFrame({"uid": np.frombuffer(row.ids, "<i8")[order], "group": row.group, "bin": bin_of[order].astype(np.int64), "offset": offset, "room": room})
+                uid, bins = np.frombuffer(row.ids, "<i8")[order], bin_of[order].astype(np.int64)
+                yield pd.DataFrame({"uid": uid, "group": row.group, "bin": bins, "offset": offset, "room": room})
 
     dealt = items.withColumn("group", F.pmod(F.xxhash64("uid"), F.lit(groups)))
     dealt = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
@@ -292,7 +302,8 @@ def pack(
     """``cut`` (rows of ``pieces``) with sequence_id and offset."""
     cut = settle(cut.withColumn("uid", F.monotonically_increasing_id()))
     left = cut.where(F.col("length") < length).select("uid", F.col("length").cast("bigint").alias("length"))
-    placed = cut.where(F.col("length") >= length).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    alone = (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
+    placed = cut.where(F.col("length") >= length).select("uid", *alone)
     number, count = 0, left.count()
     while count:
         groups = -(-count // group_size)

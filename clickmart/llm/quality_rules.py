@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from clickmart.llm.common import map_rows, texts_of, utf8
+from clickmart.llm.common import flat_schema, map_rows, text_at, texts_of, utf8
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -164,14 +164,17 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     schema = StructType().add("rejected_by", "long").add("took", ArrayType(DoubleType()))
     found = map_rows(sample, measured, schema)
     sums = [F.sum(F.col("took")[i]).alias(need) for i, need in enumerate(needs)]
-    patterns = found.groupBy("rejected_by").agg(F.count("*").alias("rows"), *sums).collect()  # at most a row for each of the sample
+    # At most a row for each document of the sample.
+    patterns = found.groupBy("rejected_by").agg(F.count("*").alias("rows"), *sums).collect()
     rows = {p["rejected_by"]: p["rows"] for p in patterns}
     cost = {need: sum(p[need] for p in patterns) for need in needs}
 
     ordered: list[Rule] = []
     left, known = list(enumerate(rules)), set()
     while left:
-        worth = [sum(n for bits, n in rows.items() if bits >> i & 1) / (1e-9 + sum(cost[n] for n in set(rule.needs) - known)) for i, rule in left]
+        rejected = [sum(n for bits, n in rows.items() if bits >> i & 1) for i, _ in left]
+        dear = [sum(cost[need] for need in set(rule.needs) - known) for _, rule in left]
+        worth = [n / (1e-9 + seconds) for n, seconds in zip(rejected, dear, strict=True)]
         i, rule = left.pop(max(range(len(left)), key=lambda k: (worth[k], -k)))
         ordered.append(rule)
         known |= set(rule.needs)
@@ -189,7 +192,7 @@ def first_rejection(rules: list[Rule], measures: Measures) -> tuple[str | None,
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns."""
-    ordered, at = order_rules(docs, rules), [c.lower() for c in docs.columns].index("text")
+    ordered, at = order_rules(docs, rules), text_at(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,8 +213,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             base = any(rule.rejects(m) for rule in BASE_RULES)
             yield doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, base, by is None, by, tried
 
-    schema = StructType().add("doc_id", "long")
-    for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
-        schema = schema.add(name, "long")
-    schema = schema.add("base_failed", "boolean").add("kept", "boolean").add("rejected_by", "string").add("rules_tried", "integer")
+    schema = flat_schema(
+        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+        "base_failed boolean, kept boolean, rejected_by string, rules_tried integer"
+    )
     return map_rows(texts_of(docs), judged, schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickmart.llm.common import fresh, settle, texts_of, utf8
+from clickmart.llm.common import fresh, settle, text_at, texts_of, utf8
 from clickmart.llm.graph import components
 
 SHINGLE = 5
@@ -157,9 +157,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, p in _in_groups(batches):
             if len(p.start):
-                yield _batch(doc_id=np.array(ids, np.int64)[p.of], start=p.start - p.first_word, n_words=p.end - p.start, text=p.texts().view(np.int64))
+                of, texts = np.array(ids, np.int64)[p.of], p.texts().view(np.int64)
+                yield _batch(doc_id=of, start=p.start - p.first_word, n_words=p.end - p.start, text=texts)
 
-    return texts_of(docs).where("doc_id is not null").mapInArrow(run, "doc_id bigint, start bigint, n_words bigint, text bigint")
+    known = texts_of(docs).where("doc_id is not null")
+    return known.mapInArrow(run, "doc_id bigint, start bigint, n_words bigint, text bigint")
 
 
 def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -182,7 +184,8 @@ def buckets(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     texts = spread.groupBy("band", "text").agg(F.sum("n").alias("n"))
     bucket = Window.partitionBy("band")
     known = texts.withColumns({"least": F.min("text").over(bucket), "most": F.max("text").over(bucket)})
-    return known.where("n > 1 or least < most").select("band", "text", "least", (F.col("least") < F.col("most")).alias("mixed"))
+    mixed = (F.col("least") < F.col("most")).alias("mixed")
+    return known.where("n > 1 or least < most").select("band", "text", "least", mixed)
 
 
 def shingles_of(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -201,7 +204,8 @@ def shingles_of(docs: DataFrame, places: DataFrame) -> DataFrame:
                 for s, h in ((x["start"], x["text"]) for x in starts):
                     if (k := at.get((s, h))) is not None:  # another row of the same doc_id has it otherwise
                         out[h] = np.unique(shingles[p.start[k] : p.end[k] - SHINGLE + 1]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.int64()))], names=["text", "shingles"])
+            columns = [pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["text", "shingles"])
 
     return joined.mapInArrow(run, "text bigint, shingles array<bigint>").dropDuplicates(["text"])
 
@@ -217,14 +221,17 @@ def similar_pairs(pairs: DataFrame, shingles: DataFrame, similar: float) -> Data
 
 def links(mixed: DataFrame, shingles: DataFrame, similar: float) -> DataFrame:
     """Similar pairs of texts that connect, in every bucket of ``mixed``, all that are similar there."""
-    led = settle(similar_pairs(mixed.where("text > least").select(F.col("text").alias("u"), F.col("least").alias("v")), shingles, similar))
+    to_least = mixed.where("text > least").select(F.col("text").alias("u"), F.col("least").alias("v"))
+    led = settle(similar_pairs(to_least, shingles, similar))
     failed = mixed.where("text > least").join(led, (F.col("text") == led["u"]) & (F.col("least") == led["v"]), "left_anti")
     counts = shingles.select("text", F.explode("shingles").alias("shingle"))
     rarity = counts.join(counts.groupBy("shingle").agg(F.count("*").alias("held")), "shingle")
     size = F.size("sorted")
-    ordered = rarity.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("sorted"))  # a paragraph's own
+    own = F.sort_array(F.collect_list(F.struct("held", "shingle")))  # no more than a paragraph has
+    ordered = rarity.groupBy("text").agg(own.alias("sorted"))
     reach = (size - F.ceil(F.lit(similar) * size - 1e-9) + 1).cast("int")
-    prefix = ordered.select("text", F.explode(F.slice("sorted", F.lit(1), reach)).alias("s")).select("text", F.col("s.shingle").alias("shingle"))
+    prefix = ordered.select("text", F.explode(F.slice("sorted", F.lit(1), reach)).alias("s"))
+    prefix = prefix.select("text", F.col("s.shingle").alias("shingle"))
     left = failed.select("band", "text").join(prefix, "text").withColumnRenamed("text", "u")
     right = mixed.join(failed.select("band").distinct(), "band", "left_semi").select("band", "text").join(prefix, "text")
     others = left.join(right.withColumnRenamed("text", "v"), ["band", "shingle"]).where("u <> v")
@@ -238,13 +245,17 @@ def repeated_paragraphs(docs: DataFrame, similar: float, recall: float) -> DataF
     repeated = found.select("text").distinct()
     held = settle(paragraphs(docs).join(repeated, "text", "left_semi"))
     mixed = found.where("mixed").select("band", "text", "least").distinct()
-    one = held.join(mixed.select("text").distinct(), "text", "left_semi").groupBy("text").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at"))
+    # One place for each text first: a passage of many documents is a row for each task then.
+    one = held.groupBy("text").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at"))
+    one = one.join(mixed.select("text").distinct(), "text", "left_semi")
     places = one.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.start", "at.n_words", "text")).alias("starts"))
     shingles = settle(shingles_of(docs, settle(places)))
     reached = components(links(mixed, shingles, similar))
-    classes = held.join(reached, held["text"] == reached["node"], "left").withColumn("class", F.coalesce("component", "text"))
-    classes = settle(classes.select("doc_id", "start", "n_words", "class").distinct())
-    across = classes.groupBy("class").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    classes = held.join(reached, held["text"] == reached["node"], "left")
+    classes = classes.select("doc_id", "start", "n_words", F.coalesce("component", "text").alias("class"))
+    classes = settle(classes.distinct())
+    across = classes.groupBy("class").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    across = across.where("first < last")
     return classes.join(settle(across.select("class")), "class").select("doc_id", "start", "n_words", "class")
 
 
@@ -281,15 +292,16 @@ def sequences(shared: DataFrame, min_words: int) -> DataFrame:
 
 
 def passages(docs: DataFrame, similar: float = SIMILAR, min_words: int = MIN_WORDS, recall: float = 0.98) -> DataFrame:
-    """doc_id, start and n_words of the paragraphs of passages that two documents hold, and first: the smallest that does."""
+    """doc_id, start and n_words of the paragraphs of passages that two documents hold; first: the smallest doc_id."""
     held = settle(sequences(repeated_paragraphs(docs, similar, recall), min_words))
     keys = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     shared = held.join(settle(keys.select("key", "first")), "key")
-    return shared.select("doc_id", F.explode("members").alias("m"), "first").select("doc_id", "m.start", "m.n_words", "first").distinct()
+    members = shared.select("doc_id", F.explode("members").alias("m"), "first")
+    return members.select("doc_id", "m.start", "m.n_words", "first").distinct()
 
 
 def report(docs: DataFrame, **options: float) -> DataFrame:
-    """A row for each row of ``docs``: its class_id (the smallest doc_id that shared passages lead to), repeats and removals."""
+    """For each row of ``docs`` its class_id, the smallest doc_id that shared passages lead to, and its repeats."""
     found = settle(passages(docs, **options))
     each = found.groupBy("doc_id", "start", "n_words").agg(F.min("first").alias("first"))
     goes = F.col("doc_id") > F.col("first")
@@ -302,8 +314,8 @@ def report(docs: DataFrame, **options: float) -> DataFrame:
     reached = components(edges)
     whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(counts, "doc_id", "left")
     whole = whole.join(reached, whole["doc_id"] == reached["node"], "left")
-    zero = lambda name: F.coalesce(name, F.lit(0)).cast("bigint").alias(name)
-    return whole.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), zero("n_repeated"), zero("n_removed"), zero("words_removed"))
+    numbers = (F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in ("n_repeated", "n_removed", "words_removed"))
+    return whole.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), *numbers)
 
 
 def drop_repeats(docs: DataFrame, **options: float) -> DataFrame:
@@ -312,14 +324,12 @@ def drop_repeats(docs: DataFrame, **options: float) -> DataFrame:
     gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
     drop, of = fresh("_drop", docs), fresh("_of", docs)
     gone = gone.select(F.col("doc_id").alias(of), F.col("spans").alias(drop))
-    at, width = [c.lower() for c in docs.columns].index("text"), len(docs.columns)
+    at, width = text_at(docs), len(docs.columns)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                without(text, [(s["start"], s["n_words"]) for s in spans.as_py()]).decode() if spans.is_valid else kept.as_py()
-                for text, kept, spans in zip(utf8(batch.column(at)), batch.column(at), batch.column(drop), strict=True)
-            ]
+            read = zip(utf8(batch.column(at)), batch.column(at), batch.column(drop).to_pylist(), strict=True)
+            texts = [without(text, spans).decode() if spans else kept.as_py() for text, kept, spans in read]
             columns = [batch.column(i) for i in range(width)]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i) for i in range(width)]))
@@ -327,9 +337,9 @@ def drop_repeats(docs: DataFrame, **options: float) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone[of], "left").drop(of).mapInArrow(rebuild, docs.schema)
 
 
-def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+def without(text: bytes, spans: list[dict[str, int]]) -> bytes:
     """The text without the words of the spans, and without lines that lose all their words."""
-    gone = {k for start, n in spans for k in range(start, start + n)}
+    gone = {k for s in spans for k in range(s["start"], s["start"] + s["n_words"])}
     lines, at = [], 0
     for line in text.split(b"\n"):
         words = line.split()

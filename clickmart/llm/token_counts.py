@@ -19,9 +19,8 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
 
-from clickmart.llm.common import map_rows, texts_of, utf8
+from clickmart.llm.common import flat_schema, map_rows, texts_of, utf8
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -74,7 +73,9 @@ class Counter:
         return score[n], tokens[n], unknown[n]
 
     @staticmethod
-    def _step(score: list, tokens: list, unknown: list, ends_unknown: list, start: int, to: int, own: float, is_unknown: bool) -> None:
+    def _step(
+        score: list, tokens: list, unknown: list, ends_unknown: list, start: int, to: int, own: float, is_unknown: bool
+    ) -> None:
         fused = is_unknown and ends_unknown[start]
         score[to] = score[start] + own
         tokens[to] = tokens[start] + (not fused)
@@ -104,7 +105,7 @@ def counter(path: str) -> Counter:
     return Counter(vocabulary(path))
 
 
-COUNTS = StructType().add("doc_id", "long").add("n_words", "long").add("n_tokens", "long").add("n_unknown", "long").add("score", "double")
+COUNTS = flat_schema("doc_id long, n_words long, n_tokens long, n_unknown long, score double")
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:

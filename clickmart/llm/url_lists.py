@@ -9,8 +9,9 @@ Nothing grows with the captures of a key: host and domain keys are joined once f
 each path and day, and only on hosts that have path entries at all. A key has one interval for each day at most, since
 entries of a day are folded first; removal outweighs addition on the same day.
 
-Edge cases: a NULL or malformed URL has no host and is on no list, and neither is a capture without a day; entries without list, key,
-action or day are ignored; repeated captures each get their verdict; without entries nothing is on a list.
+Edge cases: a NULL or malformed URL has no host and is on no list, and neither is a capture without a day; entries
+without list, key, action or day are ignored; repeated captures each get their verdict; without entries nothing is on a
+list.
 """
 
 from __future__ import annotations
@@ -60,11 +61,18 @@ def as_of(keys: DataFrame, valid: DataFrame, group: list[str]) -> DataFrame:
     return met.groupBy(*group).agg(F.sort_array(F.collect_set("_list")).alias("_lists"))
 
 
-def on_lists(captures: DataFrame, entries: DataFrame, url: str, day: str, exceptions: tuple[str, ...] = ("allow",)) -> DataFrame:
+def on_lists(
+    captures: DataFrame, entries: DataFrame, url: str, day: str, exceptions: tuple[str, ...] = ("allow",)
+) -> DataFrame:
     """``captures`` with ``host``, ``lists`` (the sorted names of the lists it was on that day) and ``blocked``."""
     valid = intervals(entries)
     whole = F.struct(*(captures[c] for c in captures.columns)).alias("_row")  # apart from names used here
-    work = captures.select(whole, host_of(captures[url]).alias("_host"), F.lower(path_of(captures[url])).alias("_path"), captures[day].cast("date").alias("_day"))
+    work = captures.select(
+        whole,
+        host_of(captures[url]).alias("_host"),
+        F.lower(path_of(captures[url])).alias("_path"),
+        captures[day].cast("date").alias("_day"),
+    )
     known = work.where("_host <> '' and _day is not null").select("_host", "_path", "_day")
 
     labels = F.split("_host", r"\.")
@@ -80,7 +88,9 @@ def on_lists(captures: DataFrame, entries: DataFrame, url: str, day: str, except
     paths = valid.where("kind = 'path'")
     with_paths = paths.select(F.substring_index("key", "/", 1).alias("_host")).distinct()
     steps = F.split("_path", "/")
-    up_to = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat("_host", F.concat_ws("/", F.slice(steps, 1, i))))
+    up_to = F.transform(
+        F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat("_host", F.concat_ws("/", F.slice(steps, 1, i)))
+    )
     # A host may hold a third of all captures: its captures are dealt over several salts, its name stands under each.
     salt = F.pmod(F.xxhash64("_path", "_day"), F.lit(SALTS).cast("bigint"))
     salted = with_paths.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
@@ -102,7 +112,9 @@ def on_lists(captures: DataFrame, entries: DataFrame, url: str, day: str, except
     )
 
 
-def keep_allowed(captures: DataFrame, entries: DataFrame, url: str, day: str, exceptions: tuple[str, ...] = ("allow",)) -> DataFrame:
+def keep_allowed(
+    captures: DataFrame, entries: DataFrame, url: str, day: str, exceptions: tuple[str, ...] = ("allow",)
+) -> DataFrame:
     """The rows of ``captures`` that were on no list, or excepted, on their day."""
     judged = on_lists(captures, entries, url, day, exceptions)
     return judged.where(~F.col(judged.columns[-1])).select(*captures.columns)

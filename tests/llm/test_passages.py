@@ -125,7 +125,8 @@ def test_dropping_of_odd_texts(as_documents):
 
 
 def test_words_are_cut_out_of_lines():
-    assert sub.without(b"a b c\n\nd  e\nf g", [(1, 1), (3, 2)]) == b"a c\n\nf g"
+    spans = [{"start": 1, "n_words": 1}, {"start": 3, "n_words": 2}]
+    assert sub.without(b"a b c\n\nd  e\nf g", spans) == b"a c\n\nf g"
 
 
 def test_bands_reach_the_recall():
