@@ -91,6 +91,86 @@ public-domain | domain publicdomain | (?:in|into|to) the public domain | cc pddc
 proprietary | proprietary | proprietary and confidential | licenseref proprietary | proprietary license
 """
 
+# Label | words of which every citation has one | other names of licences above.
+OTHER_NAMES = r"""
+gpl-1.0 | gplv1 gpl1 | gplv?1(?: 0)?
+gpl-2.0 | gplv2 gpl2 | gplv?2(?: 0)?
+gpl-3.0 | gplv3 gpl3 | gplv?3(?: 0)?
+gpl-2.0-or-later | gplv2 gpl2 | gplv?2(?: 0)? or (?:at your option )?(?:any )?later(?: version)?
+gpl-3.0-or-later | gplv3 gpl3 | gplv?3(?: 0)? or (?:at your option )?(?:any )?later(?: version)?
+lgpl-2.0 | lgplv2 lgpl2 | lgplv?2(?: 0)?(?! 1 )
+lgpl-2.1 | lgplv2 lgpl2 lgplv21 | (?:lgplv?2 1|lgplv21)
+lgpl-3.0 | lgplv3 lgpl3 | lgplv?3(?: 0)?
+agpl-3.0 | agplv3 agpl3 | agplv?3(?: 0)?
+apache-2.0 | apachev2 apache2 alv2 asl2 aslv2 | (?:apachev?2|alv2|aslv?2)(?: 0)?(?: licen[sc]e)?
+apache-2.0 | apache | apache public licen[sc]e #2(?: 0)?
+mpl-1.1 | mplv1 mpl1 | mplv?1 1
+mpl-2.0 | mplv2 mpl2 | mplv?2(?: 0)?
+epl-1.0 | eplv1 epl1 | eplv?1(?: 0)?
+epl-2.0 | eplv2 epl2 | eplv?2(?: 0)?
+gfdl-1.2 | gfdlv1 fdlv1 | g?fdlv1 2
+gfdl-1.3 | gfdlv1 fdlv1 | g?fdlv1 3
+bsd-2-clause | bsd | bsd (?:2|two) clause licen[sc]e
+bsd-3-clause | bsd | bsd (?:3|three) clause licen[sc]e
+mit | expat | expat licen[sc]e
+"""
+
+#: The parts of the long Creative Commons names, by the part of the identifier.
+COMMONS = {"nc": "non ?commercial", "sa": "share ?alike", "nd": "no ?deriv(?:ative)?s(?: works)?"}
+
+# Label | gate words | names without version, found as a whole | short names, found in notices only.
+UNVERSIONED = r"""
+apache | apache | apache (?:software )?licen[sc]e | apache
+gpl | general gpl | (?:(?:gnu )?general public licen[sc]e|(?:gnu )?gpl licen[sc]e|gnu gpl) | gpl
+lgpl | lesser library lgpl | (?:(?:gnu )?(?:lesser|library) general public licen[sc]e|(?:gnu )?lgpl licen[sc]e|gnu lgpl) | lgpl
+agpl | affero agpl | (?:(?:gnu )?affero general public licen[sc]e|(?:gnu )?agpl licen[sc]e|gnu agpl) | agpl
+gfdl | documentation gfdl | (?:(?:gnu )?free documentation licen[sc]e|gfdl licen[sc]e) | gfdl
+mpl | mozilla mpl | (?:mozilla public licen[sc]e|mpl licen[sc]e) | mpl
+epl | eclipse epl | (?:eclipse public licen[sc]e|epl licen[sc]e) | epl
+cddl | cddl development | (?:common development and distribution licen[sc]e|cddl licen[sc]e) | cddl
+eupl | european eupl | (?:european union public licen[sc]e|eupl licen[sc]e) | eupl
+artistic | artistic | artistic licen[sc]e | artistic licen[sc]e
+bsd | bsd | bsd(?: style)? licen[sc]e | bsd
+mit | mit | mit style licen[sc]e | mit
+isc | isc | isc style licen[sc]e | isc
+bsl-1.0 | boost | boost licen[sc]e | boost software licen[sc]e
+ofl | ofl | ofl licen[sc]e | ofl
+cc-by | attribution | creative commons attribution(?: licen[sc]e)? | cc by
+"""
+
+VERSIONED_NOTICE = "general public licen[sc]e as published by the free software foundation either version {} of the licen[sc]e"
+LATER = " or at your option any later version"
+
+# Label | gate words | a sentence that only the text of the licence, or its notice, has.
+BODIES = rf"""
+mit | hereby | permission is hereby granted free of charge to any person obtaining a copy
+bsl-1.0 | hereby | permission is hereby granted free of charge to any person or organization obtaining a copy
+isc | hereby | permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted
+postgresql | hereby | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+bsd | redistribution redistributions | redistributions? (?:and use )?in source and binary forms(?: with or without modification)?
+bsd-3-clause | endorse | neither the names? of (?:[^ ]+ ){{1,20}}may be used to endorse or promote products
+bsd-4-clause | advertising | all advertising materials mentioning features or use of this software must display
+apache-2.0 | contributor | subject to the terms and conditions of this licen[sc]e each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[sc]e
+gpl | redistribute | this (?:program|library|software|file) is free software you can redistribute it and or modify it
+gpl | licenses | the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change
+gpl-3.0 | copyleft | gnu general public license is a free copyleft license for software and other kinds of works
+agpl-3.0 | copyleft | gnu affero general public license is a free copyleft license for software and other kinds of works
+gpl-2.0-or-later | published | gnu {VERSIONED_NOTICE.format("2(?: 0)?")}{LATER}
+gpl-3.0-or-later | published | gnu {VERSIONED_NOTICE.format("3(?: 0)?")}{LATER}
+lgpl-2.0 | published | gnu library {VERSIONED_NOTICE.format("2(?: 0)?")}{LATER}
+lgpl-2.1 | published | gnu lesser {VERSIONED_NOTICE.format("2 1")}{LATER}
+lgpl-3.0 | published | gnu lesser {VERSIONED_NOTICE.format("3(?: 0)?")}{LATER}
+agpl-3.0 | published | gnu affero {VERSIONED_NOTICE.format("3(?: 0)?")}{LATER}
+mpl-2.0 | mpl mozilla | this source code form is subject to the terms of the mozilla public licen[sc]e #2 0
+zlib | liable | in no event will the authors be held liable for any damages arising from the use of this software
+unlicense | unencumbered | this is free and unencumbered software released into the public domain
+wtfpl | fuck | do what the fuck you want to(?: public licen[sc]e)?
+ofl-1.1 | sil ofl | this license is copied below and is also available with a faq at
+"""
+
+#: Identifiers that are words or names of their own: they count only where a licence field is before them.
+FIELD_ONLY = {"mit", "mit 0", "x11", "isc", "unlicense", "zlib", "openssl", "python 2 0", "php 3 01", "ruby", "postgresql", "ncsa", "curl", "json", "vim"}
+
 #: The phrases that count as places, and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -117,13 +197,47 @@ class Rule:
     pattern: re.Pattern[str]
 
 
+def _rule(label: str, form: str, gates: str, priority: int, strength: float, body: str) -> Rule:
+    body = re.sub(r"#(\d)", r"(?:v ?|ver(?:sion)? )?\1", body)
+    return Rule(label, form, frozenset(gates.split()), priority, strength, re.compile(f"(?<= )(?:{body})(?= )"))
+
+
+def _lines(table: str) -> list[list[str]]:
+    return [line.split(" | ") for line in table.strip().splitlines()]
+
+
+def _long_commons(label: str) -> str | None:
+    """The long name of a Creative Commons licence, from its label."""
+    if not label.startswith("cc-by-"):
+        return None
+    *parts, version = label.removeprefix("cc-by-").split("-")
+    kinds = "".join(f" {COMMONS[part]}" for part in parts)
+    major, minor = version.split(".")
+    return rf"(?:creative commons |cc )?attribution{kinds}(?: licen[sc]e)? #{major} {minor}(?: (?:international|unported|generic))?(?: public)?(?: licen[sc]e)?"
+
+
 def rules() -> list[Rule]:
     """Every form of every licence, by falling priority, then as written."""
     found = []
-    for line in LICENCES.strip().splitlines():
-        label, gates, name, identifier, address = line.split(" | ")
-        name = re.sub(r"#(\d)", r"(?:v|version )?\1", name)
+    for label, gates, name, identifier, address in _lines(LICENCES):
+        for form, shape, priority, strength in FORMS:
+            found.append(_rule(label, form, gates, priority, strength, shape.format(name=f"(?:{name})", identifier=identifier, address=address)))
+        first = identifier.split()[0]
+        field = rf"licen[sc]es?(?: (?:text|name|id|type|expression|file|is))? (?:{identifier})"
+        found.append(_rule(label, "field", first, 3, 0.85, field))
+        if identifier not in FIELD_ONLY:
+            found.append(_rule(label, "identifier", first, 1, 0.6, identifier))
+    named = [(label, gates, name) for label, gates, name in _lines(OTHER_NAMES)]
+    named += [(label, "attribution", name) for label, *_ in _lines(LICENCES) if (name := _long_commons(label))]
+    for label, gates, name in named:
         for form, shape, priority, strength in FORMS:
-            body = shape.format(name=f"(?:{name})", identifier=identifier, address=address)
-            found.append(Rule(label, form, frozenset(gates.split()), priority, strength, re.compile(f"(?<= )(?:{body})(?= )")))
+            if "{name}" in shape:
+                found.append(_rule(label, form, gates, priority, strength, shape.format(name=f"(?:{name})")))
+    for label, gates, name, short in _lines(UNVERSIONED):
+        for form, shape, _, strength in FORMS:
+            if form in ("notice", "subject"):
+                found.append(_rule(label, form, f"{gates} {short.split()[0]}", 1, strength - 0.1, shape.format(name=f"(?:{name}|{short})")))
+        found.append(_rule(label, "name", gates, 0, 0.6, name))
+    for label, gates, sentence in _lines(BODIES):
+        found.append(_rule(label, "text", gates, 4, 0.95, sentence))
     return sorted(found, key=lambda rule: -rule.priority)
