@@ -14,8 +14,8 @@ from clickmart.llm import (
     lm_interpolation,
     packing,
     quality_rules,
+    repeats,
     simhash_dedup,
-    substring_dedup,
     token_counts,
     url_lists,
 )
@@ -121,7 +121,7 @@ def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.report(_table(spark, sf_dir, "documents"))
+    return repeats.report(_table(spark, sf_dir, "documents"))
 
 
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,10 +61,18 @@ def tuned(similar: float = SIMILAR, recall: float = 0.98, false_cost: float = 20
     return min(found)[1:]
 
 
+def word_hashes(texts: list[bytes]) -> list[list[int]]:
+    """The hashes of the lower-cased words of each text."""
+    return [list(map(xxhash.xxh64_intdigest, text.lower().split())) for text in texts]
+
+
 class Paragraphs:
-    """The paragraphs of some texts: where they start and end among all words, and whose they are."""
+    """The paragraphs of some texts: where they start and end among all words, and whose they are.
+
+    With ``lines`` every line stands beside its pieces, whole.
+    """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], lines: bool = False):
         digest, hashes, starts, of = xxhash.xxh64_intdigest, [], [], []
         begins, at = [], 0
         pad = [int(LAST)] * RADIUS
@@ -81,12 +89,16 @@ class Paragraphs:
             hashes += pad
             at += RADIUS
         self.hashes = np.array(hashes, np.uint64)
-        lines, whose = np.array(starts, np.int64), np.array(of, np.int64)
-        cuts = np.union1d(lines, self.minima())
-        owner = whose[np.searchsorted(lines, cuts, "right") - 1]
+        edges, whose = np.array(starts, np.int64), np.array(of, np.int64)
+        cuts = np.union1d(edges, self.minima())
+        owner = whose[np.searchsorted(edges, cuts, "right") - 1]
         ends = np.append(cuts[1:], at)
+        if lines:
+            cuts, ends = np.concatenate([cuts, edges]), np.concatenate([ends, edges[1:], [at]])
+            owner = np.concatenate([owner, whose])
         long = (owner >= 0) & (ends - cuts >= SHINGLE)
         self.start, self.end, self.of = cuts[long], ends[long], owner[long]
+        self.line = np.flatnonzero(long) >= len(long) - (len(edges) if lines else 0)
         self.first_word = np.array(begins, np.int64)[self.of]
 
     def minima(self) -> np.ndarray:
@@ -132,8 +144,8 @@ class Paragraphs:
         return found
 
 
-def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], Paragraphs]]:
-    """doc_ids and paragraphs of some texts at a time, whatever their lengths."""
+def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """doc_ids and texts, some at a time, whatever their lengths."""
     ids, texts, size = [], [], 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
@@ -141,45 +153,52 @@ def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], P
             texts.append(text)
             size += 1 + len(text) // 6
             if size >= BATCH_WORDS:
-                yield ids, Paragraphs(texts)
+                yield ids, texts
                 ids, texts, size = [], [], 0
     if texts:
-        yield ids, Paragraphs(texts)
+        yield ids, texts
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, start (in words), n_words and text (a hash) of each paragraph."""
+def paragraphs(docs: DataFrame, lines: bool = False) -> DataFrame:
+    """doc_id, line (whether it is one beside its pieces), start (in words), n_words and text (a hash) of each paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, p in _in_groups(batches):
+        for ids, some in in_groups(batches):
+            p = Paragraphs(some, lines)
             if len(p.start):
                 of, texts = np.array(ids, np.int64)[p.of], p.texts().view(np.int64)
-                yield _batch(doc_id=of, start=p.start - p.first_word, n_words=p.end - p.start, text=texts)
+                yield _batch(doc_id=of, line=p.line, start=p.start - p.first_word, n_words=p.end - p.start, text=texts)
 
     known = texts_of(docs).where("doc_id is not null")
-    return known.mapInArrow(run, "doc_id bigint, start bigint, n_words bigint, text bigint")
+    return known.mapInArrow(run, "doc_id bigint, line boolean, start bigint, n_words bigint, text bigint")
 
 
-def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+def banded(docs: DataFrame, bands: int, rows: int, lines: bool = False, similar: float = SIMILAR) -> DataFrame:
     """band (a key), text and n: how often, as far as one task has seen."""
+    least_unequal = math.ceil(similar / (1 - similar) - 1e-9) if similar < 1 else 1  # shingles of a set with an unequal similar one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, p in _in_groups(batches):
+        for _, some in in_groups(batches):
+            p = Paragraphs(some, lines)
             if len(p.start):
                 texts, first, counts = np.unique(p.texts(), return_index=True, return_counts=True)
-                for key in p.bands(bands, rows):
-                    yield _batch(band=key[first].view(np.int64), text=texts.view(np.int64), n=counts.astype(np.int32))
+                # Sets of up to three shingles are similar only where they are equal, and equal ones meet in any band.
+                few = (p.end - p.start)[first] < SHINGLE + least_unequal - 1
+                for band, key in enumerate(p.bands(bands, rows)):
+                    on = slice(None) if band == 0 else ~few
+                    key, text, n = key[first][on], texts[on], counts[on].astype(np.int32)
+                    yield _batch(band=key.view(np.int64), text=text.view(np.int64), n=n)
 
     return texts_of(docs).where("doc_id is not null").mapInArrow(run, "band bigint, text bigint, n int")
 
 
-def buckets(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+def buckets(docs: DataFrame, bands: int, rows: int, lines: bool = False, similar: float = SIMILAR) -> DataFrame:
     """band, text and least (of the bucket's texts) where a band holds more than one paragraph."""
-    spread = banded(docs, bands, rows).repartition("band")
+    spread = banded(docs, bands, rows, lines, similar).repartition("band")
     # Equal rows are added up where they arrive, so that a bucket has a row for each different text.
     texts = spread.groupBy("band", "text").agg(F.sum("n").alias("n"))
     bucket = Window.partitionBy("band")
@@ -188,7 +207,7 @@ def buckets(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return known.where("n > 1 or least < most").select("band", "text", "least", mixed)
 
 
-def shingles_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+def shingles_of(docs: DataFrame, places: DataFrame, lines: bool = False) -> DataFrame:
     """text and its set of shingles, for ``places`` (doc_id and starts: (start, n_words, text) of paragraphs)."""
     own = texts_of(docs).where("doc_id is not null")
     wanted = places.select(F.col("doc_id").alias("_of"), "starts")
@@ -198,7 +217,7 @@ def shingles_of(docs: DataFrame, places: DataFrame) -> DataFrame:
         for batch in batches:
             out: dict[int, list[int]] = {}
             for text, starts in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                p = Paragraphs([text])
+                p = Paragraphs([text], lines)
                 shingles, hashes = p.shingles().view(np.int64), p.texts().view(np.int64).tolist()
                 at = {(s, h): k for k, (s, h) in enumerate(zip((p.start - p.first_word).tolist(), hashes, strict=True))}
                 for s, h in ((x["start"], x["text"]) for x in starts):
@@ -224,45 +243,50 @@ def links(mixed: DataFrame, shingles: DataFrame, similar: float) -> DataFrame:
     to_least = mixed.where("text > least").select(F.col("text").alias("u"), F.col("least").alias("v"))
     led = settle(similar_pairs(to_least, shingles, similar))
     failed = mixed.where("text > least").join(led, (F.col("text") == led["u"]) & (F.col("least") == led["v"]), "left_anti")
-    counts = shingles.select("text", F.explode("shingles").alias("shingle"))
-    rarity = counts.join(counts.groupBy("shingle").agg(F.count("*").alias("held")), "shingle")
-    size = F.size("sorted")
+    failed = settle(failed.select("band", "text"))
+    met = mixed.join(failed.select("band").distinct(), "band", "left_semi").select("band", "text")
+    sets = settle(shingles.join(met.select("text").distinct(), "text", "left_semi"))
+    counts = sets.select("text", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    held = counts.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    # A shingle of one text stands first in the order and meets nothing, so it is only counted.
     own = F.sort_array(F.collect_list(F.struct("held", "shingle")))  # no more than a paragraph has
-    ordered = rarity.groupBy("text").agg(own.alias("sorted"))
-    reach = (size - F.ceil(F.lit(similar) * size - 1e-9) + 1).cast("int")
-    prefix = ordered.select("text", F.explode(F.slice("sorted", F.lit(1), reach)).alias("s"))
+    ordered = counts.join(held, "shingle").groupBy("text", "size").agg(own.alias("sorted"))
+    alone = F.col("size") - F.size("sorted")
+    reach = (F.col("size") - F.ceil(F.lit(similar) * F.col("size") - 1e-9) + 1 - alone).cast("int")
+    prefix = ordered.withColumn("reach", reach).where("reach > 0")
+    prefix = settle(prefix.select("text", F.explode(F.slice("sorted", F.lit(1), F.col("reach"))).alias("s")))
     prefix = prefix.select("text", F.col("s.shingle").alias("shingle"))
-    left = failed.select("band", "text").join(prefix, "text").withColumnRenamed("text", "u")
-    right = mixed.join(failed.select("band").distinct(), "band", "left_semi").select("band", "text").join(prefix, "text")
+    left = failed.join(prefix, "text").withColumnRenamed("text", "u")
+    right = met.join(prefix, "text")
     others = left.join(right.withColumnRenamed("text", "v"), ["band", "shingle"]).where("u <> v")
     others = others.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     return led.union(similar_pairs(others, shingles, similar))
 
 
-def repeated_paragraphs(docs: DataFrame, similar: float, recall: float) -> DataFrame:
-    """doc_id, start, n_words and class of the paragraphs whose class two documents hold."""
-    found = settle(buckets(docs, *tuned(similar, recall)))
+def repeated_paragraphs(docs: DataFrame, similar: float, recall: float, lines: bool = False) -> DataFrame:
+    """doc_id, line, start, n_words and class of the paragraphs whose class two documents hold."""
+    found = settle(buckets(docs, *tuned(similar, recall), lines, similar))
     repeated = found.select("text").distinct()
-    held = settle(paragraphs(docs).join(repeated, "text", "left_semi"))
+    held = settle(paragraphs(docs, lines).join(repeated, "text", "left_semi"))
     mixed = found.where("mixed").select("band", "text", "least").distinct()
     # One place for each text first: a passage of many documents is a row for each task then.
     one = held.groupBy("text").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at"))
     one = one.join(mixed.select("text").distinct(), "text", "left_semi")
     places = one.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.start", "at.n_words", "text")).alias("starts"))
-    shingles = settle(shingles_of(docs, settle(places)))
+    shingles = settle(shingles_of(docs, settle(places), lines))
     reached = components(links(mixed, shingles, similar))
     classes = held.join(reached, held["text"] == reached["node"], "left")
-    classes = classes.select("doc_id", "start", "n_words", F.coalesce("component", "text").alias("class"))
+    classes = classes.select("doc_id", "line", "start", "n_words", F.coalesce("component", "text").alias("class"))
     classes = settle(classes.distinct())
     across = classes.groupBy("class").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     across = across.where("first < last")
-    return classes.join(settle(across.select("class")), "class").select("doc_id", "start", "n_words", "class")
+    return classes.join(settle(across.select("class")), "class").select("doc_id", "line", "start", "n_words", "class")
 
 
 def sequences(shared: DataFrame, min_words: int) -> DataFrame:
     """doc_id, key and members (start, n_words) of the shortest sequence of ``min_words`` from each paragraph on."""
     most = -(-min_words // SHINGLE)  # no paragraph is shorter than a shingle
-    following = Window.partitionBy("doc_id").orderBy("start", "n_words", "class").rowsBetween(0, most - 1)
+    following = Window.partitionBy("doc_id", "line").orderBy("start", "n_words", "class").rowsBetween(0, most - 1)
     ahead = shared.withColumn("ahead", F.collect_list(F.struct("start", "n_words", "class")).over(following))
 
     def longer(so_far: Column, one: Column) -> Column:
@@ -291,9 +315,11 @@ def sequences(shared: DataFrame, min_words: int) -> DataFrame:
     return found.select("doc_id", F.col("s.key").alias("key"), members.alias("members"))
 
 
-def passages(docs: DataFrame, similar: float = SIMILAR, min_words: int = MIN_WORDS, recall: float = 0.98) -> DataFrame:
+def passages(
+    docs: DataFrame, similar: float = SIMILAR, min_words: int = MIN_WORDS, recall: float = 0.98, lines: bool = False
+) -> DataFrame:
     """doc_id, start and n_words of the paragraphs of passages that two documents hold; first: the smallest doc_id."""
-    held = settle(sequences(repeated_paragraphs(docs, similar, recall), min_words))
+    held = settle(sequences(repeated_paragraphs(docs, similar, recall, lines), min_words))
     keys = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     shared = held.join(settle(keys.select("key", "first")), "key")
     members = shared.select("doc_id", F.explode("members").alias("m"), "first")
@@ -320,7 +346,11 @@ def report(docs: DataFrame, **options: float) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, **options: float) -> DataFrame:
     """``docs`` without the paragraphs that go; the words of a line that stay are joined by a space where one is cut."""
-    gone = passages(docs, **options).where("doc_id > first").select("doc_id", "start", "n_words").distinct()
+    return cut_out(docs, passages(docs, **options).where("doc_id > first").select("doc_id", "start", "n_words").distinct())
+
+
+def cut_out(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the words at ``gone`` (doc_id, start, n_words)."""
     gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
     drop, of = fresh("_drop", docs), fresh("_of", docs)
     gone = gone.select(F.col("doc_id").alias(of), F.col("spans").alias(drop))
