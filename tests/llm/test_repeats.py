@@ -43,6 +43,13 @@ def test_all_common_runs_are_found(as_documents, given):
         assert wanted and removed(repeats.runs(as_documents(rows), 16)) == wanted
 
 
+def test_passages_go_whole(as_documents):
+    rows = places()
+    found = {r["doc_id"]: r["words_removed"] for r in repeats.report(as_documents(rows)).collect()}
+    assert all(found[i] >= 51 + i // 2 % 10 for i in range(1, 24, 2))
+    assert not any(found[i] for i in range(0, 24, 2))
+
+
 def test_the_query_finds_them(spark, as_documents, tmp_path):
     as_documents(places()).write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: r["words_removed"] for r in queries.substring_dedup_query(spark, str(tmp_path)).collect()}
