@@ -117,7 +117,7 @@ def repeats(
     docs: DataFrame, similar: float = sub.SIMILAR, min_words: int = sub.MIN_WORDS, recall: float = 0.98
 ) -> DataFrame:
     """doc_id, start, n_words and first (the smallest doc_id) of all repeated text; places may overlap."""
-    cut = sub.passages(docs, similar, min_words, recall)
+    cut = sub.passages(docs, similar, min_words, recall, lines=True)
     return cut.select("doc_id", "start", "n_words", "first").unionByName(runs(docs, min_words))
 
 

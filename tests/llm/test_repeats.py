@@ -21,6 +21,18 @@ def places():
     return docs
 
 
+def edited():
+    """Long lines with a few words changed, so that Jaccard similarity stays over 0.8."""
+    docs = []
+    for i, (n, edits) in enumerate([(60, 1), (100, 2), (200, 4)]):
+        line = random_words(400 + i, n)
+        other = list(line)
+        for k in range(edits):
+            other[(2 * k + 1) * n // (2 * edits)] = f"edit{k}"
+        docs += [(2 * i, " ".join(line)), (2 * i + 1, "own words of this one\n" + " ".join(other))]
+    return docs
+
+
 def brute_words(docs, n):
     """(doc_id, word) of all windows of n words that a smaller doc_id has."""
     first, gone = {}, set()
@@ -50,6 +62,14 @@ def test_passages_go_whole(as_documents):
     assert not any(found[i] for i in range(0, 24, 2))
 
 
+def test_similar_lines_go_with_their_edits(as_documents):
+    docs = as_documents(edited())
+    found = {r["doc_id"]: r["words_removed"] for r in repeats.report(docs, recall=1 - 1e-9).collect()}
+    assert found == {0: 0, 1: 60, 2: 0, 3: 100, 4: 0, 5: 200}
+    kept = {r["doc_id"]: r["text"] for r in repeats.drop_repeats(docs, recall=1 - 1e-9).collect()}
+    assert all(kept[i] == "own words of this one" for i in (1, 3, 5))
+
+
 def test_the_query_finds_them(spark, as_documents, tmp_path):
     as_documents(places()).write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: r["words_removed"] for r in queries.substring_dedup_query(spark, str(tmp_path)).collect()}
