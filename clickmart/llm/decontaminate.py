@@ -10,8 +10,8 @@ The benchmark is the query set. It goes to the tasks in blocks of bounded size,
 row of the documents is shuffled. A document's words meet a table of the block's seeds; only documents with seeds are
 tiled.
 
-Edge cases: NULL and empty texts share nothing; an item of fewer words than a seed can't be tiled and matches nothing;
-equal items are each reported; equally long tiles are laid from the item's start; rows that repeat a doc_id or item_id
+Edge cases: NULL and empty texts share nothing; an item of fewer words than a seed can't be tiled: with ``short``
+it is one seed of its whole length and matches only a text that holds it whole, without, it matches nothing; equal items are each reported; equally long tiles are laid from the item's start; rows that repeat a doc_id or item_id
 are each looked at; an empty benchmark leaves all documents clean.
 """
 
@@ -113,7 +113,7 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[
 class Block:
     """Items of the benchmark made ready for the tasks."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], least: int):
+    def __init__(self, items: list[tuple[int | None, bytes]], least: int, short: bool = False):
         self.least = least
         split = [(item_id, words(text)) for item_id, text in items]
         self.codes = {w: xxhash.xxh64_intdigest(w) or 1 for _, ws in split for w in ws}
@@ -123,10 +123,24 @@ class Block:
         of = np.repeat(np.arange(len(seeds)), list(map(len, seeds)))
         order = np.argsort(hashes, kind="stable")
         self.seeds, self.of = hashes[order], of[order]
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, (_, codes) in enumerate(self.items):
+            if short and 0 < len(codes) < least:
+                whole = int(Rolling(codes).windows(len(codes))[0])
+                self.short.setdefault(len(codes), {}).setdefault(whole, []).append(i)
 
     def matches(self, text: bytes) -> Iterator[tuple[int | None, float, list[tuple[int, int, int]]]]:
         """(item, share of its words covered, tiles) for each item with a seed in the text."""
         codes = np.array([self.codes.get(w, 0) for w in words(text)], np.uint64)
+        for n, wholes in self.short.items():
+            starts = open_windows(codes == 0, n)
+            if len(starts):
+                hashes = Rolling(codes).windows(n)[starts]
+                held = np.isin(hashes, np.array(list(wholes), np.uint64))
+                first = dict(zip(hashes[held][::-1].tolist(), starts[held][::-1].tolist(), strict=True))
+                for i, at in sorted((i, at) for h, at in first.items() for i in wholes[h]):
+                    if (codes[at : at + n] == self.items[i][1]).all():
+                        yield self.items[i][0], 1.0, [(0, at, n)]
         # Only runs of known words can hold a seed.
         starts = open_windows(codes == 0, self.least)
         if not len(starts) or not len(self.seeds):
@@ -150,7 +164,7 @@ class Block:
             yield item_id, sum(n for _, _, n in found) / len(item), found
 
 
-def blocks(benchmark: DataFrame, least: int, block_bytes: int) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, least: int, block_bytes: int, short: bool = False) -> Iterator[Block]:
     """The benchmark's items in blocks of about ``block_bytes`` of text; the driver holds one at a time."""
     items, size = [], 0
     both = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -158,10 +172,10 @@ def blocks(benchmark: DataFrame, least: int, block_bytes: int) -> Iterator[Block
         items.append((row["item_id"], (row["text"] or "").encode()))
         size += len(items[-1][1])
         if size >= block_bytes:
-            yield Block(items, least)
+            yield Block(items, least, short)
             items, size = [], 0
     if items:
-        yield Block(items, least)
+        yield Block(items, least, short)
 
 
 TILE = flat_schema("item_start integer, doc_start integer, length integer")
@@ -169,11 +183,12 @@ SCHEMA = flat_schema("doc_id long, item_id long, coverage double").add("tiles",
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, block_bytes: int = 16 << 20
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, block_bytes: int = 16 << 20,
+    short: bool = False,
 ) -> DataFrame:
     """One row for each document and item of which it covers ``threshold`` or more: coverage and the tiles, in words."""
     spark, found = docs.sparkSession, None
-    for block in blocks(benchmark, least, block_bytes):
+    for block in blocks(benchmark, least, block_bytes, short):
         shared = spark.sparkContext.broadcast(block)
 
         def run(ids: pa.Array, texts: pa.Array, shared=shared) -> Iterator[tuple]:
@@ -188,11 +203,12 @@ def contamination(
 
 
 def keep_clean(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, block_bytes: int = 16 << 20
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, block_bytes: int = 16 << 20,
+    short: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` that cover less than ``threshold`` of every item, with all their columns."""
     at = text_at(docs)
-    for block in blocks(benchmark, least, block_bytes):
+    for block in blocks(benchmark, least, block_bytes, short):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

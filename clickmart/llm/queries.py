@@ -143,7 +143,7 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), short=True)
     return found.select("doc_id", "item_id", "coverage", F.size("tiles").alias("n_tiles"))
 
 
