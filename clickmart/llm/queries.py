@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickmart.llm import (
+    collocations,
+    curriculum,
     decontaminate,
+    lexical_search,
     license_scan,
     line_dedup,
     lm_interpolation,
@@ -16,6 +19,7 @@ from clickmart.llm import (
     quality_rules,
     repeats,
     simhash_dedup,
+    sql,
     token_counts,
     url_lists,
 )
@@ -147,6 +151,37 @@ def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "coverage", F.size("tiles").alias("n_tiles"))
 
 
+def schedules_of(docs: DataFrame) -> DataFrame:
+    """Schedules for the sources in the order of their code points: mean weights 1, 2, 3, repeating; the first kind falls,
+    the second rises, the third does both."""
+    sources = docs.select("source").distinct()
+    number = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
+    point = lambda at, weight: F.struct(F.lit(at).alias("at"), F.lit(weight).alias("weight"))
+    kinds = (
+        F.when(F.col("k") == 0, F.array(point(0.0, 1.5), point(1.0, 0.5)))
+        .when(F.col("k") == 1, F.array(point(0.0, 1.0), point(1.0, 3.0)))
+        .otherwise(F.array(point(0.0, 1.5), point(0.5, 4.5), point(1.0, 1.5)))
+    )
+    return sources.withColumn("k", number % 3).select("source", F.explode(kinds).alias("p")).select("source", "p.*")
+
+
+def curriculum_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """first_place is the training time of a document's first copy, in billionths of the training."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = curriculum.mixture(docs, schedules_of(docs))
+    place = F.floor(F.get("copies", F.lit(0))["position"] * 1e9)
+    mixed = mixed.select("doc_id", "size", "source_size", "target", "taken", place.alias("first_place"))
+    return mixed.orderBy(F.asc_nulls_last("first_place"), "doc_id")
+
+
+def collocations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def lexical_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -161,9 +196,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": simhash_query,
         "op9_substring_dedup": substring_dedup_query,
         "op10_benchmark_decontamination": decontaminate_query,
+        "op11_curriculum_mix": curriculum_query,
+        "op12_phrase_collocations": collocations_query,
+        "op13_lexical_search": lexical_search_query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": URL_LISTS_SQL}
+    return {
+        "op2_url_filters": URL_LISTS_SQL,
+        "op11_curriculum_mix": sql.CURRICULUM,
+        "op12_phrase_collocations": sql.COLLOCATIONS,
+        "op13_lexical_search": sql.LEXICAL_SEARCH,
+    }
