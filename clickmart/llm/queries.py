@@ -166,12 +166,12 @@ def schedules_of(docs: DataFrame) -> DataFrame:
 
 
 def curriculum_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """first_place is the training time of a document's first copy, in billionths of the training."""
+    """first_place is the training time of a document's first copy, in billionths of the training; -1 if none is taken."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = curriculum.mixture(docs, schedules_of(docs))
-    place = F.floor(F.get("copies", F.lit(0))["position"] * 1e9)
+    place = F.coalesce(F.floor(F.get("copies", F.lit(0))["position"] * 1e9), F.lit(-1))
     mixed = mixed.select("doc_id", "size", "source_size", "target", "taken", place.alias("first_place"))
-    return mixed.orderBy(F.asc_nulls_last("first_place"), "doc_id")
+    return mixed.orderBy("first_place", "doc_id")
 
 
 def collocations_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,8 +37,9 @@ timed AS (
   SELECT a.*, p.start_at, p.w, p.slope, a.asked - p.area_before AS rest
   FROM asked a LEFT JOIN pieces p ON p.weight = a.weight AND p.area_before <= a.asked
     AND NOT (p.area_before = 0 AND a.weight = 3 AND a.asked >= 1.5))
-SELECT doc_id, size, source_size, target, taken, CAST(floor(
-    CASE WHEN rest > 0 THEN start_at + 2 * rest / (w + sqrt(w * w + 2 * slope * rest)) ELSE start_at END * 1000000000.0::DOUBLE) AS BIGINT) AS first_place
+SELECT doc_id, size, source_size, target, taken, coalesce(CAST(floor(
+    CASE WHEN rest > 0 THEN start_at + 2 * rest / (w + sqrt(w * w + 2 * slope * rest)) ELSE start_at END * 1000000000.0::DOUBLE) AS BIGINT), -1)
+    AS first_place
 FROM timed
 """
 
