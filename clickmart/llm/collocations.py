@@ -4,14 +4,16 @@ Texts are parted into pieces at punctuation and line ends and pieces into words;
 ``longest`` words that follow each other in a piece; everything is counted for each language on its own.
 
 R1 is the relation of all places of frequent words. R(k+1) comes from R(k): two phrases of k words at adjacent places of
-a piece are a phrase of k+1 words, named by the two; they are counted in groups, and only places of groups of
-``least`` or more stay. So a longer phrase is only looked for where both its parts are frequent, and its name is exact: a
-pair of numbers, which stand for words at the bottom.
+a piece are a phrase of k+1 words; they are counted in groups, and only places of groups of ``least`` or more stay. So a
+longer phrase is only looked for where both its parts are frequent.
 
-A relation is written to the shared folder as one row for each chunk of about ``CHUNK_WORDS`` words of a language: places
-in ascending order, and the number of the phrase at each. Pieces are whole within a chunk and apart by an unused place, so
-the join by piece and adjacent place is a merge of two sorted arrays in the chunk; nothing is shuffled for it. What is
-shuffled are the different groups of each chunk, to be counted and to tell the chunk which of them are frequent.
+A relation is written to the shared folder as one row for each chunk of up to ``CHUNK_WORDS`` words of a language: places
+in ascending order, and the phrase at each. Pieces are whole within a chunk and apart by an unused place, so the join by
+piece and adjacent place is a merge of sorted arrays in the chunk, and nothing is shuffled but the counts of different
+groups, added up in each task first. The semi-join with the frequent groups is a Bloom filter of at most ``FILTER_MB``:
+what it lets through by mistake is counted at the next length and is not frequent there either, so a fuller filter costs
+work and never changes a result. Phrases go by 64-bit names, a hash of language and word and then of the two parts;
+frequent words are counted by their text, and frequent phrases that share a name raise an error.
 
 A cut parts a phrase in two; 1000 * f(phrase) * n / (f(first) * f(rest)) rounded down, n being all words of the language,
 is its score, and the lowest cut counts, of equal ones the first. A phrase is dropped if a longer one that holds it is at
@@ -24,21 +26,25 @@ doc_id and other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickmart.llm.common import discard, settle, utf8
+from clickmart.llm.substring_dedup import mix
 
 LEAST = 100
 LONGEST = 5
-CHUNK_WORDS = 1 << 20
-HELD_WORDS = 2 << 20  # of all languages together, in one task
+CHUNK_WORDS = 4 << 20  # also what a task holds of all languages together
+FILTER_MB = 16
+PROBES = 3
+ODD = np.uint64(0x9E3779B97F4A7C15)
 MARK = b"."
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Every end of a piece as the mark, letters in lower case.
@@ -67,8 +73,15 @@ class Buffer:
         return len(words)
 
 
-CHUNKS = "chunk bigint, lang string, words array<string>, counts array<bigint>, places binary"
-RELATION = "chunk bigint, phrases array<bigint>, gaps binary, at binary"
+CHUNKS = "lang string, words array<string>, names array<bigint>, counts array<bigint>, places binary"
+RELATION = "names array<bigint>, gaps binary, at binary"
+GROUPS = "left bigint, right bigint, n bigint"
+
+
+def one(values: np.ndarray | pa.Array) -> pa.ListArray:
+    """A column of one row, which is a list of all values."""
+    values = pa.array(values, pa.int64()) if isinstance(values, np.ndarray) else values
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
@@ -76,32 +89,26 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffers: dict[str, Buffer] = {}
-        chunk, held = TaskContext.get().partitionId() << 32, 0
+        held = 0
 
         def sent(lang: str) -> pa.RecordBatch:
-            nonlocal chunk, held
+            nonlocal held
             done = buffers.pop(lang)
             held -= done.size
-            chunk += 1
             places = np.concatenate(done.places)
             counts = np.bincount(places, minlength=len(done.numbers))[1:]
-            words = pa.array(list(done.numbers)[1:], pa.binary()).cast(pa.string())
-            columns = [
-                pa.array([chunk], pa.int64()),
-                pa.array([lang], pa.string()),
-                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64())),
-                pa.array([places.tobytes()], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "lang", "words", "counts", "places"])
+            words = list(done.numbers)[1:]
+            prefix = lang.encode() + b" "
+            names = np.fromiter((xxhash.xxh64_intdigest(prefix + w) for w in words), np.uint64, len(words))
+            texts = pa.array(words, pa.binary()).cast(pa.string())
+            columns = [pa.array([lang]), one(texts), one(names.view(np.int64)), one(counts), pa.array([places.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "names", "counts", "places"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 if text:
                     held += buffers.setdefault(lang, Buffer()).add(text)
-                    if buffers[lang].size >= chunk_words:
-                        yield sent(lang)
-                    while held >= max(HELD_WORDS, 2 * chunk_words):
+                    while held >= chunk_words:
                         yield sent(max(buffers, key=lambda x: buffers[x].size))
         for lang in list(buffers):
             yield sent(lang)
@@ -110,87 +117,133 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     return read.mapInArrow(run, CHUNKS)
 
 
-def ints(column: pa.Array) -> Iterator[np.ndarray]:
-    for value in column:
-        yield np.frombuffer(value.as_buffer(), np.int32)
+def named(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The names of the phrases made of two."""
+    return mix(left.view(np.uint64) * ODD + right.view(np.uint64)).view(np.int64)
+
 
+class Filter:
+    """A Bloom filter of names."""
 
-def relation(chunk: int, phrases: np.ndarray, places: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """A chunk's row: the numbers of its phrases, the places as gaps from one to the next, and which phrase is at each."""
-    used, at = np.unique(at, return_inverse=True)
-    numbers = pa.array(phrases[used], pa.int64())
-    columns = [
-        pa.array([chunk], pa.int64()),
-        pa.ListArray.from_arrays(pa.array([0, len(numbers)], pa.int32()), numbers),
-        pa.array([np.diff(places, prepend=0).astype(np.int32).tobytes()], pa.binary()),
-        pa.array([at.astype(np.int32).tobytes()], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["chunk", "phrases", "gaps", "at"])
+    def __init__(self, words: np.ndarray):
+        self.words = words  # 64 bits each, a power of two of them
 
+    @staticmethod
+    def positions(names: np.ndarray, size: int) -> np.ndarray:
+        shift = np.uint64(64 - (size * 64).bit_length() + 1)
+        salts = (np.arange(1, 2 * PROBES, 2, dtype=np.uint64) * ODD)[:, None]
+        return mix(names.view(np.uint64) * salts) >> shift
 
-def first_relation(words: DataFrame, frequent: DataFrame) -> DataFrame:
-    """R1 from the chunks and the frequent words (lang, word, id)."""
-    own = words.select("chunk", "lang", F.posexplode("words").alias("k", "word"))
-    known = own.join(frequent.select("lang", "word", "id"), ["lang", "word"])
-    known = known.groupBy("chunk").agg(F.collect_list(F.struct("k", "id")).alias("known"))  # no more than a chunk has words
-    joined = words.select("chunk", "places").join(known, "chunk").select("chunk", "places", "known")
+    def holds(self, names: np.ndarray) -> np.ndarray:
+        at = self.positions(names, len(self.words))
+        return ((self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
+
+
+def filter_of(frequent: DataFrame, filter_mb: int = FILTER_MB) -> Filter:
+    """A filter of the column id: 16 bits for each and no more than ``filter_mb``; its bits are put together on executors."""
+    size = 1 << min(max(frequent.count() // 4, 1).bit_length(), (filter_mb << 17).bit_length() - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, places, known in zip(batch.column(0).to_pylist(), ints(batch.column(1)), batch.column(2), strict=True):
-                k, ids = (known.values.field(i).to_numpy() for i in (0, 1))
-                which = np.full(max(int(places.max()), int(k.max()) + 1) + 1, -1, np.int64)
-                which[k + 1] = np.arange(len(k))  # the mark is 0
-                found = which[places]
-                yield relation(chunk, ids, np.flatnonzero(found >= 0), found[found >= 0])
+            at = np.unique(Filter.positions(batch.column(0).to_numpy(), size))
+            words, first = np.unique(at >> np.uint64(6), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            columns = [pa.array(words.astype(np.int32)), pa.array(bits.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "bits"])
+
+    found = frequent.select("id").mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = found.toPandas()
+    words = np.zeros(size, np.uint64)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return Filter(words)
+
+
+class Relation:
+    """A chunk's phrases of one length: their names, the places in ascending order, and which phrase is at each."""
+
+    def __init__(self, names: np.ndarray, places: np.ndarray, at: np.ndarray):
+        self.names, self.places, self.at = names, places, at
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Left, right and number of the different pairs at adjacent places; the places, and which pair is at each."""
+        first = np.flatnonzero(np.diff(self.places) == 1)
+        size = max(len(self.names), 1)
+        keys = self.at[first].astype(np.int64) * size + self.at[first + 1]
+        keys, which, n = np.unique(keys, return_inverse=True, return_counts=True)
+        return self.names[keys // size], self.names[keys % size], n, self.places[first], which
+
+    def row(self) -> pa.RecordBatch:
+        """Places as the gaps between them, which are mostly alike and small."""
+        blobs = [np.diff(self.places, prepend=0).astype(np.int32), self.at.astype(np.int32)]
+        columns = [one(self.names), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)]
+        return pa.RecordBatch.from_arrays(columns, names=["names", "gaps", "at"])
+
 
-    return joined.mapInArrow(run, RELATION)
+def ints(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.int32)
 
 
-def adjacent(gaps: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries have a phrase at the next place, and a key of the two phrases."""
-    first = np.flatnonzero(gaps[1:] == 1)
-    return first, at[first].astype(np.int64) * size + at[first + 1]
+def words_in(batch: pa.RecordBatch, frequent: Filter) -> Iterator[Relation]:
+    """R1 of each chunk (names and places): the places of words that the filter holds."""
+    for names, places in zip(batch.column(0), batch.column(1), strict=True):
+        names, places = names.values.to_numpy(), ints(places)
+        held = np.append(False, frequent.holds(names))[places]  # 0 is the mark
+        yield Relation(names, np.flatnonzero(held), places[held] - 1)
 
 
-def groups(rel: DataFrame) -> DataFrame:
-    """chunk, left, right and n: how often a chunk has the phrase right one place after left."""
+def phrases_in(batch: pa.RecordBatch, frequent: Filter) -> Iterator[Relation]:
+    """R(k) as it was written, of places that the filter holds already."""
+    for names, gaps, at in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+        yield Relation(names.values.to_numpy(), np.cumsum(ints(gaps), dtype=np.int64), ints(at))
+
+
+def groups(rel: DataFrame, read: Callable, frequent: Broadcast) -> DataFrame:
+    """left, right and n: how often a chunk has the phrase right one place after left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, phrases, gaps, at in zip(batch.column(0).to_pylist(), batch.column(1), ints(batch.column(2)), ints(batch.column(3)), strict=True):
-                ids = phrases.values.to_numpy()
-                keys, n = np.unique(adjacent(gaps, at, len(ids))[1], return_counts=True)
-                for a in range(0, len(keys), 65_536):
-                    some = keys[a : a + 65_536]
-                    columns = [np.full(len(some), chunk), ids[some // len(ids)], ids[some % len(ids)], n[a : a + 65_536]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["chunk", "left", "right", "n"])
+            for relation in read(batch, frequent.value):
+                columns = relation.pairs()[:3]
+                for a in range(0, len(columns[0]), 65_536):
+                    some = [pa.array(c[a : a + 65_536], pa.int64()) for c in columns]
+                    yield pa.RecordBatch.from_arrays(some, names=["left", "right", "n"])
 
-    return rel.mapInArrow(run, "chunk bigint, left bigint, right bigint, n bigint")
+    return rel.mapInArrow(run, GROUPS)
 
 
-def next_relation(rel: DataFrame, frequent: DataFrame) -> DataFrame:
-    """R(k+1) from R(k) and the frequent groups (left, right, id)."""
-    known = groups(rel).join(frequent.select("left", "right", "id"), ["left", "right"])
-    known = known.groupBy("chunk").agg(F.collect_list(F.struct("left", "right", "id")).alias("known"))
-    joined = rel.join(known, "chunk").select("chunk", "phrases", "gaps", "at", "known")
+def with_names(counted: DataFrame) -> DataFrame:
+    """left, right and a, and id: the name of the phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1), ints(batch.column(2)), ints(batch.column(3)), batch.column(4), strict=True)
-            for chunk, phrases, gaps, at, known in rows:
-                own = phrases.values.to_numpy()
-                order = np.argsort(own)
-                left, right, ids = (known.values.field(i).to_numpy() for i in range(3))
-                left, right = (order[np.searchsorted(own, x, sorter=order)] for x in (left, right))
-                keys = left * len(own) + right
-                by_key = np.argsort(keys)
-                entries, found = adjacent(gaps, at, len(own))
-                place = np.minimum(np.searchsorted(keys[by_key], found), len(keys) - 1)
-                held = keys[by_key][place] == found
-                yield relation(chunk, ids[by_key], np.cumsum(gaps, dtype=np.int64)[entries[held]], place[held])
-
-    return joined.mapInArrow(run, RELATION)
+            ids = named(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids)], names=["left", "right", "a", "id"])
+
+    return counted.mapInArrow(run, "left bigint, right bigint, a bigint, id bigint")
+
+
+def next_relation(rel: DataFrame, read: Callable, frequent: Broadcast, longer: Broadcast) -> DataFrame:
+    """R(k+1) from R(k): the places of pairs that the filter ``longer`` holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for relation in read(batch, frequent.value):
+                left, right, _, places, which = relation.pairs()
+                names = named(left, right)
+                held = longer.value.holds(names)
+                number = np.cumsum(held) - 1
+                here = held[which]
+                yield Relation(names[held], places[here], number[which[here]]).row()
+
+    return rel.mapInArrow(run, RELATION)
+
+
+def unique_names(frequent: DataFrame) -> DataFrame:
+    """``frequent``, settled, after a look whether two share a name."""
+    found = settle(frequent)
+    if shared := found.groupBy("id").count().where("count > 1").head(1):
+        raise ValueError(f"two frequent phrases have the same 64-bit name {shared[0]['id']}")
+    return found
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame]]:
@@ -199,26 +252,29 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     A phrase has id, left and right (the phrases without its last and first word), lang, words, a (how often it occurs),
     heads and tails (how often its first and last 1, 2, ... words do).
     """
-    words = settle(chunks(docs))
-    counts = words.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word"))
-    counts = counts.agg(F.sum("w.counts").alias("a"))
+    words, context = settle(chunks(docs)), docs.sparkSession.sparkContext
+    each = words.select("lang", F.explode(F.arrays_zip("words", "names", "counts")).alias("w"))
+    counts = each.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("a"), F.first("w.names").alias("id"))
     of_chunk = F.aggregate("counts", F.lit(0).cast("bigint"), lambda total, n: total + n)
     totals = settle(words.groupBy("lang").agg(F.sum(of_chunk).alias("n")))
-    none = F.array().cast("array<bigint>")
-    frequent = settle(counts.where(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()))
-    missing = F.lit(None).cast("bigint")
-    levels = [frequent.select("id", missing.alias("left"), missing.alias("right"), "lang", F.array("word").alias("words"), "a", none.alias("heads"), none.alias("tails"))]
-    rel = settle(first_relation(words, frequent))
-    discard(words)
+    none, missing = F.array().cast("array<bigint>"), F.lit(None).cast("bigint")
+    frequent = unique_names(counts.where(F.col("a") >= least))
+    own = [missing.alias("left"), missing.alias("right"), "lang", F.array("word").alias("words"), "a", none.alias("heads"), none.alias("tails")]
+    levels = [frequent.select("id", *own)]
+    rel, read, held = words.select("names", "places"), words_in, context.broadcast(filter_of(frequent))
+    written = words
     for length in range(2, longest + 1):
-        counted = groups(rel).groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        frequent = settle(counted.withColumn("id", F.monotonically_increasing_id()))
+        counted = groups(rel, read, held).groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        frequent = unique_names(with_names(counted))
         levels.append(settle(described(frequent, levels[-1])))
         if length < longest:
-            before, rel = rel, settle(next_relation(rel, frequent))
-            discard(before)
+            longer = context.broadcast(filter_of(frequent))
+            rel = settle(next_relation(rel, read, held, longer))
+            discard(written)
+            held.unpersist()
+            written, read, held = rel, phrases_in, longer
         discard(frequent)
-    discard(rel)
+    discard(written)
     return totals, levels
 
 
