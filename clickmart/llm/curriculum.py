@@ -83,13 +83,13 @@ def targets(sizes: DataFrame, schedules: DataFrame, share: float, max_repeats: i
         F.coalesce("weight", F.lit(1.0)).alias("weight"),
         F.coalesce("pieces", F.array(constant)).alias("pieces"),
         (max_repeats * F.col("source_size")).cast("double").alias("most"),
+        F.sum("source_size").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"),
     )
     weighty = joined.where("weight > 0").withColumn("full_at", F.col("most") / F.col("weight"))
     filling = Window.orderBy("full_at", "number")
     before = F.coalesce(F.sum("most").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     open_weight = F.sum("weight").over(filling.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    wanted = F.lit(float(share)) * F.sum("source_size").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    levels = weighty.withColumn("level", (wanted - before) / open_weight)
+    levels = weighty.withColumn("level", (F.lit(float(share)) * F.col("all") - before) / open_weight)
     reached = levels.where("level <= full_at").agg(F.max("level").alias("level")).scalar()
     target = F.least(F.col("most"), F.coalesce(reached, F.lit(float("inf"))) * F.col("weight"))
     return joined.select(
