@@ -4,14 +4,20 @@
 each other at row level, so revenue of order headers and of order lines cannot mix. Ratios are fractions with six
 decimals and NULL where the denominator is zero.
 
-Attributes filter and group along the many-to-one relations only: sessions reach orders, order lines and refunds;
-products reach order lines and refunds. The primary product of an order is no such relation.
+Attributes filter and group along the many-to-one relations: sessions reach orders, order lines and refunds; products
+reach order lines and refunds; the landing page is an attribute of the session. The primary product of an order is no
+such relation.
+
+Two relations work otherwise. The calendar hangs on the date of the chosen role: totals are folded by day first, and one
+row per day and group meets the calendar. The funnel has several rows for each session: a session counts in every step it
+reached, so groups overlap and don't add up to the whole; a filter on steps chooses the sessions that reached one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -19,18 +25,23 @@ from pyspark.sql import functions as F
 
 from clickmart.functions.ratios import fraction, money, money_or_zero
 from clickmart.functions.totals import as_row, merge_totals
-from clickmart.operators.marts import dim_product, fact_order, fact_order_item, fact_refund, fact_session
+from clickmart.operators.journeys import SHOP_FUNNEL, FunnelStep, funnel_flags, funnel_long, session_landing
+from clickmart.operators.marts import dim_date, dim_product, fact_order, fact_order_item, fact_refund, fact_session
 
 # Many-to-one relations: table -> {parent: foreign key}. The parent's primary key has the same name.
 PARENTS: dict[str, dict[str, str]] = {
-    "sessions": {},
+    "sessions": {"landings": "website_session_id"},
+    "landings": {},
     "products": {},
     "orders": {"sessions": "website_session_id"},
     "items": {"orders": "order_id", "products": "product_id"},
     "refunds": {"orders": "order_id", "items": "order_item_id"},
 }
 
-# The date column that `date` stands for in each role.
+# One-to-many relations that are used backwards: table -> key of the rows that belong to each of its rows.
+BRIDGES = {"funnel": "website_session_id"}
+
+# The date column that `date`, and the day of the calendar, stand for in each role.
 DATE_ROLES = {
     "session": "session_date",
     "order": "order_date",
@@ -162,16 +173,37 @@ METRICS: tuple[str, ...] = (
 )
 
 
-def build_model(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """The star from base tables; tables that are absent are left out with the metrics that need them."""
+def build_model(tables: Mapping[str, DataFrame], steps: tuple[FunnelStep, ...] = SHOP_FUNNEL) -> dict[str, DataFrame]:
+    """The star from base tables; tables that are absent are left out with the metrics that need them.
+
+    Landing pages, the funnel of ``steps`` and the calendar are computed only where they are asked for. The calendar can
+    be replaced by any table ``dates`` with one row per ``date``.
+    """
     builders = {
         "sessions": ("website_sessions", fact_session),
         "orders": ("orders", fact_order),
         "items": ("order_items", fact_order_item),
         "refunds": ("order_item_refunds", fact_refund),
         "products": ("products", dim_product),
+        "landings": ("website_pageviews", session_landing),
+        "funnel": ("website_pageviews", lambda views: funnel_long(funnel_flags(views, steps), steps)),
     }
-    return {name: build(tables[table]) for name, (table, build) in builders.items() if table in tables}
+    model = {name: build(tables[table]) for name, (table, build) in builders.items() if table in tables}
+    dated = [table for name, (table, _) in builders.items() if table in tables and _dated(model[name])]
+    return model | ({"dates": dim_date({table: tables[table] for table in dated})} if dated else {})
+
+
+def _dated(fact: DataFrame) -> bool:
+    return any(column in fact.columns for column in DATE_ROLES.values())
+
+
+def _calendar_parts(model: Mapping[str, DataFrame]) -> list[str]:
+    return [column for column in model["dates"].columns if column != "date"] if "dates" in model else []
+
+
+def _bridge_of(model: Mapping[str, DataFrame], name: str) -> str | None:
+    """The bridge that has the attribute."""
+    return next((b for b, key in BRIDGES.items() if b in model and name != key and name in model[b].columns), None)
 
 
 def _route(model: Mapping[str, DataFrame], table: str, column: str) -> str | None:
@@ -219,6 +251,29 @@ def _matches(column: str, wanted: Any) -> Column:
     return F.col(column) == wanted
 
 
+def _takes_missing(wanted: Any) -> bool:
+    return wanted is None or (isinstance(wanted, (list, tuple, set, frozenset)) and None in wanted)
+
+
+def _folded(rows: DataFrame, keys: Iterable[str], sums: Iterable[str]) -> DataFrame:
+    """One row for each combination of the keys."""
+    keys = list(dict.fromkeys(keys))
+    added = [F.sum(f"_{name}").alias(f"_{name}") for name in sums]
+    return rows.groupBy(*keys).agg(*added) if added else rows.select(*keys).distinct()
+
+
+def _across(rows: DataFrame, bridge: DataFrame, key: str, names: list[str], filters: Mapping[str, Any]) -> DataFrame:
+    """``rows`` with the bridge's attributes, once for each of its rows; without ``names`` only chosen by the filters."""
+    if names:
+        several = rows.join(bridge.select(key, *dict.fromkeys([*names, *filters])), key, "left")
+        return reduce(DataFrame.where, [_matches(name, wanted) for name, wanted in filters.items()], several)
+    chosen = reduce(DataFrame.where, [_matches(name, wanted) for name, wanted in filters.items()], bridge)
+    reached = rows.join(chosen.select(key), key, "left_semi")
+    if all(_takes_missing(wanted) for wanted in filters.values()):
+        return reached.unionByName(rows.join(bridge.select(key), key, "left_anti"))
+    return reached
+
+
 def _fact_totals(
     model: Mapping[str, DataFrame],
     names: list[str],
@@ -227,36 +282,58 @@ def _fact_totals(
     role: str,
 ) -> DataFrame:
     """Totals of base metrics that share a fact and a date role."""
-    fact = BASE[names[0]].fact
-    actual = {"date": DATE_ROLES[role]}
-    dims = {name: actual.get(name, name) for name in by}
-    chosen = {actual.get(name, name): wanted for name, wanted in filters.items()}
-    missing = [name for name, column in dims.items() if _route(model, fact, column) is None]
+    fact, day = BASE[names[0]].fact, DATE_ROLES[role]
+    parts = _calendar_parts(model)
+    bridges = {name: _bridge_of(model, name) for name in (*by, *filters)}
+
+    def column_of(name: str) -> str:
+        """The column of the facts and their parents by which the attribute is reached."""
+        return day if name == "date" or name in parts else BRIDGES[bridges[name]] if bridges.get(name) else name
+
+    missing = [name for name in by if _route(model, fact, column_of(name)) is None]
     if missing:
         raise ValueError(f"{names} cannot be grouped by {missing}: {fact} has no relation to them")
     # Filters act along the relations only: one on another table leaves this fact as it is.
-    chosen = {c: wanted for c, wanted in chosen.items() if _route(model, fact, c) is not None}
+    filters = {name: wanted for name, wanted in filters.items() if _route(model, fact, column_of(name)) is not None}
+    plain = {column_of(name): wanted for name, wanted in filters.items() if name not in parts and not bridges[name]}
 
     base = {name: BASE[name] for name in names}
     flags = {b.flag for b in base.values() if b.flag}
     distinct = sorted({b.distinct for b in base.values() if b.distinct})
-    needed = {*dims.values(), *chosen, *flags}
+    grouped = {column_of(name) for name in (*by, *filters) if name in by or name in parts or bridges[name]}
+    needed = {*grouped, *plain, *flags}
     own = {c for c in needed if _route(model, fact, c) == ""}
     fks = _foreign_keys(model, fact, needed - own)
 
     rows = model[fact]
-    for column in sorted(own & set(chosen)):
-        rows = rows.where(_matches(column, chosen[column]))
+    for column in sorted(own & set(plain)):
+        rows = rows.where(_matches(column, plain[column]))
     keys = list(dict.fromkeys([*sorted(own), *fks, *distinct]))
     sums = {name: b.value() for name, b in base.items() if b.value}
     rows = rows.select(*keys, *[value.alias(f"_{name}") for name, value in sums.items()])
     if fks:
         # One row per foreign key before the join: a session with very many orders is one row, not a hot key.
-        folded = [F.sum(f"_{name}").alias(f"_{name}") for name in sums]
-        rows = rows.groupBy(*keys).agg(*folded) if folded else rows.distinct()
-        rows = _with_ancestors(model, fact, rows, needed - own)
-        for column in sorted(set(chosen) - own):
-            rows = rows.where(_matches(column, chosen[column]))
+        rows = _with_ancestors(model, fact, _folded(rows, keys, sums), needed - own)
+        for column in sorted(set(plain) - own):
+            rows = rows.where(_matches(column, plain[column]))
+
+    kept = [*sorted(grouped), *sorted(flags), *distinct]
+    for bridge in sorted({b for b in bridges.values() if b}):
+        key = BRIDGES[bridge]
+        theirs = [name for name in by if bridges[name] == bridge]
+        chosen = {name: wanted for name, wanted in filters.items() if bridges[name] == bridge}
+        if theirs or chosen:
+            if fact != "sessions":  # which has one row per session
+                rows = _folded(rows, kept, sums)
+            rows = _across(rows, model[bridge], key, theirs, chosen)
+            kept = [*theirs, *kept]
+    if asked := [name for name in dict.fromkeys([*by, *filters]) if name in parts]:
+        rows = _folded(rows, kept, sums)
+        calendar = model["dates"].select(F.col("date").alias("_day"), *asked)
+        rows = rows.join(calendar, F.col(day) == F.col("_day"), "left")
+        for name in asked:
+            if name in filters:
+                rows = rows.where(_matches(name, filters[name]))
 
     totals = []
     for name, b in base.items():
@@ -265,6 +342,7 @@ def _fact_totals(
         else:
             value = F.when(F.col(b.flag), F.col(f"_{name}")) if b.flag else F.col(f"_{name}")
             totals.append(F.sum(value).alias(name))
+    dims = {name: day if name == "date" else name for name in by}
     return rows.groupBy(*[F.col(column).alias(name) for name, column in dims.items()]).agg(*totals)
 
 
@@ -321,14 +399,15 @@ def compute(
 ) -> DataFrame:
     """Metrics grouped by attributes.
 
-    ``by`` names attributes of the facts and dimensions, or ``date``, which means the date of ``date_role``.
+    ``by`` names attributes of the facts and dimensions, or ``date``, which means the date of ``date_role``, or columns
+    of the calendar, which is asked for that date. Rows without the date are a group of their own.
     ``filters`` maps an attribute to a value, a collection of values, or a function from its column to a condition;
     they apply before aggregation. None stands for a missing value. A filter acts on the facts that its table reaches
     and leaves the others as they are; a name that no table has is an error.
     """
     metrics, by, filters = tuple(metrics), tuple(by), dict(filters or {})
     _check_filters(model, filters, date_role)
-    by_date = "date" in by or "date" in filters
+    by_date = not {"date", *_calendar_parts(model)}.isdisjoint({*by, *filters})
     groups: dict[tuple[str, str], list[str]] = {}
     for name in _base_names(metrics):
         role = (BASE[name].date_role if by_date else None) or date_role

@@ -410,7 +410,9 @@ def _session_model(t: DriverTables) -> dict[str, DataFrame]:
             "order_items": t.session_items(),
             "order_item_refunds": t.session_refunds(),
             "products": t.products(),
-        }
+            "website_pageviews": t.pageviews(),
+        },
+        EVENT_FUNNEL,
     )
 
 
@@ -499,6 +501,42 @@ def metrics_filtered(t):
     )
 
 
+@monthly_job
+def metrics_by_month(t):
+    return metrics.compute(_session_model(t), CHANNEL_METRICS, by=["year_month"])
+
+
+@monthly_job
+def metrics_in_second_quarter(t):
+    """Orders of one quarter, by month of the order."""
+    model, chosen = _session_model(t), ["total_orders", "gross_revenue", "refund_amount", "refunded_orders"]
+    return metrics.compute(model, chosen, by=["month_name", "utm_source"], filters={"quarter": 2}, date_role="order")
+
+
+@job
+def revenue_by_order_quarter(t):
+    model = metrics.build_model({"orders": t.orders()})
+    chosen = ["total_orders", "gross_revenue_order_date", "average_order_value", "gross_margin_rate"]
+    return metrics.compute(model, chosen, by=["year", "quarter"], date_role="order")
+
+
+@job
+def metrics_by_landing_page(t):
+    return metrics.compute(_session_model(t), CHANNEL_METRICS, by=["landing_page"])
+
+
+@job
+def metrics_by_funnel_step(t):
+    return metrics.compute(_session_model(t), CHANNEL_METRICS, by=["funnel_step", "device_type"])
+
+
+@job
+def metrics_after_signup(t):
+    """Orders and sessions of the sessions that reached one of two steps; a session that reached both counts once."""
+    steps = {"funnel_step": ["reached_signup", "completed_order"]}
+    return metrics.compute(_session_model(t), CHANNEL_METRICS, by=["utm_source"], filters=steps)
+
+
 # --- Reconciliation and documented uses ---
 
 

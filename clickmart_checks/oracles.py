@@ -581,6 +581,55 @@ def _metrics(names: list[str], by: str | None = None, where: str = "TRUE") -> st
     )
 
 
+def _metrics_over(names: list[str], keys: list[str], sessions: str, ctes: dict[str, str] | None = None, orders: str = "wo") -> str:
+    """As ``_metrics``, where ``sessions`` (x) may hold a session once for each of several groups."""
+    by = ", ".join(keys)
+    same = " AND ".join("{0}." + f"{key} IS NOT DISTINCT FROM s.{key}" for key in keys)
+    parts = {
+        "fs": NAMED_SESSIONS,
+        **(ctes or {}),
+        "x": sessions,
+        "s": f"SELECT {by}, count(*) AS s_n, count(*) FILTER (WHERE is_repeat_session) AS s_repeat, "
+        f"count(DISTINCT user_id) AS s_users FROM x GROUP BY {by}",
+        "o": f"SELECT {by}, count(*) AS o_n, sum(price_usd) AS o_usd, sum(price_usd - cogs_usd) AS o_margin, "
+        "count(*) FILTER (WHERE is_repeat_session) AS o_repeat "
+        f"FROM {orders} wo JOIN x USING (website_session_id) GROUP BY {by}",
+        "r": f"SELECT {by}, count(*) AS r_n, count(DISTINCT wr.order_id) AS r_orders, sum(refund_amount_usd) AS r_usd "
+        f"FROM wr JOIN wo ON wo.order_id = wr.order_id JOIN x ON x.website_session_id = wo.website_session_id GROUP BY {by}",
+    }
+    columns = {key: f"s.{key}" for key in keys} | {name: METRIC_SQL[name] for name in names}
+    return (
+        _with("ws wo wr pv", parts)
+        + f"SELECT {_columns(columns)} FROM s LEFT JOIN o ON {same.format('o')} LEFT JOIN r ON {same.format('r')}"
+    )
+
+
+def _spread_day(day: str) -> str:
+    """The day that lies as many times further from the first."""
+    return f"(DATE '2024-01-01' + CAST({MONTHS_SPREAD} * date_diff('day', DATE '2024-01-01', {day}) AS INTEGER))"
+
+
+SESSIONS_BY_MONTH = f"SELECT *, strftime({_spread_day('session_date')}, '%Y-%m') AS year_month FROM fs"
+LANDINGS = "SELECT website_session_id, arg_min(pageview_url, website_pageview_id) AS landing_page FROM pv p WHERE created_at = (SELECT min(created_at) FROM pv q WHERE q.website_session_id = p.website_session_id) GROUP BY 1"
+
+
+def _second_quarter() -> str:
+    """Each order in the quarter of its own day; refunds follow their order."""
+    day = _spread_day("CAST(wo.created_at AS DATE)")
+    return _with(
+        "ws wo wr",
+        {
+            "fs": NAMED_SESSIONS,
+            "o": f"SELECT wo.*, strftime({day}, '%B') AS month_name, utm_source FROM wo LEFT JOIN fs USING (website_session_id) WHERE quarter({day}) = 2",
+            "r": "SELECT order_id, sum(refund_amount_usd) AS back FROM wr GROUP BY 1",
+        },
+    ) + (
+        f"SELECT month_name, utm_source, count(*) AS total_orders, {usd('sum(price_usd)')} AS gross_revenue, "
+        f"{usd('sum(back)')} AS refund_amount, count(back) AS refunded_orders "
+        "FROM o LEFT JOIN r USING (order_id) GROUP BY 1, 2"
+    )
+
+
 CHANNEL = [
     "total_sessions",
     "total_orders",
@@ -922,6 +971,27 @@ def oracle_sql() -> dict[str, str]:
             "device_type = 'desktop' AND utm_source IN ('gsearch', 'bsearch') "
             f"AND session_date BETWEEN DATE '{least}' AND DATE '{most}'",
         ),
+        "metrics_by_month": _metrics_over(CHANNEL, ["year_month"], SESSIONS_BY_MONTH),
+        "metrics_in_second_quarter": _second_quarter(),
+        "revenue_by_order_quarter": _with("od")
+        + "SELECT CAST(year(created_at) AS INT) AS year, CAST(quarter(created_at) AS INT) AS quarter, count(*) AS total_orders, "
+        f"{usd('sum(price_usd)')} AS gross_revenue_order_date, "
+        f"{fraction_usd('sum(price_usd)', 'count(*)', True)} AS average_order_value, "
+        f"{fraction_usd('sum(price_usd - cogs_usd)', 'sum(price_usd)')} AS gross_margin_rate FROM od GROUP BY 1, 2",
+        "metrics_by_landing_page": _metrics_over(
+            CHANNEL, ["landing_page"], "SELECT fs.*, landing_page FROM fs LEFT JOIN landings USING (website_session_id)", {"landings": LANDINGS}
+        ),
+        "metrics_by_funnel_step": _metrics_over(
+            CHANNEL,
+            ["funnel_step", "device_type"],
+            "SELECT fs.*, funnel_step FROM fs LEFT JOIN reached USING (website_session_id)",
+            _funnel_flags() | {"reached": _funnel_long()},
+        ),
+        "metrics_after_signup": _metrics(
+            CHANNEL,
+            "utm_source",
+            "fs.website_session_id IN (SELECT website_session_id FROM pv WHERE pageview_url IN ('/signup', '/purchase'))",
+        ),
         # Reconciliation and documented uses
         "kpi_reconciliation": _reconciliation(),
         "header_line_reconciliation": _header_lines(),
