@@ -10,7 +10,7 @@ longer phrase is only looked for where both its parts are frequent.
 A relation is written to the shared folder as one row for each chunk of up to ``CHUNK_WORDS`` words of a language: places
 in ascending order, and the phrase at each. Pieces are whole within a chunk and apart by an unused place, so the join by
 piece and adjacent place is a merge of sorted arrays in the chunk, and nothing is shuffled but the counts of different
-groups, added up in each task first. The semi-join with the frequent groups is a Bloom filter of at most ``FILTER_MB``:
+groups, added up in each task first. The semi-join with the frequent groups is a Bloom filter of bounded size (``bloom``):
 what it lets through by mistake is counted at the next length and is not frequent there either, so a fuller filter costs
 work and never changes a result. Phrases go by 64-bit names, a hash of language and word and then of the two parts;
 frequent words are counted by their text, and frequent phrases that share a name raise an error.
@@ -36,15 +36,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickmart.llm.bloom import Filter, filter_of
 from clickmart.llm.common import discard, settle, utf8
-from clickmart.llm.substring_dedup import mix
+from clickmart.llm.substring_dedup import ODD, mix
 
 LEAST = 100
 LONGEST = 5
 CHUNK_WORDS = 4 << 20  # also what a task holds of all languages together
-FILTER_MB = 16
-PROBES = 3
-ODD = np.uint64(0x9E3779B97F4A7C15)
 MARK = b"."
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Every end of a piece as the mark, letters in lower case.
@@ -122,42 +120,6 @@ def named(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left.view(np.uint64) * ODD + right.view(np.uint64)).view(np.int64)
 
 
-class Filter:
-    """A Bloom filter of names."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words  # 64 bits each, a power of two of them
-
-    @staticmethod
-    def positions(names: np.ndarray, size: int) -> np.ndarray:
-        shift = np.uint64(64 - (size * 64).bit_length() + 1)
-        salts = (np.arange(1, 2 * PROBES, 2, dtype=np.uint64) * ODD)[:, None]
-        return mix(names.view(np.uint64) * salts) >> shift
-
-    def holds(self, names: np.ndarray) -> np.ndarray:
-        at = self.positions(names, len(self.words))
-        return ((self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
-
-
-def filter_of(frequent: DataFrame, filter_mb: int = FILTER_MB) -> Filter:
-    """A filter of the column id: 16 bits for each and no more than ``filter_mb``; its bits are put together on executors."""
-    size = 1 << min(max(frequent.count() // 4, 1).bit_length(), (filter_mb << 17).bit_length() - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(Filter.positions(batch.column(0).to_numpy(), size))
-            words, first = np.unique(at >> np.uint64(6), return_index=True)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
-            columns = [pa.array(words.astype(np.int32)), pa.array(bits.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["word", "bits"])
-
-    found = frequent.select("id").mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    found = found.toPandas()
-    words = np.zeros(size, np.uint64)
-    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return Filter(words)
-
-
 class Relation:
     """A chunk's phrases of one length: their names, the places in ascending order, and which phrase is at each."""
 

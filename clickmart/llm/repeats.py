@@ -1,13 +1,15 @@
-"""Repeated text: similar lines, passages of cut paragraphs, and every exact run of words that two documents share.
+"""Repeated text: similar lines by MinHash banding, and every exact run of words that two documents share.
 
-Three things are repeated. Whole lines whose class (``substring_dedup``: five-word shingles, Jaccard similarity, components)
-two documents hold, alone or in a sequence, from ``min_words`` on: the whole line, edited words included. Sequences of the
-paragraphs cut inside lines, likewise. And every run of ``min_words`` words or more that two documents share, wherever it
-stands and however it is broken into lines.
+Two things are repeated. Whole lines whose class (``substring_dedup``: tuned bands, exact Jaccard similarity of five-word
+shingles, components) two documents hold, alone or in a sequence, from ``min_words`` on: the whole line, edited words
+included. And every run of ``min_words`` words or more that two documents share, wherever it stands in a line and however
+it is broken into lines.
 
 Runs are found without borders. Of each window of ``min_words`` words the least hash of its ``SEED``-word grams is a seed,
 so the same window has the same seed in every document. Windows are hashed only where a seed is in two documents, and those
-that two documents hold are repeated: a run is as long as it really is. Only equal hashes are trusted (64 bits).
+that two documents hold are repeated: a run is as long as it really is. Both "in two documents" go to the tasks as Bloom
+filters of bounded size; the hashes that pass the second are joined with those that two documents really hold, so a filter
+that is too full costs work only. Only equal hashes are trusted (64 bits).
 
 Repeated text stays in the smallest doc_id that holds it and goes elsewhere. A span is as many repeated words side by side.
 
@@ -21,14 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickmart.llm import substring_dedup as sub
-from clickmart.llm.common import settle, texts_of, utf8
+from clickmart.llm.bloom import filter_of
+from clickmart.llm.common import discard, settle, texts_of
 from clickmart.llm.graph import components
 
 SEED = 8
+FILTER_MB = 64
 
 
 class Windows:
@@ -79,37 +84,42 @@ def seeds(docs: DataFrame, n: int) -> DataFrame:
     return texts_of(docs).where("doc_id is not null").mapInArrow(run, "doc_id bigint, seed bigint")
 
 
-def windows(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """doc_id, start and key of the windows whose seed is in ``wanted`` (doc_id and seeds)."""
-    own = texts_of(docs).where("doc_id is not null")
-    sought = wanted.select(F.col("doc_id").alias("_of"), "seeds")
-    joined = own.join(sought, own["doc_id"] == sought["_of"]).select("doc_id", "text", "seeds")
+def windows(docs: DataFrame, n: int, seeds: Broadcast, keys: Broadcast | None = None) -> DataFrame:
+    """doc_id, start and key of the windows whose seed, and key if given, the filters hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text, sought in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2), strict=True):
-                w = Windows([text], n)
-                chosen = np.flatnonzero(np.isin(w.seeds, sought.values.to_numpy()))
-                if len(chosen):
-                    columns = [np.full(len(chosen), doc_id, np.int64), w.start[chosen], w.keys(chosen)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "key"])
+        for ids, texts in sub.in_groups(batches):
+            w = Windows(texts, n)
+            chosen = np.flatnonzero(seeds.value.holds(w.seeds))
+            found = w.keys(chosen)
+            if keys:
+                again = keys.value.holds(found)
+                chosen, found = chosen[again], found[again]
+            for a in range(0, len(chosen), 65_536):
+                some = chosen[a : a + 65_536]
+                columns = [np.array(ids, np.int64)[w.of[some]], w.start[some], found[a : a + 65_536]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "key"])
 
-    return joined.mapInArrow(run, "doc_id bigint, start bigint, key bigint")
+    known = texts_of(docs).where("doc_id is not null")
+    return known.mapInArrow(run, "doc_id bigint, start bigint, key bigint")
 
 
 def shared(rows: DataFrame, key: str) -> DataFrame:
-    """The keys that two documents hold, and the smallest doc_id that does."""
-    ends = rows.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    return ends.where("first < last").select(key, "first")
+    """The keys that two documents hold, as id, and the smallest doc_id that does."""
+    ends = rows.groupBy(F.col(key).alias("id")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    return ends.where("first < last").select("id", "first")
 
 
 def runs(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, start, n_words and first of the windows of ``n`` words that two documents share."""
-    found = seeds(docs, n)
-    known = settle(found.join(settle(shared(found, "seed").select("seed")), "seed").distinct())
-    wanted = known.groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))  # no more than a document's words
-    held = settle(windows(docs, settle(wanted), n))
-    whole = held.join(settle(shared(held, "key")), "key")
+    context = docs.sparkSession.sparkContext
+    found = settle(shared(seeds(docs, n), "seed").select("id"))
+    by_seed = context.broadcast(filter_of(found, FILTER_MB))
+    discard(found)
+    keys = settle(shared(windows(docs, n, by_seed), "key"))
+    by_key = context.broadcast(filter_of(keys, FILTER_MB))
+    held = windows(docs, n, by_seed, by_key)
+    whole = held.join(keys, held["key"] == keys["id"])
     return whole.select("doc_id", "start", F.lit(n).cast("bigint").alias("n_words"), "first")
 
 
@@ -122,23 +132,24 @@ def repeats(
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """doc_id, all (repeated) and gone, both arrays of (start, n_words): places that touch or overlap are one."""
-    least = found.groupBy("doc_id", "start", "n_words").agg(F.min("first").alias("first"))
-    goes = (F.col("doc_id") > F.col("first")).alias("goes")
-    each = least.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words", goes)).alias("places"))
+    """doc_id, all (repeated) and gone, both arrays of (start, n_words): places that touch or overlap are one; firsts: the
+    smaller documents that hold any of it."""
+    each = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words", "first")).alias("places"))
     span = "array<struct<start:bigint,n_words:bigint>>"
     kind = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             merged = []
-            for places in batch.column(1):
-                start, size, goes = (places.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                merged.append([joined(start, size), joined(start[goes], size[goes])])
-            columns = [batch.column(0), *(pa.array([m[i] for m in merged], kind) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "all", "gone"])
+            for doc_id, places in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                start, size, first = (places.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                goes = first < doc_id
+                merged.append([joined(start, size), joined(start[goes], size[goes]), np.unique(first[goes]).tolist()])
+            kinds = (kind, kind, pa.list_(pa.int64()))
+            columns = [batch.column(0), *(pa.array([m[i] for m in merged], k) for i, k in enumerate(kinds))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "all", "gone", "firsts"])
 
-    return each.mapInArrow(run, f"doc_id bigint, all {span}, gone {span}")
+    return each.mapInArrow(run, f"doc_id bigint, all {span}, gone {span}, firsts array<bigint>")
 
 
 def joined(start: np.ndarray, size: np.ndarray) -> list[dict[str, int]]:
@@ -154,12 +165,12 @@ def joined(start: np.ndarray, size: np.ndarray) -> list[dict[str, int]]:
 
 def report(docs: DataFrame, **options: float) -> DataFrame:
     """For each row of ``docs`` its class_id, the smallest doc_id that repeated text leads to, its spans, and what goes."""
-    found = settle(repeats(docs, **options))
+    found = settle(spans(repeats(docs, **options)))
     words = F.aggregate("gone", F.lit(0).cast("bigint"), lambda total, span: total + span["n_words"])
-    counts = spans(found).select(
+    counts = found.select(
         "doc_id", F.size("all").alias("n_repeated"), F.size("gone").alias("n_removed"), words.alias("words_removed")
     )
-    edges = found.where("doc_id > first").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).distinct()
+    edges = found.select(F.col("doc_id").alias("u"), F.explode("firsts").alias("v"))
     reached = components(edges)
     whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(counts, "doc_id", "left")
     whole = whole.join(reached, whole["doc_id"] == reached["node"], "left")
@@ -169,5 +180,5 @@ def report(docs: DataFrame, **options: float) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, **options: float) -> DataFrame:
     """``docs`` without the words that go; the words of a line that stay are joined by a space where one is cut."""
-    gone = spans(settle(repeats(docs, **options))).select("doc_id", F.explode("gone").alias("g"))
+    gone = spans(repeats(docs, **options)).select("doc_id", F.explode("gone").alias("g"))
     return sub.cut_out(docs, gone.select("doc_id", "g.start", "g.n_words"))

@@ -28,10 +28,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickmart.llm.common import flat_schema, map_rows, settle, texts_of, utf8
+from clickmart.llm.common import flat_schema, fresh, map_rows, settle, texts_of, utf8
 from clickmart.llm.graph import components
 
 BITS = 64
@@ -69,14 +69,15 @@ def signed(value: int) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
-def fingerprints(docs: DataFrame, length: int = 3) -> DataFrame:
-    """doc_id and fingerprint, a bigint of the same 64 bits."""
+def fingerprints(docs: DataFrame, length: int = 3, digest: Column | None = None) -> DataFrame:
+    """doc_id and fingerprint, a bigint of the same 64 bits; and digest, a text of the row, if one is given."""
+    more = [] if digest is None else [digest.alias("digest")]
 
-    def run(ids: pa.Array, texts: pa.Array) -> Iterator[tuple]:
-        for doc_id, text in zip(ids.to_pylist(), utf8(texts), strict=True):
-            yield doc_id, signed(fingerprint(text, length))
+    def run(ids: pa.Array, texts: pa.Array, *others: pa.Array) -> Iterator[tuple]:
+        for doc_id, text, *other in zip(ids.to_pylist(), utf8(texts), *(o.to_pylist() for o in others), strict=True):
+            yield doc_id, signed(fingerprint(text, length)), *other
 
-    return map_rows(texts_of(docs), run, flat_schema("doc_id long, fingerprint long"))
+    return map_rows(texts_of(docs, *more), run, flat_schema("doc_id long, fingerprint long" + ", digest string" * len(more)))
 
 
 def group_bits(prints: DataFrame, partitions: int) -> list[list[int]]:
@@ -263,9 +264,19 @@ def near_duplicates(docs: DataFrame, length: int = 3, limit: int = 2) -> DataFra
 
 
 def keep_one(docs: DataFrame, length: int = 3, limit: int = 2) -> DataFrame:
-    """``docs`` with one document, that of the smallest doc_id, from each group; documents without doc_id stay."""
-    firsts = near_duplicates(docs, length, limit).where("doc_id = component_id")
-    kept = firsts.select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where("doc_id is not null")
-    one = known.join(kept, F.col("doc_id") == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    """``docs`` with one document from each group of texts that fingerprints link, whatever their doc_id.
+
+    The smallest doc_id stays, a missing one only if nobody in the group has any; of texts on the same doc_id the one with
+    the least MD5. So every text that goes leaves one of its group behind, also where rows repeat a doc_id.
+    """
+    key, of, same = (fresh(name, docs) for name in ("_digest", "_of", "_same"))
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    of_docs = settle(fingerprints(docs, length, digest))
+    reached = components(links(settle(of_docs.select("fingerprint").distinct()), limit))
+    grouped = of_docs.join(reached, of_docs["fingerprint"] == reached["node"], "left")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("best")
+    kept = grouped.groupBy(F.coalesce("component", "fingerprint").alias("group")).agg(best)
+    kept = settle(kept.select(F.col("best.doc_id").alias(of), F.col("best.digest").alias(same)))
+    marked = docs.withColumn(key, digest)
+    one = marked.join(kept, marked["doc_id"].cast("bigint").eqNullSafe(kept[of]) & (marked[key] == kept[same]), "left_semi")
+    return one.dropDuplicates(["doc_id", key]).drop(key)

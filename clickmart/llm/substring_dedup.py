@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickmart.llm.common import fresh, settle, text_at, texts_of, utf8
+from clickmart.llm.common import discard, fresh, settle, text_at, texts_of, utf8
 from clickmart.llm.graph import components
 
 SHINGLE = 5
@@ -69,7 +69,7 @@ def word_hashes(texts: list[bytes]) -> list[list[int]]:
 class Paragraphs:
     """The paragraphs of some texts: where they start and end among all words, and whose they are.
 
-    With ``lines`` every line stands beside its pieces, whole.
+    With ``lines`` every line is one paragraph, whole.
     """
 
     def __init__(self, texts: list[bytes], lines: bool = False):
@@ -90,15 +90,11 @@ class Paragraphs:
             at += RADIUS
         self.hashes = np.array(hashes, np.uint64)
         edges, whose = np.array(starts, np.int64), np.array(of, np.int64)
-        cuts = np.union1d(edges, self.minima())
-        owner = whose[np.searchsorted(edges, cuts, "right") - 1]
+        cuts = edges if lines else np.union1d(edges, self.minima())
+        owner = whose if lines else whose[np.searchsorted(edges, cuts, "right") - 1]
         ends = np.append(cuts[1:], at)
-        if lines:
-            cuts, ends = np.concatenate([cuts, edges]), np.concatenate([ends, edges[1:], [at]])
-            owner = np.concatenate([owner, whose])
         long = (owner >= 0) & (ends - cuts >= SHINGLE)
         self.start, self.end, self.of = cuts[long], ends[long], owner[long]
-        self.line = np.flatnonzero(long) >= len(long) - (len(edges) if lines else 0)
         self.first_word = np.array(begins, np.int64)[self.of]
 
     def minima(self) -> np.ndarray:
@@ -164,17 +160,17 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
 
 
 def paragraphs(docs: DataFrame, lines: bool = False) -> DataFrame:
-    """doc_id, line (whether it is one beside its pieces), start (in words), n_words and text (a hash) of each paragraph."""
+    """doc_id, start (in words), n_words and text (a hash) of each paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, some in in_groups(batches):
             p = Paragraphs(some, lines)
             if len(p.start):
                 of, texts = np.array(ids, np.int64)[p.of], p.texts().view(np.int64)
-                yield _batch(doc_id=of, line=p.line, start=p.start - p.first_word, n_words=p.end - p.start, text=texts)
+                yield _batch(doc_id=of, start=p.start - p.first_word, n_words=p.end - p.start, text=texts)
 
     known = texts_of(docs).where("doc_id is not null")
-    return known.mapInArrow(run, "doc_id bigint, line boolean, start bigint, n_words bigint, text bigint")
+    return known.mapInArrow(run, "doc_id bigint, start bigint, n_words bigint, text bigint")
 
 
 def banded(docs: DataFrame, bands: int, rows: int, lines: bool = False, similar: float = SIMILAR) -> DataFrame:
@@ -198,13 +194,13 @@ def banded(docs: DataFrame, bands: int, rows: int, lines: bool = False, similar:
 
 def buckets(docs: DataFrame, bands: int, rows: int, lines: bool = False, similar: float = SIMILAR) -> DataFrame:
     """band, text and least (of the bucket's texts) where a band holds more than one paragraph."""
-    spread = banded(docs, bands, rows, lines, similar).repartition("band")
-    # Equal rows are added up where they arrive, so that a bucket has a row for each different text.
-    texts = spread.groupBy("band", "text").agg(F.sum("n").alias("n"))
-    bucket = Window.partitionBy("band")
-    known = texts.withColumns({"least": F.min("text").over(bucket), "most": F.max("text").over(bucket)})
-    mixed = (F.col("least") < F.col("most")).alias("mixed")
-    return known.where("n > 1 or least < most").select("band", "text", "least", mixed)
+    # A bucket has a row for each different text; what it holds is told by an aggregate, so that a hot one can be split.
+    texts = settle(banded(docs, bands, rows, lines, similar).groupBy("band", "text").agg(F.sum("n").alias("n")))
+    known = texts.groupBy("band").agg(F.min("text").alias("least"), F.max("text").alias("most"), F.sum("n").alias("all"))
+    known = settle(known.where("all > 1").select("band", "least", (F.col("least") < F.col("most")).alias("mixed")))
+    found = settle(texts.join(known, "band").where("n > 1 or mixed").select("band", "text", "least", "mixed"))
+    discard(texts, known)
+    return found
 
 
 def shingles_of(docs: DataFrame, places: DataFrame, lines: bool = False) -> DataFrame:
@@ -264,8 +260,8 @@ def links(mixed: DataFrame, shingles: DataFrame, similar: float) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame, similar: float, recall: float, lines: bool = False) -> DataFrame:
-    """doc_id, line, start, n_words and class of the paragraphs whose class two documents hold."""
-    found = settle(buckets(docs, *tuned(similar, recall), lines, similar))
+    """doc_id, start, n_words and class of the paragraphs whose class two documents hold."""
+    found = buckets(docs, *tuned(similar, recall), lines, similar)
     repeated = found.select("text").distinct()
     held = settle(paragraphs(docs, lines).join(repeated, "text", "left_semi"))
     mixed = found.where("mixed").select("band", "text", "least").distinct()
@@ -276,17 +272,19 @@ def repeated_paragraphs(docs: DataFrame, similar: float, recall: float, lines: b
     shingles = settle(shingles_of(docs, settle(places), lines))
     reached = components(links(mixed, shingles, similar))
     classes = held.join(reached, held["text"] == reached["node"], "left")
-    classes = classes.select("doc_id", "line", "start", "n_words", F.coalesce("component", "text").alias("class"))
+    classes = classes.select("doc_id", "start", "n_words", F.coalesce("component", "text").alias("class"))
     classes = settle(classes.distinct())
     across = classes.groupBy("class").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     across = across.where("first < last")
-    return classes.join(settle(across.select("class")), "class").select("doc_id", "line", "start", "n_words", "class")
+    repeated = classes.join(settle(across.select("class")), "class").select("doc_id", "start", "n_words", "class")
+    discard(found, held, shingles)
+    return repeated
 
 
 def sequences(shared: DataFrame, min_words: int) -> DataFrame:
     """doc_id, key and members (start, n_words) of the shortest sequence of ``min_words`` from each paragraph on."""
     most = -(-min_words // SHINGLE)  # no paragraph is shorter than a shingle
-    following = Window.partitionBy("doc_id", "line").orderBy("start", "n_words", "class").rowsBetween(0, most - 1)
+    following = Window.partitionBy("doc_id").orderBy("start", "n_words", "class").rowsBetween(0, most - 1)
     ahead = shared.withColumn("ahead", F.collect_list(F.struct("start", "n_words", "class")).over(following))
 
     def longer(so_far: Column, one: Column) -> Column:

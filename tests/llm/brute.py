@@ -121,13 +121,16 @@ def plain_words(text):
     return [w.strip(edges) for w in WORD.findall(ascii_lower(text or "")) if w.strip(edges)]
 
 
-def contamination(docs, items, threshold=0.8, least=5):
+def contamination(docs, items, threshold=0.8, least=5, short=False):
+    """With ``short`` an item of fewer words than ``least`` is in every text that holds it whole."""
     runs = [(i, t, {tuple(t[k : k + least]) for k in range(len(t) - least + 1)}) for i, t in ((i, plain_words(x)) for i, x in items)]
     out = []
     for doc_id, text in docs:
         words = plain_words(text)
         own = {tuple(words[k : k + least]) for k in range(len(words) - least + 1)}
         for item_id, item, seeds in runs:
+            if short and 0 < len(item) < least and any(words[k : k + len(item)] == item for k in range(len(words))):
+                out.append((doc_id, item_id, 1.0))
             if own & seeds and (coverage := tile_coverage(item, words, least)) >= threshold:
                 out.append((doc_id, item_id, coverage))
     return out

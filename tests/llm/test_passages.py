@@ -21,14 +21,19 @@ def sets_of(docs):
     return out
 
 
-def brute_report(docs, min_words=sub.MIN_WORDS):
-    """Classes by comparing all paragraphs, then sequences that two documents hold, then removals."""
-    held = sets_of(docs)
+def brute_passages(held, min_words=sub.MIN_WORDS):
+    """Classes by comparing all paragraphs that share a shingle, then sequences that two documents hold.
+
+    For each document its repeated places with the smallest doc_id that has them, and the links.
+    """
     texts = {s: i for i, s in enumerate(sorted({h[3] for h in held}, key=sorted))}
-    by_size = list(texts)
-    edges = [
-        (texts[a], texts[b]) for i, a in enumerate(by_size) for b in by_size[:i] if a & b and len(a & b) >= 0.8 * len(a | b) - 1e-9
-    ]
+    having = {}
+    for s, i in texts.items():
+        for shingle in s:
+            having.setdefault(shingle, []).append(i)
+    sets = list(texts)
+    pairs = {(a, b) for some in having.values() for k, a in enumerate(some) for b in some[:k]}
+    edges = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
     root = brute.smallest_reachable(range(len(texts)), edges)
     docs_of = {}
     for doc_id, _, _, s in held:
@@ -47,14 +52,22 @@ def brute_report(docs, min_words=sub.MIN_WORDS):
                 key = tuple(c for _, _, c in members)
                 held_by.setdefault(key, set()).add(doc_id)
                 sequences.setdefault(doc_id, []).append((key, members))
-    out, links = {}, []
+    places, links = {}, []
     for doc_id, found in sequences.items():
-        least = {}
         for key, members in found:
             if len(held_by[key]) > 1:
                 links.append((doc_id, min(held_by[key])))
                 for a, n, _ in members:
+                    least = places.setdefault(doc_id, {})
                     least[a, n] = min(held_by[key] | {least.get((a, n), doc_id)})
+    return places, links
+
+
+def brute_report(docs, min_words=sub.MIN_WORDS):
+    """As ``sub.report``: the places of paragraphs cut in lines."""
+    places, links = brute_passages(sets_of(docs), min_words)
+    out = {}
+    for doc_id, least in places.items():
         gone = [n for (_, n), first in least.items() if first < doc_id]
         out[doc_id] = (len(least), len(gone), sum(gone))
     classes = brute.smallest_reachable({d for d, _ in docs if d is not None}, links)

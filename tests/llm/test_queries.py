@@ -22,7 +22,7 @@ def run(spark, name):
 
 def test_names():
     numbers = sorted(int(name[2:].split("_")[0]) for name in FOUND if name.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in FOUND
+    assert numbers == list(range(1, 14)) and "pipeline" in FOUND
     assert set(queries.oracle_sql()) <= set(FOUND)
 
 
@@ -78,11 +78,11 @@ def test_op8(spark, given):
 
 
 def test_op9(spark, given):
-    """Bands miss a similar pair now and then, never equal paragraphs."""
-    from tests.llm.test_passages import brute_report
+    """Bands miss a similar line now and then, never equal ones and never a run."""
+    from tests.llm.test_repeats import COLUMNS, brute_repeats
 
-    found = {r[0]: r for r in rows_of(run(spark, "op9_substring_dedup"), "doc_id", "class_id", "n_repeated", "n_removed", "words_removed")}
-    wanted = {r[0]: r for r in brute_report(given)}
+    found = {r[0]: r for r in rows_of(run(spark, "op9_substring_dedup"), *COLUMNS)}
+    wanted = {r[0]: r for r in brute_repeats(given)}
     assert found.keys() == wanted.keys()
     assert sum(found[i] == wanted[i] for i in wanted) >= 0.98 * len(wanted)
 

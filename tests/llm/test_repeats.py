@@ -3,7 +3,11 @@
 import numpy as np
 
 from clickmart.llm import queries, repeats
-from tests.llm.test_passages import random_words
+from tests.llm import brute
+from tests.llm.conftest import ODD, rows_of
+from tests.llm.test_passages import brute_passages, planted, random_words
+
+COLUMNS = ["doc_id", "class_id", "n_repeated", "n_removed", "words_removed"]
 
 
 def places():
@@ -44,6 +48,85 @@ def brute_words(docs, n):
     return gone
 
 
+def lines_of(docs):
+    """doc_id, start and number of words, and shingles of every line of five words or more."""
+    out = []
+    for doc_id, text in docs:
+        at = 0
+        for line in brute.ascii_lower(text or "").split("\n"):
+            words = brute.WORD.findall(line)
+            if doc_id is not None and len(words) >= 5:
+                out.append((doc_id, at, len(words), frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4))))
+            at += len(words)
+    return out
+
+
+def runs_of(marked):
+    """How many runs of following numbers there are."""
+    return sum(k - 1 not in marked for k in marked)
+
+
+def brute_repeats(docs, n=16):
+    """All lines compared with all, all windows of n words, and what they mark, without any of the operator's borders."""
+    places, links = brute_passages(lines_of(docs), n)
+    every, gone = {}, {}
+    for doc_id, least in places.items():
+        for (a, size), first in least.items():
+            every.setdefault(doc_id, set()).update(range(a, a + size))
+            if first < doc_id:
+                gone.setdefault(doc_id, set()).update(range(a, a + size))
+    holders, windows = {}, []
+    for doc_id, text in docs:
+        words = brute.WORD.findall(brute.ascii_lower(text or "")) if doc_id is not None else []
+        for k in range(len(words) - n + 1):
+            windows.append((doc_id, k, tuple(words[k : k + n])))
+            holders.setdefault(windows[-1][2], set()).add(doc_id)
+    for doc_id, k, window in windows:
+        if len(holders[window]) > 1:
+            every.setdefault(doc_id, set()).update(range(k, k + n))
+            if min(holders[window]) < doc_id:
+                gone.setdefault(doc_id, set()).update(range(k, k + n))
+                links.append((doc_id, min(holders[window])))
+    classes = brute.smallest_reachable({d for d, _ in docs if d is not None}, links)
+    mine = lambda d: (runs_of(every.get(d, ())), runs_of(gone.get(d, ())), len(gone.get(d, ())))
+    return sorted(((d, classes.get(d), *mine(d)) for d, _ in docs), key=repr)
+
+
+def test_report_of_everything(as_documents, given):
+    """With many bands no similar line is missed, so that brute force must agree."""
+    odd = [r for r in ODD if r[0] not in (9, 10)]
+    for rows in (odd, planted(), edited(), given):
+        assert rows_of(repeats.report(as_documents(rows), recall=1 - 1e-9), *COLUMNS) == brute_repeats(rows)
+
+
+def test_a_full_filter_changes_nothing(as_documents, monkeypatch):
+    rows = planted() + edited()
+    wanted = brute_repeats(rows)
+    small = repeats.filter_of
+    monkeypatch.setattr(repeats, "filter_of", lambda found, mb: type(small(found, mb))(np.full(2, 2**64 - 1, np.uint64)))
+    assert rows_of(repeats.report(as_documents(rows), recall=1 - 1e-9), *COLUMNS) == wanted
+
+
+def test_odd_texts_and_nothing(as_documents):
+    """NULL and empty texts, repeated and NULL ids, further columns, no rows."""
+    docs = as_documents(ODD)
+    assert repeats.report(docs).count() == len(ODD)
+    kept = repeats.drop_repeats(docs)
+    assert kept.columns == docs.columns and kept.count() == len(ODD)
+    assert kept.where("doc_id is null").count() == 2 and kept.where("text is null").count() == 2
+    assert repeats.report(docs.where("false")).count() == 0 and repeats.drop_repeats(docs.where("false")).count() == 0
+
+
+def test_recall_of_similar_lines(spark):
+    """Lines of 16 words or more that are similar to a line of an earlier document go whole."""
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    held = [h for h in lines_of(docs) if h[2] >= 16]
+    places, _ = brute_passages(held)
+    wanted = {(d, k) for d, least in places.items() for (a, n), first in least.items() if first < d for k in range(a, a + n)}
+    found = removed(repeats.repeats(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    assert len(wanted) > 1000 and len(wanted & found) >= 0.98 * len(wanted)
+
+
 def removed(df):
     rows = repeats.spans(df).collect()
     return {(r["doc_id"], k) for r in rows for s in r["gone"] for k in range(s["start"], s["start"] + s["n_words"])}
