@@ -49,7 +49,7 @@ def filter_of(frequent: DataFrame, filter_mb: int = FILTER_MB) -> Filter:
             yield pa.RecordBatch.from_arrays(columns, names=["word", "bits"])
 
     found = frequent.select("id").mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    found = found.toPandas()
+    found = found.toArrow()
     words = np.zeros(size, np.uint64)
-    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return Filter(words)

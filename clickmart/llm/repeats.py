@@ -33,7 +33,7 @@ from clickmart.llm.common import discard, settle, texts_of
 from clickmart.llm.graph import components
 
 SEED = 8
-FILTER_MB = 64
+FILTER_MB = 32
 
 
 class Windows:
@@ -117,7 +117,7 @@ def runs(docs: DataFrame, n: int) -> DataFrame:
     by_seed = context.broadcast(filter_of(found, FILTER_MB))
     discard(found)
     keys = settle(shared(windows(docs, n, by_seed), "key"))
-    by_key = context.broadcast(filter_of(keys, FILTER_MB))
+    by_key = context.broadcast(filter_of(keys, FILTER_MB))  # both are read as long as the result is
     held = windows(docs, n, by_seed, by_key)
     whole = held.join(keys, held["key"] == keys["id"])
     return whole.select("doc_id", "start", F.lit(n).cast("bigint").alias("n_words"), "first")
