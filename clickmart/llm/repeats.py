@@ -50,18 +50,23 @@ class Windows:
         self.at = self.start + np.repeat(begins, count)
         width = min(SEED, n)
         if not len(self.of):
-            self.seed_at = self.seeds = np.zeros(0, np.int64)
+            self.seeds = np.zeros(0, np.int64)
         else:
-            grams = grams_of(hashes, width)
-            near = np.lib.stride_tricks.sliding_window_view(grams, n - width + 1)
-            self.seed_at = self.at + near.argmin(axis=1)[self.at]
-            self.seeds = grams[self.seed_at].view(np.int64)
+            self.seeds = least_of(grams_of(hashes, width), n - width + 1)[self.at].view(np.int64)
         self.words, self.n = hashes, n
 
     def keys(self, chosen: np.ndarray) -> np.ndarray:
         return grams_of(self.words, self.n)[self.at[chosen]].view(np.int64)
 
 
+def least_of(values: np.ndarray, n: int) -> np.ndarray:
+    """The least of the ``n`` values from each place on, by spans that double."""
+    span = 1
+    while 2 * span <= n:
+        values, span = np.minimum(values[:-span], values[span:]), 2 * span
+    return np.minimum(values[: len(values) - (n - span)], values[n - span :])
+
+
 def grams_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """The hash of the ``n`` words from each place on."""
     size = max(len(hashes) - n + 1, 0)
@@ -77,7 +82,8 @@ def seeds(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in sub.in_groups(batches):
             w = Windows(texts, n)
-            _, first = np.unique(w.of * np.int64(len(w.words) + 1) + w.seed_at, return_index=True)
+            change = (w.seeds[1:] != w.seeds[:-1]) | (w.of[1:] != w.of[:-1])
+            first = np.flatnonzero(np.append(np.ones(min(1, len(w.of)), bool), change))
             of = np.array(ids, np.int64)[w.of[first]]
             yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(w.seeds[first])], names=["doc_id", "seed"])
 

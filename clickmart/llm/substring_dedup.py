@@ -6,10 +6,11 @@ stands. Paragraphs are compared as sets of five-word shingles.
 
 Bands are tuned: among the numbers of rows a band may have, each with the fewest bands that reach the recall, the one
 with the least work is taken. Paragraphs that meet in a band are candidates. Equal ones are one text from there on; of
-the others, all are checked against the least of their bucket, and only those that fail are checked against the rest of
-the bucket, where a prefix of their rarest shingles says they may pass (two sets of the wanted similarity always share a
-shingle of such prefixes). So no candidate is lost and nothing is paired up where a bucket is a group of copies. Links
-have exact Jaccard similarity. Their components are classes of paragraphs.
+the others, all are checked against the least of their bucket. Where a bucket is not of one component then, its texts meet
+by prefixes of their rarest shingles (two sets of the wanted similarity always share a shingle of such prefixes): first all
+against the least with the shingle, then, component against component, each against the rest. So no candidate that could
+join two components is lost and nothing is paired up where a bucket is a group of copies. Links have exact Jaccard
+similarity. Their components are classes of paragraphs.
 
 Paragraphs of a class that two documents hold are repeated. A passage is a sequence of them, with small gaps, of
 ``min_words`` or a few more; it counts if two documents hold the same sequence of classes. So a short line that many
@@ -61,9 +62,23 @@ def tuned(similar: float = SIMILAR, recall: float = 0.98, false_cost: float = 20
     return min(found)[1:]
 
 
+class Hashes(dict):
+    """Hashes of words; forgets all when it has grown."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+#: Of the words that a Python worker has seen lately.
+WORD_HASHES = Hashes()
+
+
 def word_hashes(texts: list[bytes]) -> list[list[int]]:
     """The hashes of the lower-cased words of each text."""
-    return [list(map(xxhash.xxh64_intdigest, text.lower().split())) for text in texts]
+    return [list(map(WORD_HASHES.__getitem__, text.lower().split())) for text in texts]
 
 
 class Paragraphs:
@@ -73,7 +88,7 @@ class Paragraphs:
     """
 
     def __init__(self, texts: list[bytes], lines: bool = False):
-        digest, hashes, starts, of = xxhash.xxh64_intdigest, [], [], []
+        digest, hashes, starts, of = WORD_HASHES.__getitem__, [], [], []
         begins, at = [], 0
         pad = [int(LAST)] * RADIUS
         for i, text in enumerate(texts):
@@ -238,9 +253,12 @@ def links(mixed: DataFrame, shingles: DataFrame, similar: float) -> DataFrame:
     """Similar pairs of texts that connect, in every bucket of ``mixed``, all that are similar there."""
     to_least = mixed.where("text > least").select(F.col("text").alias("u"), F.col("least").alias("v"))
     led = settle(similar_pairs(to_least, shingles, similar))
-    failed = mixed.where("text > least").join(led, (F.col("text") == led["u"]) & (F.col("least") == led["v"]), "left_anti")
-    failed = settle(failed.select("band", "text"))
-    met = mixed.join(failed.select("band").distinct(), "band", "left_semi").select("band", "text")
+    reached = components(led)
+    members = mixed.select("band", "text").join(reached, F.col("text") == reached["node"], "left")
+    members = settle(members.select("band", "text", F.coalesce("component", "text").alias("component")))
+    # Where a bucket is of one component already, nothing is left to be found in it.
+    several = members.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+    met = settle(members.join(settle(several.select("band")), "band", "left_semi"))
     sets = settle(shingles.join(met.select("text").distinct(), "text", "left_semi"))
     counts = sets.select("text", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     held = counts.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
@@ -252,9 +270,19 @@ def links(mixed: DataFrame, shingles: DataFrame, similar: float) -> DataFrame:
     prefix = ordered.withColumn("reach", reach).where("reach > 0")
     prefix = settle(prefix.select("text", F.explode(F.slice("sorted", F.lit(1), F.col("reach"))).alias("s")))
     prefix = prefix.select("text", F.col("s.shingle").alias("shingle"))
-    left = failed.join(prefix, "text").withColumnRenamed("text", "u")
-    right = met.join(prefix, "text")
-    others = left.join(right.withColumnRenamed("text", "v"), ["band", "shingle"]).where("u <> v")
+    # Within a shingle of a bucket first all against the least; what is of one component then is not compared again.
+    probes = settle(met.join(prefix, "text"))
+    leading = probes.groupBy("band", "shingle").agg(F.min("text").alias("v"), F.min("component").alias("a"), F.max("component").alias("b"))
+    leading = leading.where("a < b").select("band", "shingle", "v")
+    to_leading = probes.join(leading, ["band", "shingle"]).where("text > v").select(F.col("text").alias("u"), "v")
+    led = settle(led.union(similar_pairs(to_leading, shingles, similar)))
+    reached = components(led)
+    probes = probes.drop("component").join(reached, F.col("text") == reached["node"], "left")
+    probes = settle(probes.select("band", "shingle", "text", F.coalesce("component", "text").alias("component")))
+    several = probes.groupBy("band", "shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+    probes = settle(probes.join(settle(several.select("band", "shingle")), ["band", "shingle"], "left_semi"))
+    right = probes.select("band", "shingle", F.col("text").alias("v"), F.col("component").alias("other"))
+    others = probes.withColumnRenamed("text", "u").join(right, ["band", "shingle"]).where("component < other")
     others = others.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     return led.union(similar_pairs(others, shingles, similar))
 
