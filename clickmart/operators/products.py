@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickmart.functions.periods import period
-from clickmart.functions.ranking import rank_over_all
-from clickmart.functions.ratios import count_or_zero, money, money_or_zero, pct, per
+from clickmart.functions.ranking import ranks_over_all
+from clickmart.functions.ratios import count_or_zero, money, money_or_zero, pct, per, share_of
 from clickmart.functions.totals import as_row
 
 
@@ -81,13 +81,17 @@ def product_refund_risk(
 ) -> DataFrame:
     """Products with their ranks by net revenue and refund rate and a status.
 
-    The site's refund rate, which also counts lines of unknown products, both ranks and the maximum are read from the
-    totals per product, whose shuffle they share.
+    The site's refund rate, which also counts lines of unknown products, and the highest net revenue are one aggregate
+    of the totals per product; both ranks are found in one pass over them.
     """
     known = products.select("product_id", "product_name", F.lit(True).alias("is_known"))
     totals = product_totals(items, refunds).join(known, "product_id", "left")
-    overall = as_row(
-        totals.agg(pct(F.sum(count_or_zero("refund_rows")), F.sum("items_sold")).alias("refund_rate"))
+    net = F.when(F.col("is_known"), *_ratings("net_revenue"))
+    site = as_row(
+        totals.agg(
+            pct(F.sum(count_or_zero("refund_rows")), F.sum("items_sold")).alias("refund_rate"),
+            F.max(net).alias("best_net_revenue"),
+        )
     )
     rated = totals.where("is_known").select(
         "product_id",
@@ -103,10 +107,8 @@ def product_refund_risk(
             "net_revenue",
         ),
     )
-    best = as_row(rated.agg(F.max("net_revenue").alias("net_revenue")))
-    ranked = rank_over_all(rated, "net_revenue", "net_revenue_rank")
-    ranked = rank_over_all(ranked, "item_refund_rate_pct", "refund_rate_rank", among=rated)
-    ranked = ranked.withColumn("overall_item_refund_rate_pct", overall["refund_rate"])
+    ranked = ranks_over_all(rated, {"net_revenue": "net_revenue_rank", "item_refund_rate_pct": "refund_rate_rank"})
+    ranked = ranked.withColumn("overall_item_refund_rate_pct", site["refund_rate"])
     # Status labels; the first rule that holds decides.
     status = (
         F.when(
@@ -114,7 +116,7 @@ def product_refund_risk(
             & (F.col("refunded_items") >= min_refunds),
             "refund_risk",
         )
-        .when(F.col("net_revenue") == best["net_revenue"], "top_net_revenue_product")
+        .when(F.col("net_revenue") == site["best_net_revenue"], "top_net_revenue_product")
         .when(F.col("gross_margin_rate_pct") >= min_margin_pct, "strong_margin_product")
         .otherwise("standard_product")
     )
@@ -239,6 +241,31 @@ def time_to_refund(refunds: DataFrame, started: DataFrame, key: str) -> DataFram
     )
 
 
+def time_to_refund_quantiles(
+    refunds: DataFrame, items: DataFrame, shares: tuple[float, ...] = (0.5, 0.9), label: str = "product_id"
+) -> DataFrame:
+    """Days from the line to its refund, at the given shares of each product's refunds: exact discrete quantiles.
+
+    The quantile at share p is the least number of days that p of the refunds do not pass. Refunds are folded to a
+    histogram by product and day first, so the running sums see days, not refunds. Refunds of unknown lines and of lines
+    without a date or product are left out.
+    """
+    per_line = refunds.groupBy("order_item_id", F.to_date("created_at").alias("refund_date")).agg(F.count("*").alias("refunds"))
+    lines = items.where(F.col(label).isNotNull()).select("order_item_id", label, F.to_date("created_at").alias("item_date"))
+    days = F.date_diff("refund_date", "item_date").alias("days")
+    histogram = per_line.join(lines, "order_item_id").groupBy(label, days).agg(F.sum("refunds").alias("refunds"))
+    histogram = histogram.where("days IS NOT NULL")
+    to_day = Window.partitionBy(label).orderBy("days").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = histogram.withColumns(
+        {"up_to": F.sum("refunds").over(to_day), "of_all": F.sum("refunds").over(Window.partitionBy(label))}
+    )
+    reached = [
+        F.min(F.when(F.col("up_to") >= F.ceil(share_of(F.col("of_all"), share)), F.col("days"))).alias(f"days_p{share * 100:g}")
+        for share in shares
+    ]
+    return summed.groupBy(label).agg(F.sum("refunds").alias("refunds"), *reached).orderBy(label)
+
+
 def attach_rate(items: DataFrame) -> DataFrame:
     """How often orders with a primary product also hold an add-on product.
 

@@ -565,6 +565,11 @@ def time_to_refund(t):
     return products.time_to_refund(t.refunds(), t.orders(), "order_id")
 
 
+@job
+def time_to_refund_quantiles(t):
+    return products.time_to_refund_quantiles(t.refunds(), t.dated_lines())
+
+
 @job
 def attach_rate(t):
     return products.attach_rate(t.flagged_lines())

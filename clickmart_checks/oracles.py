@@ -402,6 +402,10 @@ GOOD_CONVERSION = "conversion_rate_pct >= overall_conversion_rate_pct"
 GOOD_REVENUE = "revenue_per_session >= overall_revenue_per_session"
 
 # Items with their refunds, per product.
+LINE_DAYS = """
+    SELECT ln.product_id, CAST(date_diff('day', CAST(od.created_at AS DATE), CAST(rf.created_at AS DATE)) AS INT) AS days
+    FROM rf JOIN ln ON ln.order_item_id = rf.order_item_id JOIN od ON od.order_id = ln.order_id"""
+
 PRODUCT_SUMS = """
     SELECT it.product_id, count(it.order_item_id) AS sold, sum(it.price_usd) AS gross, sum(it.cogs_usd) AS cogs,
            count(rf.order_item_refund_id) AS returned, COALESCE(sum(rf.refund_amount_usd), 0) AS refunded
@@ -1008,6 +1012,9 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT CAST(date_diff('day', CAST(od.created_at AS DATE), CAST(rf.created_at AS DATE)) AS INT) "
         f"AS days_to_refund, count(*) AS refunds, {usd('sum(refund_amount_usd)')} AS refund_amount "
         "FROM rf JOIN od ON od.order_id = rf.order_id GROUP BY 1",
+        "time_to_refund_quantiles": _with("ln od rf", {"told": LINE_DAYS})
+        + "SELECT product_id, count(*) AS refunds, quantile_disc(days, 0.5) AS days_p50, "
+        "quantile_disc(days, 0.9) AS days_p90 FROM told GROUP BY 1",
         "attach_rate": _attach_rate(),
         "user_cohorts": _with("ws", {"u": users})
         + "SELECT first_week, week, count(DISTINCT user_id) AS users FROM u GROUP BY 1, 2",

@@ -4,7 +4,7 @@ from decimal import Decimal
 
 import pytest
 
-from clickmart.functions.ranking import rank_over_all
+from clickmart.functions.ranking import rank_over_all, ranks_over_all
 from clickmart.operators import products as jobs
 from tests.conftest import at, by, rows, usd
 
@@ -120,6 +120,23 @@ def test_rank_over_all_equals_rank(spark, kind):
         assert row.r == 1 + sum(order(v) < order(row.v) for v in values)
 
 
+def test_several_ranks_in_one_pass(spark):
+    """As the single ranks; equal rows, a row that is NULL in all columns and a hot tie stay as they are."""
+    rng = random.Random(3)
+    values = [(i % 3, Decimal(0) if rng.random() < 0.4 else Decimal(rng.randrange(-900, 900)) / 100, rng.randrange(5)) for i in range(300)]
+    values += [(1, None, None), (1, Decimal("1.00"), None), (None, None, 3), (None, None, None), (None, None, None)] + values[:5]
+    df = spark.createDataFrame(values, "k int, a decimal(18,2), b bigint")
+    found = ranks_over_all(df, {"a": "a_rank", "b": "b_rank"})
+    assert found.columns == ["k", "a", "b", "a_rank", "b_rank"]
+    order = lambda v: (0, 0) if v is None else (1, -v)
+    wanted = [
+        (k, a, b, 1 + sum(order(v[1]) < order(a) for v in values), 1 + sum(order(v[2]) < order(b) for v in values))
+        for k, a, b in values
+    ]
+    assert sorted(rows(found), key=repr) == sorted(wanted, key=repr)
+    assert ranks_over_all(df.where("false"), {"a": "a_rank", "b": "b_rank"}).collect() == []
+
+
 def test_product_refund_risk_starts_no_job(spark, shop, tmp_path):
     spark.sparkContext.setJobGroup("lazy", "")
     jobs.product_refund_risk(*shop)
@@ -179,6 +196,22 @@ def test_time_to_refund(shop, make):
     assert rows(jobs.time_to_refund(refunds, orders, "order_id"))[0] == (-1, 1, usd("50.00"))
 
 
+def test_time_to_refund_quantiles(make):
+    """Least days that half, or nine tenths, of the refunds don't pass; repeated refunds of a line all count."""
+    items = make(
+        "order_items", "order_item_id product_id created_at", *[(i, 1 + i // 8, at("2012-01-01")) for i in range(16)], (20, 5, None), (21, None, at("2012-01-01"))
+    )
+    days = [(0, 3), (1, 1), (2, 1), (3, 9), (8, 4), (8, 4), (9, -2), (20, 1), (21, 1), (99, 1)]
+    refunds = make(
+        "order_item_refunds",
+        "order_item_refund_id order_item_id created_at",
+        *[(n, line, at("2012-01-01") + dt.timedelta(days=d)) for n, (line, d) in enumerate(days)],
+    )
+    found = jobs.time_to_refund_quantiles(refunds, items, (0.25, 0.5, 0.9, 1))
+    assert found.columns == ["product_id", "refunds", "days_p25", "days_p50", "days_p90", "days_p100"]
+    assert rows(found) == [(1, 4, 1, 1, 9, 9), (2, 3, -2, 4, 4, 4)]
+
+
 def test_attach_rate(shop):
     assert rows(jobs.attach_rate(shop[0])) == [
         (1, 2, 2, 1, 1, usd("50.00")),
