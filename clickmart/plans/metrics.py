@@ -197,21 +197,21 @@ def _dated(fact: DataFrame) -> bool:
     return any(column in fact.columns for column in DATE_ROLES.values())
 
 
-def _calendar_parts(model: Mapping[str, DataFrame]) -> list[str]:
+def calendar_columns(model: Mapping[str, DataFrame]) -> list[str]:
     return [column for column in model["dates"].columns if column != "date"] if "dates" in model else []
 
 
-def _bridge_of(model: Mapping[str, DataFrame], name: str) -> str | None:
+def bridge_of(model: Mapping[str, DataFrame], name: str) -> str | None:
     """The bridge that has the attribute."""
     return next((b for b, key in BRIDGES.items() if b in model and name != key and name in model[b].columns), None)
 
 
-def _route(model: Mapping[str, DataFrame], table: str, column: str) -> str | None:
+def route(model: Mapping[str, DataFrame], table: str, column: str) -> str | None:
     """'' if the column is on the table, the parent to go to if an ancestor has it, None if out of reach."""
     if column in model[table].columns:
         return ""
     for parent in PARENTS[table]:
-        if parent in model and _route(model, parent, column) is not None:
+        if parent in model and route(model, parent, column) is not None:
             return parent
     return None
 
@@ -219,27 +219,27 @@ def _route(model: Mapping[str, DataFrame], table: str, column: str) -> str | Non
 def _with_ancestors(model: Mapping[str, DataFrame], table: str, rows: DataFrame, columns: set[str]) -> DataFrame:
     """Add ancestor attributes to rows that carry the foreign keys they need."""
     for parent, fk in PARENTS[table].items():
-        there = {c for c in columns if _route(model, table, c) == parent}
+        there = {c for c in columns if route(model, table, c) == parent}
         if there:
             rows = rows.join(_lookup(model, parent, fk, there), fk, "left")
     return rows
 
 
 def _foreign_keys(model: Mapping[str, DataFrame], table: str, columns: set[str]) -> list[str]:
-    routes = {_route(model, table, c) for c in columns}
+    routes = {route(model, table, c) for c in columns}
     return [fk for parent, fk in PARENTS[table].items() if parent in routes]
 
 
 def _lookup(model: Mapping[str, DataFrame], table: str, key: str, columns: set[str]) -> DataFrame:
     """Key and attributes of a table, its own and its ancestors'."""
-    own = {c for c in columns if _route(model, table, c) == ""}
+    own = {c for c in columns if route(model, table, c) == ""}
     fks = _foreign_keys(model, table, columns - own)
     keep = dict.fromkeys([key, *sorted(own), *fks])
     rows = _with_ancestors(model, table, model[table].select(*keep), columns - own)
     return rows.select(key, *sorted(columns - {key}))
 
 
-def _matches(column: str, wanted: Any) -> Column:
+def matches(column: str, wanted: Any) -> Column:
     """None, alone or in a collection, chooses the rows without a value."""
     if callable(wanted):
         return wanted(F.col(column))
@@ -266,15 +266,15 @@ def _across(rows: DataFrame, bridge: DataFrame, key: str, names: list[str], filt
     """``rows`` with the bridge's attributes, once for each of its rows; without ``names`` only chosen by the filters."""
     if names:
         several = rows.join(bridge.select(key, *dict.fromkeys([*names, *filters])), key, "left")
-        return reduce(DataFrame.where, [_matches(name, wanted) for name, wanted in filters.items()], several)
-    chosen = reduce(DataFrame.where, [_matches(name, wanted) for name, wanted in filters.items()], bridge)
+        return reduce(DataFrame.where, [matches(name, wanted) for name, wanted in filters.items()], several)
+    chosen = reduce(DataFrame.where, [matches(name, wanted) for name, wanted in filters.items()], bridge)
     reached = rows.join(chosen.select(key), key, "left_semi")
     if all(_takes_missing(wanted) for wanted in filters.values()):
         return reached.unionByName(rows.join(bridge.select(key), key, "left_anti"))
     return reached
 
 
-def _fact_totals(
+def fact_totals(
     model: Mapping[str, DataFrame],
     names: list[str],
     by: tuple[str, ...],
@@ -283,18 +283,18 @@ def _fact_totals(
 ) -> DataFrame:
     """Totals of base metrics that share a fact and a date role."""
     fact, day = BASE[names[0]].fact, DATE_ROLES[role]
-    parts = _calendar_parts(model)
-    bridges = {name: _bridge_of(model, name) for name in (*by, *filters)}
+    parts = calendar_columns(model)
+    bridges = {name: bridge_of(model, name) for name in (*by, *filters)}
 
     def column_of(name: str) -> str:
         """The column of the facts and their parents by which the attribute is reached."""
         return day if name == "date" or name in parts else BRIDGES[bridges[name]] if bridges.get(name) else name
 
-    missing = [name for name in by if _route(model, fact, column_of(name)) is None]
+    missing = [name for name in by if route(model, fact, column_of(name)) is None]
     if missing:
         raise ValueError(f"{names} cannot be grouped by {missing}: {fact} has no relation to them")
     # Filters act along the relations only: one on another table leaves this fact as it is.
-    filters = {name: wanted for name, wanted in filters.items() if _route(model, fact, column_of(name)) is not None}
+    filters = {name: wanted for name, wanted in filters.items() if route(model, fact, column_of(name)) is not None}
     plain = {column_of(name): wanted for name, wanted in filters.items() if name not in parts and not bridges[name]}
 
     base = {name: BASE[name] for name in names}
@@ -302,12 +302,12 @@ def _fact_totals(
     distinct = sorted({b.distinct for b in base.values() if b.distinct})
     grouped = {column_of(name) for name in (*by, *filters) if name in by or name in parts or bridges[name]}
     needed = {*grouped, *plain, *flags}
-    own = {c for c in needed if _route(model, fact, c) == ""}
+    own = {c for c in needed if route(model, fact, c) == ""}
     fks = _foreign_keys(model, fact, needed - own)
 
     rows = model[fact]
     for column in sorted(own & set(plain)):
-        rows = rows.where(_matches(column, plain[column]))
+        rows = rows.where(matches(column, plain[column]))
     keys = list(dict.fromkeys([*sorted(own), *fks, *distinct]))
     sums = {name: b.value() for name, b in base.items() if b.value}
     rows = rows.select(*keys, *[value.alias(f"_{name}") for name, value in sums.items()])
@@ -315,7 +315,7 @@ def _fact_totals(
         # One row per foreign key before the join: a session with very many orders is one row, not a hot key.
         rows = _with_ancestors(model, fact, _folded(rows, keys, sums), needed - own)
         for column in sorted(set(plain) - own):
-            rows = rows.where(_matches(column, plain[column]))
+            rows = rows.where(matches(column, plain[column]))
 
     kept = [*sorted(grouped), *sorted(flags), *distinct]
     for bridge in sorted({b for b in bridges.values() if b}):
@@ -333,7 +333,7 @@ def _fact_totals(
         rows = rows.join(calendar, F.col(day) == F.col("_day"), "left")
         for name in asked:
             if name in filters:
-                rows = rows.where(_matches(name, filters[name]))
+                rows = rows.where(matches(name, filters[name]))
 
     totals = []
     for name, b in base.items():
@@ -346,13 +346,13 @@ def _fact_totals(
     return rows.groupBy(*[F.col(column).alias(name) for name, column in dims.items()]).agg(*totals)
 
 
-def _base_names(metrics: Iterable[str]) -> list[str]:
+def base_names(metrics: Iterable[str]) -> list[str]:
     names: dict[str, None] = {}
     for metric in metrics:
         if metric in BASE:
             names[metric] = None
         elif metric in DERIVED:
-            names |= dict.fromkeys(_base_names(DERIVED[metric][1:]))
+            names |= dict.fromkeys(base_names(DERIVED[metric][1:]))
         else:
             raise ValueError(f"unknown metric {metric!r}")
     return list(names)
@@ -383,7 +383,7 @@ def _with_selection_total(model: Mapping[str, DataFrame], totals: DataFrame, by:
     return totals.join(other, same, "left").drop(*[f"_{name}" for name in rest])
 
 
-def _check_filters(model: Mapping[str, DataFrame], filters: Mapping[str, Any], role: str) -> None:
+def check_filters(model: Mapping[str, DataFrame], filters: Mapping[str, Any], role: str) -> None:
     known = {column for table in model.values() for column in table.columns}
     unknown = [name for name in filters if (DATE_ROLES[role] if name == "date" else name) not in known]
     if unknown:
@@ -406,14 +406,29 @@ def compute(
     and leaves the others as they are; a name that no table has is an error.
     """
     metrics, by, filters = tuple(metrics), tuple(by), dict(filters or {})
-    _check_filters(model, filters, date_role)
-    by_date = not {"date", *_calendar_parts(model)}.isdisjoint({*by, *filters})
+    check_filters(model, filters, date_role)
+    groups = fact_groups(base_names(metrics), uses_dates(model, by, filters), date_role)
+    parts = [fact_totals(model, names, by, filters, role) for (_, role), names in groups.items()]
+    return from_totals(model, merge_totals(parts, by), metrics, by)
+
+
+def uses_dates(model: Mapping[str, DataFrame], by: Iterable[str], filters: Iterable[str]) -> bool:
+    return not {"date", *calendar_columns(model)}.isdisjoint({*by, *filters})
+
+
+def fact_groups(names: Iterable[str], by_date: bool, date_role: str) -> dict[tuple[str, str], list[str]]:
+    """Base metrics by their fact and date role; the role of a metric that has its own counts where dates are asked for."""
     groups: dict[tuple[str, str], list[str]] = {}
-    for name in _base_names(metrics):
+    for name in names:
         role = (BASE[name].date_role if by_date else None) or date_role
         groups.setdefault((BASE[name].fact, role), []).append(name)
-    parts = [_fact_totals(model, names, by, filters, role) for (_, role), names in groups.items()]
-    totals = merge_totals(parts, by)
+    return groups
+
+
+def from_totals(
+    model: Mapping[str, DataFrame], totals: DataFrame, metrics: tuple[str, ...], by: tuple[str, ...]
+) -> DataFrame:
+    """The metrics from base totals with one row per group."""
     if "product_mix" in metrics:
         totals = _with_selection_total(model, totals, by)
     result = totals.select(*by, *[_value(metric).alias(metric) for metric in metrics])

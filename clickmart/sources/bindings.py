@@ -30,14 +30,14 @@ class DriverTables:
 
     def __init__(self, spark: SparkSession, sf_dir: str, spread: int = 1):
         """``spread`` times as many days lie between events, so that their month becomes several."""
-        self._spark = spark
+        self.spark = spark
         self._dir = sf_dir
         self._spread = spread
         self._opened: dict[str, DataFrame] = {}
 
     def _read(self, table: str) -> DataFrame:
         if table not in self._opened:
-            self._opened[table] = self._spark.read.schema(COLUMNS[table]).parquet(f"{self._dir}/{table}.parquet")
+            self._opened[table] = self.spark.read.schema(COLUMNS[table]).parquet(f"{self._dir}/{table}.parquet")
         return self._opened[table]
 
     # --- Path A ---

@@ -50,6 +50,15 @@ def read_csv_checked(
     return rows.where("not rejected").select(*schema.names), rows.where("rejected").select("line", "reason"), seen.get
 
 
+def write_csv(df: DataFrame, table: str, path: str) -> None:
+    """Store a table as CSV in the form that ``read_csv`` reads: all columns of the schema, those ``df`` lacks are null.
+
+    Only text can tell empty from null in CSV; both are read as null.
+    """
+    there = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields]
+    df.select(*there).write.options(**CSV_OPTIONS).csv(path)
+
+
 def read_parquet(spark: SparkSession, table: str, path: str) -> DataFrame:
     """One table from parquet, selected and cast to the declared schema."""
     stored = spark.read.parquet(path)

@@ -8,6 +8,7 @@ from the staged rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,14 @@ BUCKET_KEYS = {
 MONTH = "created_month"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder for tables on the way: below ``spark.checkpoint.dir``, or the session's warehouse if that is unset."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    shared = shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{shared.rstrip('/')}/{context.applicationId}/{uuid.uuid4().hex}"
+
+
 def with_month(df: DataFrame, ts: str = "created_at") -> DataFrame:
     """The month of ``ts`` as yyyy-MM, for partitions; rows without a time are in the partition of NULL."""
     return df.withColumn(MONTH, F.date_format(F.to_date(ts), "yyyy-MM"))

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from clickmart.functions.totals import stack_rows
 from clickmart.operators import explore, journeys, marts, products, quality, reconcile, traffic
 from clickmart.operators.journeys import FunnelStep
-from clickmart.plans import metrics
+from clickmart.plans import metrics, staged
+from clickmart.sources import readers, staging
 from clickmart.sources.bindings import PRODUCT_TYPES, DriverTables
-from clickmart.sources.schemas import RELATIONS
+from clickmart.sources.schemas import RELATIONS, SCHEMAS
 
 # The funnel of `events`; errors are no step.
 EVENT_FUNNEL = (
@@ -32,6 +33,10 @@ MIN_LANDING_SESSIONS = 800
 # The events span 30 days; spread out like this they fall into six months.
 MONTHS_SPREAD = 6
 
+# The month of the orders that is staged again.
+REWRITTEN_MONTH = "1995-03"
+ORDER_COLUMNS = ("order_id", "created_at", "user_id", "price_usd", "cogs_usd")
+
 JOBS: dict[str, Callable[[DriverTables], DataFrame]] = {}
 SPREAD: dict[str, int] = {}
 
@@ -435,6 +440,7 @@ REPEAT_METRICS = [
     "repeat_session_conversion_rate",
     "distinct_users",
 ]
+STAGED_METRICS = [name for name in CHANNEL_METRICS if name not in ("refunded_orders", "distinct_users")]
 FIRST_WEEKS = (dt.date(2024, 1, 5), dt.date(2024, 1, 20))
 
 
@@ -537,6 +543,24 @@ def metrics_after_signup(t):
     return metrics.compute(_session_model(t), CHANNEL_METRICS, by=["utm_source"], filters=steps)
 
 
+@monthly_job
+def staged_metrics_by_month(t):
+    """Distinct numbers from the facts, all else from staged totals."""
+    model = _session_model(t)
+    totals = staged.stage_totals(model, staging.new_folder(t.spark), ["utm_source"])
+    return staged.compute_staged(model, totals, CHANNEL_METRICS, by=["year_month"])
+
+
+@job
+def staged_metrics_filtered(t):
+    """Some days are staged again; a range of days is read from their partitions."""
+    model, chosen = _session_model(t), {"device_type": "desktop", "utm_source": ["gsearch", "bsearch"]}
+    totals = staged.stage_totals(model, staging.new_folder(t.spark), ["utm_source", "utm_campaign", "device_type"])
+    staged.refresh_days(model, totals, [FIRST_WEEKS[0], dt.date(2023, 1, 1)])
+    chosen["date"] = lambda day: day.between(*FIRST_WEEKS)
+    return staged.compute_staged(model, totals, STAGED_METRICS, by=["utm_campaign"], filters=chosen)
+
+
 # --- Reconciliation and documented uses ---
 
 
@@ -590,6 +614,50 @@ def first_visit_orders(t):
     return journeys.first_visit_orders(t.pageviews(), EVENT_PAGES)
 
 
+# --- Sources and sinks: the table is written, read back and reported ---
+
+
+@job
+def sessions_from_csv(t):
+    """All sessions through CSV."""
+    folder = staging.new_folder(t.spark)
+    readers.write_csv(t.sessions(), "website_sessions", folder)
+    return readers.read_csv(t.spark, "website_sessions", folder)
+
+
+@job
+def orders_from_flawed_csv(t):
+    """Orders from CSV in which some lines have a bad price: good rows and rejected lines by reason."""
+    folder = staging.new_folder(t.spark)
+    price = F.expr("IF(order_id % 7 = 0, 'n/a', CAST(price_usd AS STRING))")
+    columns = [price.alias(c) if c == "price_usd" else F.col(c) if c in ORDER_COLUMNS else F.lit(None).alias(c) for c in SCHEMAS["orders"].names]
+    t.orders().select(*[c.cast("string") for c in columns]).write.options(**readers.CSV_OPTIONS).csv(f"{folder}/csv")
+    good, rejected, _ = readers.read_csv_checked(t.spark, "orders", f"{folder}/csv", f"{folder}/parsed")
+    usd = F.sum("price_usd").cast("decimal(22,2)").alias("revenue")
+    kept = good.agg(F.lit("good").alias("kind"), F.count("*").alias("lines"), usd)
+    refused = rejected.groupBy(F.col("reason").alias("kind")).agg(F.count("*").alias("lines"), F.lit(None).cast("decimal(22,2)").alias("revenue"))
+    return kept.unionByName(refused)
+
+
+@job
+def staged_orders_by_month(t):
+    """Orders staged by month and bucket, one month replaced by half of its rows, added up from the staged table."""
+    folder, orders = staging.new_folder(t.spark), t.orders()
+    name = "staged_" + folder.rsplit("/", 1)[1]
+    staging.stage_bucketed(orders, name, "order_id", 8, folder)
+    staging.rewrite_months(orders.where("order_id % 2 = 0"), name, [REWRITTEN_MONTH])
+    return (
+        t.spark.table(name)
+        .groupBy(staging.MONTH)
+        .agg(F.count("*").alias("orders"), F.sum("price_usd").cast("decimal(22,2)").alias("revenue"))
+    )
+
+
+@job
+def latest_sessions(t):
+    return explore.preview(t.sessions().select("website_session_id", "created_at", "user_id"), 50, F.desc("created_at"), F.desc("website_session_id"))
+
+
 # --- Data quality on tables with flaws: missing and dangling keys, repeated, misdirected and excessive refunds ---
 
 

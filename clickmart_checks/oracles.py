@@ -14,6 +14,8 @@ from clickmart_checks.jobs import (
     MIN_LANDING_SESSIONS,
     MONTHS_SPREAD,
     PRODUCT_TYPES,
+    REWRITTEN_MONTH,
+    STAGED_METRICS,
 )
 
 # --- Rounded division ---
@@ -976,6 +978,13 @@ def oracle_sql() -> dict[str, str]:
             f"AND session_date BETWEEN DATE '{least}' AND DATE '{most}'",
         ),
         "metrics_by_month": _metrics_over(CHANNEL, ["year_month"], SESSIONS_BY_MONTH),
+        "staged_metrics_by_month": _metrics_over(CHANNEL, ["year_month"], SESSIONS_BY_MONTH),
+        "staged_metrics_filtered": _metrics(
+            STAGED_METRICS,
+            "utm_campaign",
+            "device_type = 'desktop' AND utm_source IN ('gsearch', 'bsearch') "
+            f"AND session_date BETWEEN DATE '{least}' AND DATE '{most}'",
+        ),
         "metrics_in_second_quarter": _second_quarter(),
         "revenue_by_order_quarter": _with("od")
         + "SELECT CAST(year(created_at) AS INT) AS year, CAST(quarter(created_at) AS INT) AS quarter, count(*) AS total_orders, "
@@ -1020,6 +1029,19 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT first_week, week, count(DISTINCT user_id) AS users FROM u GROUP BY 1, 2",
         "session_paths": _session_paths(),
         "first_visit_orders": _first_visit_orders(),
+        # Sources and sinks
+        "sessions_from_csv": _with("ws")
+        + "SELECT website_session_id, CAST(date_trunc('second', created_at) AS TIMESTAMP) AS created_at, user_id, "
+        "CAST(is_repeat_session AS INT) AS is_repeat_session, utm_source, utm_campaign, utm_content, device_type, "
+        "'https://' || utm_source || '.example' AS http_referer FROM ws",
+        "orders_from_flawed_csv": _with("od")
+        + f"SELECT 'good' AS kind, count(*) AS lines, {usd('sum(price_usd)')} AS revenue FROM od WHERE order_id % 7 <> 0 "
+        "UNION ALL SELECT 'price_usd', count(*), NULL FROM od WHERE order_id % 7 = 0 HAVING count(*) > 0",
+        "staged_orders_by_month": _with("od")
+        + f"SELECT strftime(created_at, '%Y-%m') AS created_month, count(*) AS orders, {usd('sum(price_usd)')} AS revenue "
+        f"FROM od WHERE strftime(created_at, '%Y-%m') IS DISTINCT FROM '{REWRITTEN_MONTH}' OR order_id % 2 = 0 GROUP BY 1",
+        "latest_sessions": _with("ws")
+        + "SELECT website_session_id, created_at, user_id FROM ws ORDER BY created_at DESC, website_session_id DESC LIMIT 50",
         # Tables with flaws
         "pk_nulls_flawed": _flawed_nulls(),
         "fk_orphans_flawed": _flawed_orphans(),
