@@ -27,8 +27,8 @@ isc | isc | isc licen[sc]e | isc | opensource org licenses? isc
 gpl-1.0 | general gpl | (?:gnu )?(?:general public licen[sc]e|gpl) #1(?: 0)? | gpl 1 0 | gnu org licenses old licenses gpl 1 0
 gpl-2.0 | general gpl | (?:gnu )?(?:general public licen[sc]e|gpl) #2(?: 0)? | gpl 2 0 | gnu org licenses (?:old licenses )?gpl 2 0
 gpl-3.0 | general gpl | (?:gnu )?(?:general public licen[sc]e|gpl) #3(?: 0)? | gpl 3 0 | gnu org licenses gpl 3 0
-gpl-2.0-or-later | general gpl | (?:gnu )?(?:general public licen[sc]e|gpl) #2(?: 0)? or (?:at your option )?any later version | gpl 2 0 or later | gnu org licenses gpl 2 0 or later
-gpl-3.0-or-later | general gpl | (?:gnu )?(?:general public licen[sc]e|gpl) #3(?: 0)? or (?:at your option )?any later version | gpl 3 0 or later | gnu org licenses gpl 3 0 or later
+gpl-2.0-or-later | general gpl | (?:gnu )?(?:general public licen[sc]e|gpl) #2(?: 0)? or (?:at your option )?(?:any )?later(?: version)? | gpl 2 0 or later | gnu org licenses gpl 2 0 or later
+gpl-3.0-or-later | general gpl | (?:gnu )?(?:general public licen[sc]e|gpl) #3(?: 0)? or (?:at your option )?(?:any )?later(?: version)? | gpl 3 0 or later | gnu org licenses gpl 3 0 or later
 lgpl-2.0 | library lgpl | (?:gnu )?(?:library general public licen[sc]e|lgpl) #2(?: 0)? | lgpl 2 0 | gnu org licenses old licenses lgpl 2 0
 lgpl-2.1 | lesser lgpl | (?:gnu )?(?:lesser general public licen[sc]e|lgpl) #2 1 | lgpl 2 1 | gnu org licenses (?:old licenses )?lgpl 2 1
 lgpl-3.0 | lesser lgpl | (?:gnu )?(?:lesser general public licen[sc]e|lgpl) #3(?: 0)? | lgpl 3 0 | gnu org licenses lgpl 3 0
@@ -75,18 +75,18 @@ cc0-1.0 | cc0 cc zero | (?:cc0(?: #1 0)?|creative commons zero) | cc0 1 0 | crea
 cc-by-2.0 | by | (?:cc|creative commons) by 2 0 | cc by 2 0 | creativecommons org licenses by 2 0
 cc-by-2.5 | by | (?:cc|creative commons) by 2 5 | cc by 2 5 | creativecommons org licenses by 2 5
 cc-by-3.0 | by | (?:cc|creative commons) by 3 0 | cc by 3 0 | creativecommons org licenses by 3 0
-cc-by-4.0 | by | (?:cc|creative commons) by 4 0 | cc by 4 0 | creativecommons org licenses by 4 0
+cc-by-4.0 | by | (?:cc|creative commons) by 4(?: 0)? | cc by 4 0 | creativecommons org licenses by 4 0
 cc-by-sa-2.0 | sa | (?:cc|creative commons) by sa 2 0 | cc by sa 2 0 | creativecommons org licenses by sa 2 0
 cc-by-sa-3.0 | sa | (?:cc|creative commons) by sa 3 0 | cc by sa 3 0 | creativecommons org licenses by sa 3 0
-cc-by-sa-4.0 | sa | (?:cc|creative commons) by sa 4 0 | cc by sa 4 0 | creativecommons org licenses by sa 4 0
+cc-by-sa-4.0 | sa | (?:cc|creative commons) by sa 4(?: 0)? | cc by sa 4 0 | creativecommons org licenses by sa 4 0
 cc-by-nc-2.0 | nc | (?:cc|creative commons) by nc 2 0 | cc by nc 2 0 | creativecommons org licenses by nc 2 0
 cc-by-nc-3.0 | nc | (?:cc|creative commons) by nc 3 0 | cc by nc 3 0 | creativecommons org licenses by nc 3 0
-cc-by-nc-4.0 | nc | (?:cc|creative commons) by nc 4 0 | cc by nc 4 0 | creativecommons org licenses by nc 4 0
+cc-by-nc-4.0 | nc | (?:cc|creative commons) by nc 4(?: 0)? | cc by nc 4 0 | creativecommons org licenses by nc 4 0
 cc-by-nd-3.0 | nd | (?:cc|creative commons) by nd 3 0 | cc by nd 3 0 | creativecommons org licenses by nd 3 0
-cc-by-nd-4.0 | nd | (?:cc|creative commons) by nd 4 0 | cc by nd 4 0 | creativecommons org licenses by nd 4 0
+cc-by-nd-4.0 | nd | (?:cc|creative commons) by nd 4(?: 0)? | cc by nd 4 0 | creativecommons org licenses by nd 4 0
 cc-by-nc-sa-3.0 | sa | (?:cc|creative commons) by nc sa 3 0 | cc by nc sa 3 0 | creativecommons org licenses by nc sa 3 0
-cc-by-nc-sa-4.0 | sa | (?:cc|creative commons) by nc sa 4 0 | cc by nc sa 4 0 | creativecommons org licenses by nc sa 4 0
-cc-by-nc-nd-4.0 | nd | (?:cc|creative commons) by nc nd 4 0 | cc by nc nd 4 0 | creativecommons org licenses by nc nd 4 0
+cc-by-nc-sa-4.0 | sa | (?:cc|creative commons) by nc sa 4(?: 0)? | cc by nc sa 4 0 | creativecommons org licenses by nc sa 4 0
+cc-by-nc-nd-4.0 | nd | (?:cc|creative commons) by nc nd 4(?: 0)? | cc by nc nd 4 0 | creativecommons org licenses by nc nd 4 0
 public-domain | domain publicdomain | (?:in|into|to) the public domain | cc pddc publicdomain | creativecommons org publicdomain mark 1 0
 proprietary | proprietary | proprietary and confidential | licenseref proprietary | proprietary license
 """
@@ -206,6 +206,20 @@ def _lines(table: str) -> list[list[str]]:
     return [line.split(" | ") for line in table.strip().splitlines()]
 
 
+def _short(identifier: str) -> str:
+    """The identifier as it is cited after a verb: "apache 2 0", "apache v2" or "apache version 2"."""
+    *stem, major, minor = ["", *identifier.removesuffix(" or later").split()]
+    later = " or (?:at your option )?(?:any )?later(?: version)?" if identifier.endswith(" or later") else ""
+    if not (stem and major.isdigit() and minor.isdigit()):
+        return identifier
+    return " ".join(stem).strip() + (f" #{major}(?: 0)?" if minor == "0" else f" #{major} {minor}") + later
+
+
+def family(label: str) -> str:
+    """What the labels of a licence's versions have in common: gpl, apache, cc."""
+    return label.split("-")[0]
+
+
 def _long_commons(label: str) -> str | None:
     """The long name of a Creative Commons licence, from its label."""
     if not label.startswith("cc-by-"):
@@ -220,9 +234,12 @@ def rules() -> list[Rule]:
     """Every form of every licence, by falling priority, then as written."""
     found = []
     for label, gates, name, identifier, address in _lines(LICENCES):
-        for form, shape, priority, strength in FORMS:
-            found.append(_rule(label, form, gates, priority, strength, shape.format(name=f"(?:{name})", identifier=identifier, address=address)))
         first = identifier.split()[0]
+        cited = name if identifier in FIELD_ONLY else f"{name}|{_short(identifier)}"
+        for form, shape, priority, strength in FORMS:
+            told, gated = (cited, f"{gates} {first}") if form in ("notice", "subject") else (name, gates)
+            gated = f"{gates} {first}" if form == "tag" else gated
+            found.append(_rule(label, form, gated, priority, strength, shape.format(name=f"(?:{told})", identifier=identifier, address=address)))
         field = rf"licen[sc]es?(?: (?:text|name|id|type|expression|file|is))? (?:{identifier})"
         found.append(_rule(label, "field", first, 3, 0.85, field))
         if identifier not in FIELD_ONLY:

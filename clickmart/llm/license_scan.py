@@ -2,8 +2,10 @@
 
 A text becomes its lower-cased words of ASCII letters, digits and other than ASCII characters, joined by single spaces.
 A rule is tried only where the text has one of its gate words; what the rules find are detections, runs of words with a
-priority. Taken by falling priority, then length, then place, a detection that lies within one taken before is
-suppressed, so "gpl 3 0" inside a full notice says nothing of its own. Detections that only overlap stay both.
+priority. A detection that lies within another of the same licence family is suppressed, whatever their priorities, so
+"gpl 2 0 or later" is not version 2 alone. Of the others, taken by falling priority, then length, then place, one that lies
+within one taken before is suppressed, so "gpl 3 0" inside a full notice says nothing of its own. Detections that only
+overlap stay both. Signs are no words: the plus of "GPLv2+" is not seen.
 
 Three base phrases are counted wherever their words stand. Their labels always stay.
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType
 
 from clickmart.llm.common import flat_schema, map_rows, texts_of, utf8
-from clickmart.llm.license_rules import BASE_PHRASES, Rule, rules
+from clickmart.llm.license_rules import BASE_PHRASES, Rule, family, rules
 
 #: Every ASCII byte but letters and digits becomes a space; A-Z are lower-cased before.
 SPACED = bytes(b if b >= 0x80 or bytes([b]).isalnum() else 0x20 for b in range(256))
@@ -55,6 +57,7 @@ class Scanner:
         for i in sorted({i for gate in present for i in self.gated[gate]}):
             for match in self.rules[i].pattern.finditer(joined):
                 found.append((match.start(), match.end(), i))
+        found = self._widest_of_family(found)
         found.sort(key=lambda d: (-self.rules[d[2]].priority, d[0] - d[1], d[0], d[2]))
         kept: list[tuple[int, int, int]] = []  # by place
         widest = max((end - start for start, end, _ in found), default=0)
@@ -66,6 +69,16 @@ class Scanner:
         place = lambda at: joined.count(" ", 1, at)  # noqa: E731  spaces before a word, without the first
         return [(place(s), place(s) + joined.count(" ", s, e) + 1, self.rules[i]) for s, e, i in kept]
 
+    def _widest_of_family(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Without what lies within another detection of its family; of equal places the first rule's stays."""
+        kept, reached = [], {}
+        for start, end, i in sorted(found, key=lambda d: (d[0], -d[1], d[2])):
+            of = family(self.rules[i].label)
+            if end > reached.get(of, -1):
+                kept.append((start, end, i))
+                reached[of] = end
+        return kept
+
 
 @lru_cache(maxsize=1)
 def scanner() -> Scanner:
