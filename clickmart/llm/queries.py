@@ -206,6 +206,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filters": URL_LISTS_SQL,
+        "op3_line_dedup": sql.LINE_DEDUP,
+        "op4_quality_rules": sql.QUALITY_RULES,
         "op11_curriculum_mix": sql.CURRICULUM,
         "op12_phrase_collocations": sql.COLLOCATIONS,
         "op13_lexical_search": sql.LEXICAL_SEARCH,

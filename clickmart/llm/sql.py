@@ -91,3 +91,51 @@ scores AS (
 SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM scores WHERE score > 0 QUALIFY rank <= 10
 """
+
+LINE_DEDUP = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS split FROM documents),
+lines AS (SELECT r, doc_id, unnest(split) AS line, unnest(range(len(split))) AS i FROM docs),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS key FROM lines),
+repeated AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)),
+marked AS (SELECT k.*, coalesce(k.doc_id > p.first, false) AS dropped FROM keyed k LEFT JOIN repeated p ON p.key = k.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY r
+"""
+
+QUALITY_RULES = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs),
+of_words AS (
+  SELECT r, count(*) FILTER (word = before) AS n_stutters, max(strlen(word)) AS longest
+  FROM (SELECT r, word, lag(word) OVER (PARTITION BY r ORDER BY i) AS before FROM words) GROUP BY r),
+windows AS (
+  SELECT r, i, array_to_string(w[i + 1:i + 8], ' ') AS g FROM (SELECT r, w, unnest(range(len(w) - 7)) AS i FROM docs WHERE len(w) > 7)),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+repeats AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM again, range(8) AS t(k) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs),
+of_lines AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+    count(*) FILTER (regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS n_open
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+measured AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(p.n_repeat_words, 0) AS n_repeat_words,
+    coalesce(l.n_lines, 0) AS n_lines, coalesce(l.n_open, 0) AS n_open, coalesce(o.n_stutters, 0) AS n_stutters,
+    coalesce(o.longest, 0) AS longest, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+    length(regexp_replace(t, '[^a-z]', '', 'g')) AS n_lower, length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits,
+    regexp_matches(t, '(?i:lorem ipsum|\bjavascript (is|must be) (disabled|enabled))') AS placeholder
+  FROM docs d LEFT JOIN of_words o USING (r) LEFT JOIN of_lines l USING (r) LEFT JOIN repeats p USING (r)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 40 * n_lines OR 100 * n_stutters > 30 * n_words
+    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR n_upper > n_lower OR 2 * n_digits > word_chars
+    OR 100 * n_open > 50 * n_lines OR longest > 5000 OR placeholder) AS kept
+FROM judged
+"""
