@@ -27,6 +27,7 @@ from clickmart.functions.ratios import fraction, money, money_or_zero
 from clickmart.functions.totals import as_row, merge_totals
 from clickmart.operators.journeys import SHOP_FUNNEL, FunnelStep, funnel_flags, funnel_long, session_landing
 from clickmart.operators.marts import dim_date, dim_product, fact_order, fact_order_item, fact_refund, fact_session
+from clickmart.plans.lookups import LookupChecks, look_up
 
 # Many-to-one relations: table -> {parent: foreign key}. The parent's primary key has the same name.
 PARENTS: dict[str, dict[str, str]] = {
@@ -216,12 +217,14 @@ def route(model: Mapping[str, DataFrame], table: str, column: str) -> str | None
     return None
 
 
-def _with_ancestors(model: Mapping[str, DataFrame], table: str, rows: DataFrame, columns: set[str]) -> DataFrame:
+def _with_ancestors(
+    model: Mapping[str, DataFrame], table: str, rows: DataFrame, columns: set[str], join: Callable[..., DataFrame]
+) -> DataFrame:
     """Add ancestor attributes to rows that carry the foreign keys they need."""
     for parent, fk in PARENTS[table].items():
         there = {c for c in columns if route(model, table, c) == parent}
         if there:
-            rows = rows.join(_lookup(model, parent, fk, there), fk, "left")
+            rows = join(rows, _lookup(model, parent, fk, there, join), fk, table, parent)
     return rows
 
 
@@ -230,12 +233,14 @@ def _foreign_keys(model: Mapping[str, DataFrame], table: str, columns: set[str])
     return [fk for parent, fk in PARENTS[table].items() if parent in routes]
 
 
-def _lookup(model: Mapping[str, DataFrame], table: str, key: str, columns: set[str]) -> DataFrame:
+def _lookup(
+    model: Mapping[str, DataFrame], table: str, key: str, columns: set[str], join: Callable[..., DataFrame]
+) -> DataFrame:
     """Key and attributes of a table, its own and its ancestors'."""
     own = {c for c in columns if route(model, table, c) == ""}
     fks = _foreign_keys(model, table, columns - own)
     keep = dict.fromkeys([key, *sorted(own), *fks])
-    rows = _with_ancestors(model, table, model[table].select(*keep), columns - own)
+    rows = _with_ancestors(model, table, model[table].select(*keep), columns - own, join)
     return rows.select(key, *sorted(columns - {key}))
 
 
@@ -280,9 +285,11 @@ def fact_totals(
     by: tuple[str, ...],
     filters: Mapping[str, Any],
     role: str,
+    checks: LookupChecks | None = None,
 ) -> DataFrame:
     """Totals of base metrics that share a fact and a date role."""
     fact, day = BASE[names[0]].fact, DATE_ROLES[role]
+    join = checks.watching(fact) if checks else look_up
     parts = calendar_columns(model)
     bridges = {name: bridge_of(model, name) for name in (*by, *filters)}
 
@@ -313,7 +320,7 @@ def fact_totals(
     rows = rows.select(*keys, *[value.alias(f"_{name}") for name, value in sums.items()])
     if fks:
         # One row per foreign key before the join: a session with very many orders is one row, not a hot key.
-        rows = _with_ancestors(model, fact, _folded(rows, keys, sums), needed - own)
+        rows = _with_ancestors(model, fact, _folded(rows, keys, sums), needed - own, join)
         for column in sorted(set(plain) - own):
             rows = rows.where(matches(column, plain[column]))
 
@@ -329,8 +336,7 @@ def fact_totals(
             kept = [*theirs, *kept]
     if asked := [name for name in dict.fromkeys([*by, *filters]) if name in parts]:
         rows = _folded(rows, kept, sums)
-        calendar = model["dates"].select(F.col("date").alias("_day"), *asked)
-        rows = rows.join(calendar, F.col(day) == F.col("_day"), "left")
+        rows = join(rows, model["dates"].select(F.col("date").alias("_day"), *asked), day, fact, "dates", "_day")
         for name in asked:
             if name in filters:
                 rows = rows.where(matches(name, filters[name]))
@@ -396,6 +402,7 @@ def compute(
     by: Iterable[str] = (),
     filters: Mapping[str, Any] | None = None,
     date_role: str = "session",
+    checks: LookupChecks | None = None,
 ) -> DataFrame:
     """Metrics grouped by attributes.
 
@@ -403,12 +410,12 @@ def compute(
     of the calendar, which is asked for that date. Rows without the date are a group of their own.
     ``filters`` maps an attribute to a value, a collection of values, or a function from its column to a condition;
     they apply before aggregation. None stands for a missing value. A filter acts on the facts that its table reaches
-    and leaves the others as they are; a name that no table has is an error.
+    and leaves the others as they are; a name that no table has is an error. ``checks`` observes the lookups.
     """
     metrics, by, filters = tuple(metrics), tuple(by), dict(filters or {})
     check_filters(model, filters, date_role)
     groups = fact_groups(base_names(metrics), uses_dates(model, by, filters), date_role)
-    parts = [fact_totals(model, names, by, filters, role) for (_, role), names in groups.items()]
+    parts = [fact_totals(model, names, by, filters, role, checks) for (_, role), names in groups.items()]
     return from_totals(model, merge_totals(parts, by), metrics, by)
 
 

@@ -729,6 +729,16 @@ def refunds_per_item_flawed(t):
     )
 
 
+@job
+def metrics_lookups_flawed(t):
+    """What the lookups of metrics by source meet where some sessions are there twice and others are missing."""
+    model, checks = _session_model(t), metrics.LookupChecks()
+    sessions, key = model["sessions"], "website_session_id"
+    model["sessions"] = sessions.where(f"{key} % 7 <> 0").unionByName(sessions.where(f"{key} % 5 = 0"))
+    metrics.compute(model, CHANNEL_METRICS, by=["utm_source"], checks=checks).write.format("noop").mode("overwrite").save()
+    return checks.found(t.spark)
+
+
 @job
 def refund_consistency_flawed(t):
     return quality.refund_consistency(_flawed_items(t, t.lines()), _flawed_refunds(t))

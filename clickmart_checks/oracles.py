@@ -610,6 +610,24 @@ def _metrics_over(names: list[str], keys: list[str], sessions: str, ctes: dict[s
     )
 
 
+def _flawed_lookups() -> str:
+    """Sessions whose id 7 divides are missing unless 5 divides it, others that 5 divides are there twice."""
+    times = "CASE WHEN website_session_id IS NULL THEN 0 ELSE (website_session_id % 7 <> 0)::INT + (website_session_id % 5 = 0)::INT END"
+    counts = f"count(*) AS rows, {big('coalesce(sum(greatest(times - 1, 0)), 0)')} AS extra, count(*) FILTER (times = 0) AS unmatched"
+    return _with(
+        "wo wr",
+        {
+            "o": f"SELECT order_id, website_session_id, {times} AS times FROM wo",
+            "r": "SELECT wr.order_id, coalesce(max(o.times), 0) AS copies, greatest(coalesce(max(o.times), 0), 1) AS times "
+            "FROM wr LEFT JOIN o ON o.order_id = wr.order_id GROUP BY 1",
+        },
+    ) + (
+        f"SELECT 'orders' AS fact, 'orders' AS child, 'sessions' AS parent, {counts} FROM (SELECT DISTINCT website_session_id, times FROM o) "
+        f"UNION ALL SELECT 'refunds', 'orders', 'sessions', {counts} FROM o "
+        f"UNION ALL SELECT 'refunds', 'refunds', 'orders', {counts} FROM r"
+    )
+
+
 def _spread_day(day: str) -> str:
     """The day that lies as many times further from the first."""
     return f"(DATE '2024-01-01' + CAST({MONTHS_SPREAD} * date_diff('day', DATE '2024-01-01', {day}) AS INTEGER))"
@@ -1047,6 +1065,7 @@ def oracle_sql() -> dict[str, str]:
         "fk_orphans_flawed": _flawed_orphans(),
         "refunds_per_item_flawed": _flawed_most(),
         "refund_consistency_flawed": _flawed_consistency(),
+        "metrics_lookups_flawed": _flawed_lookups(),
         "orders_before_session_flawed": _flawed_before("wo", "orders_before_session_count"),
         "pageviews_before_session_flawed": _flawed_before("pv", "pageviews_before_session_count"),
     }
