@@ -22,12 +22,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
+def _new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor costs no earlier stage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    written = spark.read.schema(df.schema).parquet(path)
+    path = _new_path(df.sparkSession)
+    df.write.partitionBy(*partition_by).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._settled_at = path
+    return written
+
+
+def settle_each(frames: Iterable[DataFrame]) -> DataFrame:
+    """All ``frames`` (at least one, of the same columns) as one settled table; each is written before the next is asked for."""
+    path = None
+    for number, df in enumerate(frames):
+        path = path or _new_path(df.sparkSession)
+        df.write.parquet(f"{path}/written={number}")
+    written = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
     written._settled_at = path
     return written
 

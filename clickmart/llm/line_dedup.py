@@ -7,7 +7,8 @@ Only keys that may repeat are shuffled. Each task adds the keys of its documents
 and, where a document meets a key again, to one of what it has seen twice; merged, a bit that two tasks have seen once is
 seen twice. A key that two documents hold is never missing from the merged second filter. What that filter lets pass is
 grouped by key, which confirms the repeat exactly and gives the first document. Filters have a fixed size: if the keys
-need more, they are cut into slices by hash, and each slice gets filters of its own.
+need more, they are dealt out once into slices by hash. A slice then gets filters of its own, reads its own keys only, and
+writes its suspects before its filters are given up, so one filter is alive at a time.
 
 A key is stood for by its 128-bit hash. The hashes are written once, so the texts are read twice in all.
 
@@ -30,11 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from clickmart.llm.common import flat_schema, fresh, map_rows, packed, settle, text_at, texts_of, utf8
+from clickmart.llm.common import discard, flat_schema, fresh, map_rows, packed, settle, settle_each, text_at, texts_of, utf8
 
 MIN_CHARS = 10
 SEGMENT = 1 << 18  # bytes of a filter that travel as one row
+SLICE_PARTS = 16  # parts that a slice's documents are dealt to
 KEYS = flat_schema("doc_id long, keys binary, n long")
+SLICED = flat_schema("doc_id long, keys binary, slice integer")
 SEGMENTS = flat_schema("segment integer, part integer, once binary, twice binary")
 
 
@@ -83,15 +86,28 @@ def _merge(rows: pd.DataFrame, size: int) -> tuple[bytes, bytes]:
     return zlib.compress(once.tobytes(), 1), zlib.compress(twice.tobytes(), 1)
 
 
-def twice_filter(keys: DataFrame, bits: int, probes: int, slices: int, part: int) -> np.ndarray:
-    """The bytes of the filter of keys of one slice that two documents may hold."""
+def in_slices(keys: DataFrame, slices: int) -> DataFrame:
+    """The keys in a folder for each slice, with a row for each document that has any there."""
+
+    def cut(ids: pa.Array, blobs: pa.Array) -> Iterator[tuple]:
+        for doc_id, blob in zip(ids.to_pylist(), blobs.to_pylist(), strict=True):
+            hashes = _hashes([blob])
+            of = _slice_of(hashes, slices)
+            for part in np.unique(of).tolist():
+                yield doc_id, hashes[of == part].tobytes(), part
+
+    rows = map_rows(keys.select("doc_id", "keys"), cut, SLICED)
+    return settle(rows.repartition("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICE_PARTS))), "slice")
+
+
+def twice_filter(keys: DataFrame, bits: int, probes: int) -> np.ndarray:
+    """The bytes of the filter of ``keys`` that two documents may hold."""
     size = min(SEGMENT, bits // 8)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             hashes = _hashes(batch.column(0).to_pylist())
-            hashes = hashes[_slice_of(hashes, slices) == part]
             hashes, counts = np.unique(hashes, axis=0, return_counts=True) if len(hashes) else (hashes, np.zeros(0, int))
             again = contains(once, hashes, probes) | (counts > 1)
             for target, chosen in ((twice, hashes[again]), (once, hashes)):
@@ -119,31 +135,37 @@ def twice_filter(keys: DataFrame, bits: int, probes: int, slices: int, part: int
 
 
 def suspects(keys: DataFrame, bits_per_key: int = 10, probes: int = 4, filter_mb: int = 64) -> DataFrame:
-    """doc_id and key of what may be held by two documents: every true repeat and a few others."""
+    """doc_id and key, settled, of what may be held by two documents: every true repeat and a few others."""
     total = keys.agg(F.sum("n")).first()[0] or 0
     bits = 1 << max(16, min(int(total * bits_per_key).bit_length(), (filter_mb << 23).bit_length() - 1))
     slices = max(1, -(-int(total * bits_per_key) // bits))
     schema = flat_schema("doc_id long, key binary")
-    context, found = keys.sparkSession.sparkContext, None
-    for part in range(slices):
-        shared = context.broadcast(twice_filter(keys, bits, probes, slices, part))
-
-        def probe(ids: pa.Array, blobs: pa.Array, shared=shared, part=part) -> Iterator[tuple]:
-            for doc_id, blob in zip(ids.to_pylist(), blobs.to_pylist(), strict=True):
-                hashes = _hashes([blob])
-                passed = contains(shared.value, hashes, probes) & (_slice_of(hashes, slices) == part)
-                for i in np.flatnonzero(passed):
-                    yield doc_id, blob[16 * i : 16 * i + 16]
-
-        rows = map_rows(keys.select("doc_id", "keys"), probe, schema)
-        found = rows if found is None else found.unionByName(rows)
+    sliced = in_slices(keys, slices) if slices > 1 else keys
+
+    def each_slice() -> Iterator[DataFrame]:
+        for part in range(slices):
+            own = sliced.where(F.col("slice") == part) if slices > 1 else keys
+            shared = keys.sparkSession.sparkContext.broadcast(twice_filter(own, bits, probes))
+
+            def probe(ids: pa.Array, blobs: pa.Array, shared=shared) -> Iterator[tuple]:
+                for doc_id, blob in zip(ids.to_pylist(), blobs.to_pylist(), strict=True):
+                    for i in np.flatnonzero(contains(shared.value, _hashes([blob]), probes)):
+                        yield doc_id, blob[16 * i : 16 * i + 16]
+
+            yield map_rows(own.select("doc_id", "keys"), probe, schema).distinct()
+            shared.destroy()
+
+    found = settle_each(each_slice())
+    if slices > 1:
+        discard(sliced)
     return found
 
 
 def repeats(docs: DataFrame, **filter_options: int) -> DataFrame:
     """doc_id and ``keys``: the keys whose lines the document loses."""
     keys = settle(map_rows(texts_of(docs).where("doc_id is not null"), _keys_of, KEYS))
-    suspected = settle(suspects(keys, **filter_options).distinct())
+    suspected = suspects(keys, **filter_options)
+    discard(keys)
     first = suspected.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     first = settle(first.select("key", "first"))  # a join of two tables, in which a key of many documents can be split
     lost = suspected.join(first, "key").where("doc_id > first").select("doc_id", "key")
