@@ -9,8 +9,10 @@ counts of all training texts.
 Counting shuffles one number for each distinct n-gram of a chunk of texts, not one for each token. Tasks write chunks of
 bounded size once, as numbers into the chunk's own vocabulary. Each chunk sends its distinct n-grams with their counts to
 the ranges of hashes they lie in; a range adds up what all chunks sent and answers each with the totals of what it asked
-for; the chunk meets its answers. An n-gram that makes up a third of all tokens is one number for each chunk, and the
-number of ranges follows the input, so nothing is hot. EM passes over the counts of the deleted fold, and only sums for
+for; the chunk meets its answers. Nothing is cut into more than ``2 ** STEP_BITS`` ranges at a time: where the input
+needs more, groups of chunks are added up in a coarse range first, and what they hold together asks the finer ranges as
+if it were a chunk. So rows follow the input, and not chunks times ranges. An n-gram that makes up a third of all tokens is
+one number for each chunk, and the number of ranges follows the input, so nothing is hot. EM passes over the counts of the deleted fold, and only sums for
 each bucket reach the driver.
 
 An n-gram is stood for by a 64-bit hash.
@@ -35,12 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from clickmart.llm.common import flat_schema, packed, settle, texts_of, utf8
+from clickmart.llm.common import discard, flat_schema, packed, settle, texts_of, utf8
 
 FOLDS = 7
 HELD_OUT, DELETED = 2, 3
 CHUNK_TOKENS = 1 << 20
 RANGE_TOKENS = 1 << 21
+STEP_BITS = 10
 BUCKETS = 65  # binary digits of a count, 0 for none
 START, END = 1, 2  # stand for the marks among the words' hashes
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -164,7 +167,15 @@ ANSWERS = flat_schema(
 )
 
 
-def asked(chunks: DataFrame, order: int, range_bits: int) -> DataFrame:
+def in_ranges(keys: np.ndarray, counts: list[np.ndarray], bits: int) -> Iterator[tuple]:
+    """Sorted hashes with their counts, cut by their first ``bits`` bits: the range, and what lies there."""
+    ranges = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    cuts = np.flatnonzero(np.diff(ranges, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+        yield int(ranges[a]), squeeze_sorted(keys[a:b]), *(squeeze(c[a:b]) for c in counts)
+
+
+def asked(chunks: DataFrame, order: int, bits: int) -> DataFrame:
     """The distinct n-grams of each chunk with their counts in training texts and in the deleted fold, cut into ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,14 +185,9 @@ def asked(chunks: DataFrame, order: int, range_bits: int) -> DataFrame:
                 train = chunk.in_fold(chunk.folds != HELD_OUT).astype(np.float64)
                 deleted = chunk.in_fold(chunk.folds == DELETED).astype(np.float64)
                 for n, (keys, places) in enumerate(chunk.grams(order), 1):
-                    counts = [np.bincount(places, w, len(keys)).astype("<u4") for w in (train, deleted)]
-                    ranges = np.zeros(len(keys), np.int64)
-                    if range_bits:
-                        ranges = (keys >> np.uint64(64 - range_bits)).astype(np.int64)
-                    cuts = np.flatnonzero(np.diff(ranges, prepend=-1)).tolist()
-                    for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-                        sent = squeeze_sorted(keys[a:b]), *(squeeze(c[a:b]) for c in counts)
-                        yield packed([(row["chunk"], n, int(ranges[a]), *sent)], to_arrow_schema(ASKED))
+                    counts = [np.bincount(places, w, len(keys)).astype("<u8") for w in (train, deleted)]
+                    for sent in in_ranges(keys, counts, bits):
+                        yield packed([(row["chunk"], n, *sent)], to_arrow_schema(ASKED))
 
     return chunks.mapInArrow(run, ASKED)
 
@@ -195,7 +201,7 @@ def answered(asks: DataFrame) -> DataFrame:
         ends = np.cumsum([len(k) for k in keys])[:-1]
         out = rows[["chunk", "order", "range"]].copy()
         for name in ("train", "deleted"):
-            counts = np.concatenate([stretch(c, "<u4") for c in rows[name]])
+            counts = np.concatenate([stretch(c, "<u8") for c in rows[name]])
             sums = np.bincount(places, counts, len(known)).astype("<u8")
             out[name] = [squeeze(part) for part in np.split(sums[places], ends)]
             if name == "train":
@@ -206,6 +212,71 @@ def answered(asks: DataFrame) -> DataFrame:
     return asks.groupBy("order", "range").applyInPandas(total, ANSWERS)
 
 
+NODES = flat_schema("chunk long, order integer, keys binary, train binary, deleted binary")
+
+
+def nodes_of(asks: DataFrame) -> DataFrame:
+    """What the asks of each ``node`` hold together, as one chunk named after it."""
+
+    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
+        known, places = np.unique(np.concatenate([stretch_sorted(k) for k in rows["keys"]]), return_inverse=True)
+        out = {"chunk": rows["node"].iloc[0], "order": rows["order"].iloc[0], "keys": squeeze_sorted(known)}
+        for name in ("train", "deleted"):
+            counts = np.concatenate([stretch(c, "<u8") for c in rows[name]])
+            out[name] = squeeze(np.bincount(places, counts, len(known)).astype("<u8"))
+        return pd.DataFrame([out])
+
+    return asks.groupBy("order", "node").applyInPandas(add_up, NODES)
+
+
+def finer(nodes: DataFrame, bits: int) -> DataFrame:
+    """The asks of nodes, cut into more ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                counts = [stretch(row[name], "<u8") for name in ("train", "deleted")]
+                for sent in in_ranges(stretch_sorted(row["keys"]), counts, bits):
+                    yield packed([(row["chunk"], row["order"], *sent)], to_arrow_schema(ASKED))
+
+    return nodes.mapInArrow(run, ASKED)
+
+
+def handed_down(asks: DataFrame, answers: DataFrame) -> DataFrame:
+    """The answers to the asks of each node from those to the node; the first has the node's own numbers."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        keys, right = [stretch_sorted(k) for k in left["keys"]], right.sort_values("range")
+        places = np.unique(np.concatenate(keys), return_inverse=True)[1]
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        out = left[["chunk", "order", "range"]].copy()
+        for name in ("train", "deleted"):
+            totals = np.concatenate([stretch(c, "<u8") for c in right[name]])
+            out[name] = [squeeze(part) for part in np.split(totals[places], ends)]
+        for name in ("n_known", "n_train"):
+            out[name] = [int(right[name].sum()), *[0] * (len(left) - 1)]
+        return out
+
+    below = answers.withColumnRenamed("chunk", "node")
+    children = asks.select("chunk", "order", "range", "node", "keys")
+    return children.groupBy("order", "node").cogroup(below.groupBy("order", "node")).applyInPandas(run, ANSWERS)
+
+
+def answers_to(asks: DataFrame, bits: int, range_bits: int) -> DataFrame:
+    """Answers, settled, to asks that are cut by ``bits`` bits, from ranges of ``range_bits`` bits."""
+    if bits == range_bits:
+        return settle(answered(asks))
+    # As many groups of chunks in a coarse range as it has finer ranges, so that a node is as large as one of these.
+    groups, more = 1 << (range_bits - bits), min(range_bits, bits + STEP_BITS)
+    node = F.col("range") * groups + F.pmod(F.xxhash64("chunk"), F.lit(groups))
+    written = settle(asks.withColumn("node", node))
+    nodes = settle(nodes_of(written))
+    below = answers_to(finer(nodes, more), more, range_bits)
+    found = settle(handed_down(written, below))
+    discard(written, nodes, below)
+    return found
+
+
 MET = flat_schema(
     "chunk long, ids binary, nulls binary, folds binary, lengths binary, counts binary, deleted binary"
 )
@@ -320,7 +391,8 @@ def interpolated_scores(
     sums = chunks.agg(*(F.coalesce(F.sum(size), F.lit(0)) for size in sizes))
     size, deleted_tokens, texts, deleted_texts = sums.first()
     range_bits = max(0, (-(-size // range_tokens) - 1).bit_length())
-    answers = settle(answered(asked(chunks, order, range_bits)))
+    bits = min(range_bits, STEP_BITS)
+    answers = answers_to(asked(chunks, order, bits), bits, range_bits)
     totals = answers.where(F.col("order") == 1).agg(F.sum("n_known"), F.sum("n_train")).first()
     known, tokens = totals[0] or 0, totals[1] or 0
     counted = settle(met(chunks, answers.drop("n_known", "n_train"), order))

@@ -25,6 +25,17 @@ def test_interpolated_scores(as_documents, order, chunk, span):
     close([tuple(r) for r in found.collect()], brute.lm_scores([r for r in LM], order))
 
 
+@pytest.mark.parametrize(("order", "step"), [(2, 2), (3, 1)])
+def test_ranges_in_several_steps(as_documents, monkeypatch, order, step):
+    """Groups of chunks that ask finer ranges together get what each chunk would get alone."""
+    monkeypatch.setattr(lm_interpolation, "STEP_BITS", step)
+    docs = LM if step == 2 else [r for r in LM if r[1] is None or len(r[1]) < 2000]
+    span = 1200 if step == 2 else 300
+    assert sum(len((t or "").split()) + 1 for _, t in docs) > span << (2 * step)  # three levels
+    found = lm_interpolation.interpolated_scores(as_documents(docs), order=order, chunk_tokens=100, range_tokens=span)
+    close([tuple(r) for r in found.collect()], brute.lm_scores(docs, order))
+
+
 def test_probabilities_add_up_to_one(as_documents):
     """Of all known tokens, the end among them, and one for the unknown; single tokens, so that a text's is theirs times the end's."""
     train = [(i, "a b a c b a") for i in range(10, 40)]
