@@ -159,11 +159,27 @@ def allocate(cost: np.ndarray, limit: int) -> np.ndarray:
     return result
 
 
-def links(prints: DataFrame, limit: int = 2, partitions: int = 3, sample_rows: int = 2000) -> DataFrame:
+def partitions_for(n: int, limit: int) -> int:
+    """How many partitions cost least where ``n`` fingerprints are spread evenly: more of them have larger buckets, fewer
+    are probed with more values. Among as many as ``allocate`` may use, by what it estimates for one fingerprint."""
+
+    def rows(partitions: int) -> float:
+        width = BITS // partitions
+        probed = np.array([len(masks(width, t)) for t in range(limit + 1)], float)
+        cost = np.broadcast_to(probed * (1 + n / 2.0**width), (1, partitions, limit + 1))
+        thresholds = allocate(cost, limit)[0]
+        return partitions + sum(cost[0, p, t] for p, t in enumerate(thresholds) if t >= 0)
+
+    return min(range(limit + 1, 1, -1), key=rows, default=2)
+
+
+def links(prints: DataFrame, limit: int = 2, partitions: int | None = None, sample_rows: int = 2000) -> DataFrame:
     """Edges ``(u, v)`` between distinct fingerprints that join all within ``limit`` bits of each other.
 
-    Every edge is within the limit. Inside large buckets not every pair is listed, but each is connected.
+    Every edge is within the limit. Inside large buckets not every pair is listed, but each is connected. The number of
+    partitions follows that of the fingerprints unless it is given.
     """
+    partitions = partitions or partitions_for(prints.count(), limit)
     groups = group_bits(prints, partitions)
     crowd = 1 + BITS  # rows that the other way takes for a fingerprint
 

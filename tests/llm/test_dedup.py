@@ -26,6 +26,21 @@ def test_lines(spark, as_documents, given, source, options):
     assert line_dedup.dedup_lines(docs).columns == docs.columns
 
 
+def test_slices_read_their_own_keys(spark, as_documents):
+    """Many slices give what one gives; each key is in one slice."""
+    docs = as_documents(LINES)
+    keys = settle(line_dedup.map_rows(line_dedup.texts_of(docs).where("doc_id is not null"), line_dedup._keys_of, line_dedup.KEYS))
+    sliced = line_dedup.in_slices(keys, 5)
+    held = {r["slice"]: b"".join(x["keys"] for x in sliced.where(f"slice = {r['slice']}").collect()) for r in sliced.select("slice").distinct().collect()}
+    cut = {k: {blob[i : i + 16] for i in range(0, len(blob), 16)} for k, blob in held.items()}
+    assert len(cut) == 5 and sum(map(len, cut.values())) == len(set.union(*cut.values()))
+    assert "slice" in sliced.where("slice = 2")._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+    options = {"bits_per_key": 2000, "filter_mb": 0}
+    assert keys.agg({"n": "sum"}).first()[0] * 2000 > 4 * 65536  # several slices
+    found = rows_of(line_dedup.dedup_lines(docs, **options).select("doc_id", "text"), "*")
+    assert found == rows_of(line_dedup.dedup_lines(docs).select("doc_id", "text"), "*")
+
+
 def test_lines_of_nothing(as_documents):
     assert line_dedup.dedup_lines(as_documents([(1, "x")]).where("doc_id = 2")).count() == 0
 
@@ -50,13 +65,18 @@ def near_prints(seed, count, flips):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize(("count", "flips"), [(60, 2), (900, 3), (400, 5)])
-def test_links_connect_all_within_the_limit(spark, count, flips):
+def test_more_fingerprints_have_fewer_partitions():
+    assert [simhash_dedup.partitions_for(n, 2) for n in (0, 10**3, 10**6, 10**9, 10**11)] == [3, 3, 3, 2, 2]
+    assert simhash_dedup.partitions_for(10**6, 4) > simhash_dedup.partitions_for(10**11, 4) >= 2
+
+
+@pytest.mark.parametrize(("count", "flips", "partitions"), [(60, 2, None), (900, 3, None), (400, 5, None), (900, 3, 2), (60, 2, 2)])
+def test_links_connect_all_within_the_limit(spark, count, flips, partitions):
     """Also where buckets are larger than those that are paired up."""
     prints = near_prints(count, count, flips)
     edges = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
     wanted = brute.smallest_reachable(prints, edges)
-    found = simhash_dedup.links(spark.createDataFrame([(p,) for p in prints], "fingerprint bigint"))
+    found = simhash_dedup.links(spark.createDataFrame([(p,) for p in prints], "fingerprint bigint"), partitions=partitions)
     listed = [(r["u"], r["v"]) for r in found.collect()]
     assert {frozenset(e) for e in listed} <= {frozenset(e) for e in edges}
     assert brute.smallest_reachable(prints, listed) == wanted
