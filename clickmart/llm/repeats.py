@@ -7,9 +7,9 @@ it is broken into lines.
 
 Runs are found without borders. Of each window of ``min_words`` words the least hash of its ``SEED``-word grams is a seed,
 so the same window has the same seed in every document. Windows are hashed only where a seed is in two documents, and those
-that two documents hold are repeated: a run is as long as it really is. Both "in two documents" go to the tasks as Bloom
-filters of bounded size; the hashes that pass the second are joined with those that two documents really hold, so a filter
-that is too full costs work only. Only equal hashes are trusted (64 bits).
+that two documents hold are repeated: a run is as long as it really is. The seeds go to the tasks as a Bloom filter of
+bounded size; the hashes of windows are joined with those that two documents really hold, so a filter that is too full
+costs work only. Only equal hashes are trusted (64 bits).
 
 Repeated text stays in the smallest doc_id that holds it and goes elsewhere. A span is as many repeated words side by side.
 
@@ -31,6 +31,7 @@ from clickmart.llm import substring_dedup as sub
 from clickmart.llm.bloom import filter_of
 from clickmart.llm.common import discard, settle, texts_of
 from clickmart.llm.graph import components
+from clickmart.llm.words import Words
 
 SEED = 8
 FILTER_MB = 32
@@ -40,9 +41,8 @@ class Windows:
     """The windows of ``n`` words of some texts: whose they are, their start, seed and hash."""
 
     def __init__(self, texts: list[bytes], n: int):
-        words = sub.word_hashes(texts)
-        sizes = np.array([len(w) for w in words], np.int64)
-        hashes = np.array([h for w in words for h in w], np.uint64)
+        words = Words(texts)
+        hashes, sizes = words.hashes, words.sizes
         begins = np.cumsum(sizes) - sizes
         count = np.maximum(sizes - n + 1, 0)
         self.of = np.repeat(np.arange(len(texts)), count)
@@ -90,17 +90,14 @@ def seeds(docs: DataFrame, n: int) -> DataFrame:
     return texts_of(docs).where("doc_id is not null").mapInArrow(run, "doc_id bigint, seed bigint")
 
 
-def windows(docs: DataFrame, n: int, seeds: Broadcast, keys: Broadcast | None = None) -> DataFrame:
-    """doc_id, start and key of the windows whose seed, and key if given, the filters hold."""
+def windows(docs: DataFrame, n: int, seeds: Broadcast) -> DataFrame:
+    """doc_id, start and key of the windows whose seed the filter holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in sub.in_groups(batches):
             w = Windows(texts, n)
             chosen = np.flatnonzero(seeds.value.holds(w.seeds))
             found = w.keys(chosen)
-            if keys:
-                again = keys.value.holds(found)
-                chosen, found = chosen[again], found[again]
             for a in range(0, len(chosen), 65_536):
                 some = chosen[a : a + 65_536]
                 columns = [np.array(ids, np.int64)[w.of[some]], w.start[some], found[a : a + 65_536]]
@@ -122,9 +119,8 @@ def runs(docs: DataFrame, n: int) -> DataFrame:
     found = settle(shared(seeds(docs, n), "seed").select("id"))
     by_seed = context.broadcast(filter_of(found, FILTER_MB))
     discard(found)
-    keys = settle(shared(windows(docs, n, by_seed), "key"))
-    by_key = context.broadcast(filter_of(keys, FILTER_MB))  # both are read as long as the result is
-    held = windows(docs, n, by_seed, by_key)
+    held = windows(docs, n, by_seed)  # nearly all whose seed two documents hold are in two themselves
+    keys = settle(shared(held, "key"))
     whole = held.join(keys, held["key"] == keys["id"])
     return whole.select("doc_id", "start", F.lit(n).cast("bigint").alias("n_words"), "first")
 
@@ -140,33 +136,48 @@ def repeats(
 def spans(found: DataFrame) -> DataFrame:
     """doc_id, all (repeated) and gone, both arrays of (start, n_words): places that touch or overlap are one; firsts: the
     smaller documents that hold any of it."""
-    each = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words", "first")).alias("places"))
     span = "array<struct<start:bigint,n_words:bigint>>"
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # of the last document, which may go on
         for batch in batches:
-            merged = []
-            for doc_id, places in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                start, size, first = (places.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                goes = first < doc_id
-                merged.append([joined(start, size), joined(start[goes], size[goes]), np.unique(first[goes]).tolist()])
-            kinds = (kind, kind, pa.list_(pa.int64()))
-            columns = [batch.column(0), *(pa.array([m[i] for m in merged], k) for i, k in enumerate(kinds))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "all", "gone", "firsts"])
-
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(rows[0]):
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if last or (held and held[0][0][0] != rows[0][0]):
+                yield spans_of(*map(np.concatenate, zip(*held, [r[:last] for r in rows], strict=True)))
+                held = []
+            held.append([r[last:] for r in rows])
+        if held:
+            yield spans_of(*map(np.concatenate, zip(*held, strict=True)))
+
+    each = found.select("doc_id", "start", "n_words", "first").repartition("doc_id").sortWithinPartitions("doc_id")
     return each.mapInArrow(run, f"doc_id bigint, all {span}, gone {span}, firsts array<bigint>")
 
 
-def joined(start: np.ndarray, size: np.ndarray) -> list[dict[str, int]]:
-    """Places that touch or overlap, as one."""
-    if not len(start):
-        return []
-    order = np.argsort(start, kind="stable")
-    begins, ends = start[order], np.maximum.accumulate((start + size)[order])
-    new = np.flatnonzero(np.append(True, begins[1:] > ends[:-1]))
-    last = np.append(new[1:], len(begins)) - 1
-    return [{"start": a, "n_words": b - a} for a, b in zip(begins[new].tolist(), ends[last].tolist(), strict=True)]
+def spans_of(doc_id: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    """The spans of whole documents."""
+    ids, of = np.unique(doc_id, return_inverse=True)
+    goes = first < doc_id
+    pairs = np.unique(np.stack([of[goes], first[goes]], axis=1), axis=0) if goes.any() else np.zeros((0, 2), np.int64)
+    firsts = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[:, 0], np.arange(len(ids) + 1)), pa.int32()), pa.array(pairs[:, 1]))
+    columns = [pa.array(ids), joined(of, start, size, len(ids)), joined(of[goes], start[goes], size[goes], len(ids)), firsts]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "all", "gone", "firsts"])
+
+
+def joined(of: np.ndarray, start: np.ndarray, size: np.ndarray, n: int) -> pa.ListArray:
+    """Places that touch or overlap, as one, for each of ``n`` documents."""
+    apart = int((start + size).max(initial=0)) + 1  # documents follow each other, none touches the next
+    order = np.argsort(of * apart + start, kind="stable")
+    of, begins = of[order], start[order]
+    base = of * apart
+    ends = np.maximum.accumulate(base + begins + size[order])
+    new = np.flatnonzero(np.append(True, (base + begins)[1:] > ends[:-1])[: len(of)])
+    last = np.append(new[1:], len(of))[: len(new)] - 1
+    found = [pa.array(begins[new]), pa.array(ends[last] - base[last] - begins[new])]
+    offsets = np.searchsorted(of[new], np.arange(n + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(found, names=["start", "n_words"]))
 
 
 def report(docs: DataFrame, **options: float) -> DataFrame:

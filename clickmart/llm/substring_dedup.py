@@ -29,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickmart.llm.common import discard, fresh, settle, text_at, texts_of, utf8
 from clickmart.llm.graph import components
+from clickmart.llm.words import Words
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -42,6 +42,7 @@ RADIUS = 5
 GAP = 8
 MIN_WORDS = 16
 BATCH_WORDS = 200_000
+MARKS = 4  # of 64 bits each
 ODD = np.uint64(0x9E3779B97F4A7C15)
 LAST = np.uint64(2**64 - 1)
 
@@ -62,25 +63,6 @@ def tuned(similar: float = SIMILAR, recall: float = 0.98, false_cost: float = 20
     return min(found)[1:]
 
 
-class Hashes(dict):
-    """Hashes of words; forgets all when it has grown."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-#: Of the words that a Python worker has seen lately.
-WORD_HASHES = Hashes()
-
-
-def word_hashes(texts: list[bytes]) -> list[list[int]]:
-    """The hashes of the lower-cased words of each text."""
-    return [list(map(WORD_HASHES.__getitem__, text.lower().split())) for text in texts]
-
-
 class Paragraphs:
     """The paragraphs of some texts: where they start and end among all words, and whose they are.
 
@@ -88,29 +70,22 @@ class Paragraphs:
     """
 
     def __init__(self, texts: list[bytes], lines: bool = False):
-        digest, hashes, starts, of = WORD_HASHES.__getitem__, [], [], []
-        begins, at = [], 0
-        pad = [int(LAST)] * RADIUS
-        for i, text in enumerate(texts):
-            begins.append(at)
-            for line in text.lower().split(b"\n"):
-                if words := line.split():
-                    starts.append(at)
-                    of.append(i)
-                    hashes += map(digest, words)
-                    at += len(words)
-            starts.append(at)  # what follows is no text
-            of.append(-1)
-            hashes += pad
-            at += RADIUS
-        self.hashes = np.array(hashes, np.uint64)
-        edges, whose = np.array(starts, np.int64), np.array(of, np.int64)
+        words, n = Words(texts), len(texts)
+        at = np.arange(len(words.of)) + RADIUS * words.of  # neighbours behind each text
+        total = len(words.of) + RADIUS * n
+        self.hashes = np.full(total, LAST)
+        self.hashes[at] = words.hashes
+        behind = np.cumsum(words.sizes + RADIUS) - RADIUS  # what follows is no text
+        edges = np.append(at[words.new_line], behind)
+        whose = np.append(words.of[words.new_line], np.full(n, -1))
+        order = np.argsort(edges, kind="stable")
+        edges, whose = edges[order], whose[order]
         cuts = edges if lines else np.union1d(edges, self.minima())
         owner = whose if lines else whose[np.searchsorted(edges, cuts, "right") - 1]
-        ends = np.append(cuts[1:], at)
+        ends = np.append(cuts[1:], total)
         long = (owner >= 0) & (ends - cuts >= SHINGLE)
         self.start, self.end, self.of = cuts[long], ends[long], owner[long]
-        self.first_word = np.array(begins, np.int64)[self.of]
+        self.first_word = (behind - words.sizes)[self.of]
 
     def minima(self) -> np.ndarray:
         """Places whose hash is less than that of all neighbours within the radius."""
@@ -219,25 +194,33 @@ def buckets(docs: DataFrame, bands: int, rows: int, lines: bool = False, similar
 
 
 def shingles_of(docs: DataFrame, places: DataFrame, lines: bool = False) -> DataFrame:
-    """text and its set of shingles, for ``places`` (doc_id and starts: (start, n_words, text) of paragraphs)."""
+    """text, its set of shingles and their marks, for ``places`` (doc_id and starts: (start, n_words, text) of paragraphs)."""
     own = texts_of(docs).where("doc_id is not null")
     wanted = places.select(F.col("doc_id").alias("_of"), "starts")
     joined = own.join(wanted, own["doc_id"] == wanted["_of"]).select("doc_id", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[int, list[int]] = {}
+            out: dict[int, np.ndarray] = {}
             for text, starts in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 p = Paragraphs([text], lines)
                 shingles, hashes = p.shingles().view(np.int64), p.texts().view(np.int64).tolist()
                 at = {(s, h): k for k, (s, h) in enumerate(zip((p.start - p.first_word).tolist(), hashes, strict=True))}
                 for s, h in ((x["start"], x["text"]) for x in starts):
                     if (k := at.get((s, h))) is not None:  # another row of the same doc_id has it otherwise
-                        out[h] = np.unique(shingles[p.start[k] : p.end[k] - SHINGLE + 1]).tolist()
-            columns = [pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["text", "shingles"])
+                        out[h] = np.unique(shingles[p.start[k] : p.end[k] - SHINGLE + 1])
+            lists = pa.list_(pa.int64())
+            columns = [pa.array(list(out), pa.int64()), pa.array([s.tolist() for s in out.values()], lists)]
+            columns.append(pa.array([marks(s).tolist() for s in out.values()], lists))
+            yield pa.RecordBatch.from_arrays(columns, names=["text", "shingles", "marks"])
 
-    return joined.mapInArrow(run, "text bigint, shingles array<bigint>").dropDuplicates(["text"])
+    return joined.mapInArrow(run, "text bigint, shingles array<bigint>, marks array<bigint>").dropDuplicates(["text"])
+
+
+def marks(shingles: np.ndarray) -> np.ndarray:
+    """Bits by which two sets are told apart: each shingle turns one over, so sets differ by at least as many shingles as bits."""
+    odd = np.bincount(shingles & (64 * MARKS - 1), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
 def similar_pairs(pairs: DataFrame, shingles: DataFrame, similar: float) -> DataFrame:
@@ -262,29 +245,49 @@ def links(mixed: DataFrame, shingles: DataFrame, similar: float) -> DataFrame:
     sets = settle(shingles.join(met.select("text").distinct(), "text", "left_semi"))
     counts = sets.select("text", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     held = counts.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
-    # A shingle of one text stands first in the order and meets nothing, so it is only counted.
-    own = F.sort_array(F.collect_list(F.struct("held", "shingle")))  # no more than a paragraph has
-    ordered = counts.join(held, "shingle").groupBy("text", "size").agg(own.alias("sorted"))
-    alone = F.col("size") - F.size("sorted")
-    reach = (F.col("size") - F.ceil(F.lit(similar) * F.col("size") - 1e-9) + 1 - alone).cast("int")
-    prefix = ordered.withColumn("reach", reach).where("reach > 0")
-    prefix = settle(prefix.select("text", F.explode(F.slice("sorted", F.lit(1), F.col("reach"))).alias("s")))
-    prefix = prefix.select("text", F.col("s.shingle").alias("shingle"))
+    # Rarest first. A shingle of one text stands in front of all others and meets nothing, so it is only counted.
+    own = Window.partitionBy("text")  # no more than a paragraph has
+    at = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "shingle")) - 1
+    ordered = counts.join(held, "shingle").select("text", "size", "shingle", at.alias("at"))
+    prefix = settle(ordered.where(F.col("at") <= F.col("size") - F.ceil(F.lit(similar) * F.col("size") - 1e-9)))
     # Within a shingle of a bucket first all against the least; what is of one component then is not compared again.
-    probes = settle(met.join(prefix, "text"))
+    probes = settle(met.join(prefix.select("text", "shingle"), "text"))
     leading = probes.groupBy("band", "shingle").agg(F.min("text").alias("v"), F.min("component").alias("a"), F.max("component").alias("b"))
     leading = leading.where("a < b").select("band", "shingle", "v")
     to_leading = probes.join(leading, ["band", "shingle"]).where("text > v").select(F.col("text").alias("u"), "v")
     led = settle(led.union(similar_pairs(to_leading, shingles, similar)))
+    texts = met.groupBy("text").agg(F.collect_set("band").alias("bands")).join(sets.select("text", "marks"), "text")
     reached = components(led)
-    probes = probes.drop("component").join(reached, F.col("text") == reached["node"], "left")
-    probes = settle(probes.select("band", "shingle", "text", F.coalesce("component", "text").alias("component")))
-    several = probes.groupBy("band", "shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    probes = settle(probes.join(settle(several.select("band", "shingle")), ["band", "shingle"], "left_semi"))
-    right = probes.select("band", "shingle", F.col("text").alias("v"), F.col("component").alias("other"))
-    others = probes.withColumnRenamed("text", "u").join(right, ["band", "shingle"]).where("component < other")
-    others = others.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    return led.union(similar_pairs(others, shingles, similar))
+    texts = texts.join(reached, F.col("text") == reached["node"], "left")
+    texts = settle(texts.select("text", "bands", "marks", F.coalesce("component", "text").alias("component")))
+    return led.union(similar_pairs(between(settle(prefix.join(texts, "text")), similar), shingles, similar))
+
+
+def between(probes: DataFrame, similar: float) -> DataFrame:
+    """Pairs ``u, v`` of texts of different components with a band and a shingle in common that may be similar.
+
+    ``probes`` has text, size, bands, marks and component, and a shingle of the prefix: ``at`` is its place in the order.
+    What is left out can't be similar. Two sets have to share ``need`` shingles, so the first one they share stands in
+    front of that many in both, which a smaller set has near its front; and their marks differ by no more bits than the
+    sets may differ by.
+    """
+    several = probes.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+    probes = settle(probes.join(settle(several.select("shingle")), "shingle", "left_semi"))
+    share = similar / (1 + similar)
+    smaller = probes.select("shingle", *(F.col(c).alias(f"_{c}") for c in ("text", "size", "at", "bands", "marks", "component")))
+    smaller = smaller.where(F.col("_at") <= F.col("_size") - 2 * share * F.col("_size") + 1e-6)
+    both = F.col("size") + F.col("_size")
+    need = F.ceil(share * both - 1e-6)
+    turned = sum((F.bit_count(F.col("marks")[k].bitwiseXOR(F.col("_marks")[k])) for k in range(MARKS)), F.lit(0))
+    may = (
+        (F.col("component") != F.col("_component"))
+        & (F.struct("_size", "_text") < F.struct("size", "text"))
+        & (F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at")) >= need)
+        & (turned <= both - 2 * need)
+        & F.arrays_overlap("bands", "_bands")
+    )
+    met = probes.join(smaller, "shingle").where(may)
+    return met.select(F.greatest("text", "_text").alias("u"), F.least("text", "_text").alias("v"))
 
 
 def repeated_paragraphs(docs: DataFrame, similar: float, recall: float, lines: bool = False) -> DataFrame:

@@ -1,0 +1,102 @@
+"""Words as arrays, candidates of near copies, spans of sorted rows."""
+
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+
+from clickmart.llm import repeats
+from clickmart.llm import substring_dedup as sub
+from clickmart.llm.common import settle
+from clickmart.llm.words import Words
+from tests.llm.conftest import ODD
+
+
+def test_words_are_hashed_as_one_by_one():
+    texts = [(t or "").encode() for _, t in ODD]
+    texts += [b"", b"\n", b"a\n\nb c\x0bD\x0ce\rf ", b" ".join(b"Q" * k for k in range(70)), b"\x1c \xc2\x85 \xc3\x89"]
+    words = Words(texts)
+    lines = [[line.split() for line in t.lower().split(b"\n")] for t in texts]
+    assert words.hashes.tolist() == [xxhash.xxh64_intdigest(w) for t in lines for line in t for w in line]
+    assert words.sizes.tolist() == [sum(map(len, t)) for t in lines]
+    assert words.new_line.tolist() == [k == 0 for t in lines for line in t for k in range(len(line))]
+    assert len(Words([]).hashes) == 0 and Words([b"", b" "]).sizes.tolist() == [0, 0]
+
+
+def near_copies(n, seed=0):
+    """Lines of 60 words that differ from one base at some places, by one of a few words each."""
+    random = np.random.default_rng(seed)
+    base = [f"base{i}" for i in range(60)]
+    for _ in range(n):
+        words = list(base)
+        for at in random.integers(0, 60, random.integers(1, 5)):
+            words[at] = f"other{random.integers(0, 3)}"
+        yield " ".join(words)
+
+
+def test_near_copies_are_not_paired_up(spark, as_documents, monkeypatch):
+    """All similar lines are linked, and far fewer pairs are looked at than there are."""
+    lines = sorted(set(near_copies(150)))
+    docs = as_documents(list(enumerate(lines, 1)))
+    sets = {i: {tuple(line.split()[k : k + 5]) for k in range(56)} for i, line in enumerate(lines, 1)}
+    of = {i: i for i in sets}
+
+    def least(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for a, b in combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = sorted((least(a), least(b)))
+            of[y] = x
+    looked_at, real = [], sub.between
+
+    def between(probes, similar):
+        found = settle(real(probes, similar))
+        looked_at.append(found.distinct().count())
+        return found
+
+    monkeypatch.setattr(sub, "between", between)
+    rows = sub.repeated_paragraphs(docs, 0.8, 1 - 1e-12, lines=True).collect()
+    classes = {}
+    for row in rows:
+        classes.setdefault(row["class"], set()).add(row["doc_id"])
+    wanted = {}
+    for i in sets:
+        wanted.setdefault(least(i), set()).add(i)
+    assert {frozenset(c) for c in classes.values()} == {frozenset(c) for c in wanted.values() if len(c) > 1}
+    assert sum(looked_at) < len(lines) * (len(lines) - 1) / 2 / 10
+
+
+def test_marks_differ_by_no_more_than_the_sets():
+    random = np.random.default_rng(1)
+    for _ in range(200):
+        a, b = (np.unique(random.integers(-40, 40, random.integers(1, 60))) for _ in range(2))
+        bits = sum(int(x ^ y).bit_count() for x, y in zip(*(sub.marks(s).view(np.uint64).tolist() for s in (a, b)), strict=True))
+        assert bits <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_spans_go_on_in_the_next_batch(spark, batch):
+    random = np.random.default_rng(2)
+    rows = {tuple(map(int, (random.integers(1, 9), random.integers(0, 60), random.integers(1, 8), random.integers(1, 9)))) for _ in range(120)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(sorted(rows, key=hash), "doc_id bigint, start bigint, n_words bigint, first bigint")
+        found = {r["doc_id"]: r for r in repeats.spans(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def words(spans):
+        return {k for s in spans for k in range(s["start"], s["start"] + s["n_words"])}
+
+    assert set(found) == {d for d, *_ in rows}
+    for doc, r in found.items():
+        mine = [(s, n, f) for d, s, n, f in rows if d == doc]
+        assert words(r["all"]) == {k for s, n, _ in mine for k in range(s, s + n)}
+        assert words(r["gone"]) == {k for s, n, f in mine if f < doc for k in range(s, s + n)}
+        assert list(r["firsts"]) == sorted({f for *_, f in mine if f < doc})
+        for spans in (r["all"], r["gone"]):
+            assert all(a["start"] + a["n_words"] < b["start"] for a, b in zip(spans, spans[1:], strict=False))
