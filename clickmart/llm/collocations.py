@@ -9,8 +9,9 @@ longer phrase is only looked for where both its parts are frequent.
 
 A relation is written to the shared folder as one row for each chunk of up to ``CHUNK_WORDS`` words of a language: places
 in ascending order, and the phrase at each. Pieces are whole within a chunk and apart by an unused place, so the join by
-piece and adjacent place is a merge of sorted arrays in the chunk, and nothing is shuffled but the counts of different
-groups, added up in each task first. The semi-join with the frequent groups is a Bloom filter of bounded size (``bloom``):
+piece and adjacent place is a merge of sorted arrays in the chunk, and nothing is shuffled but the counts of a chunk's
+different groups: parted by a hash of the group, and each part as one compressed row. There are as many parts as the number of
+words asks for, so that a part fits a task, and a group that is everywhere is one entry of each chunk. The semi-join with the frequent groups is a Bloom filter of bounded size (``bloom``):
 what it lets through by mistake is counted at the next length and is not frequent there either, so a fuller filter costs
 work and never changes a result. Phrases go by 64-bit names, a hash of language and word and then of the two parts;
 frequent words are counted by their text, and frequent phrases that share a name raise an error.
@@ -73,7 +74,8 @@ class Buffer:
 
 CHUNKS = "lang string, words array<string>, names array<bigint>, counts array<bigint>, places binary"
 RELATION = "names array<bigint>, gaps binary, at binary"
-GROUPS = "left bigint, right bigint, n bigint"
+GROUPS = "part int, counts binary"
+PARTS, PART_WORDS = 64, 4 << 20  # parts at least, and the words of the whole table for each
 
 
 def one(values: np.ndarray | pa.Array) -> pa.ListArray:
@@ -159,20 +161,58 @@ def phrases_in(batch: pa.RecordBatch, frequent: Filter) -> Iterator[Relation]:
         yield Relation(names.values.to_numpy(), np.cumsum(ints(gaps), dtype=np.int64), ints(at))
 
 
-def groups(rel: DataFrame, read: Callable, frequent: Broadcast) -> DataFrame:
-    """left, right and n: how often a chunk has the phrase right one place after left."""
+def squeezed(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> bytes:
+    """Groups by ascending left and their numbers: different names once, and all values by place of their bytes, compressed."""
+    names, codes = np.unique(np.concatenate([left, right]), return_inverse=True)
+    order = np.argsort(codes[: len(left)], kind="stable")
+    columns = [np.diff(names, prepend=0), np.diff(codes[: len(left)][order], prepend=0), codes[len(left) :][order], n[order]]
+    planes = b"".join(c.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    sizes = np.array([len(names), len(left), len(planes)], "<i8").tobytes()
+    return sizes + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def loosened(counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """left, right and n of ``squeezed``."""
+    n_names, n_groups, size = np.frombuffer(counts, "<i8", 3).tolist()
+    planes = np.frombuffer(pa.decompress(counts[24:], size, codec="zstd"), np.uint8)
+    ends = 8 * np.cumsum([n_names, n_groups, n_groups])
+    names, left, right, n = (np.ascontiguousarray(c.reshape(8, -1).T).view("<i8").ravel() for c in np.split(planes, ends))
+    names = np.cumsum(names)
+    return names[np.cumsum(left)], names[right], n
+
+
+def groups(rel: DataFrame, read: Callable, frequent: Broadcast, parts: int) -> DataFrame:
+    """part and counts: how often a chunk has the phrase right one place after left, for all pairs of the part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for relation in read(batch, frequent.value):
-                columns = relation.pairs()[:3]
-                for a in range(0, len(columns[0]), 65_536):
-                    some = [pa.array(c[a : a + 65_536], pa.int64()) for c in columns]
-                    yield pa.RecordBatch.from_arrays(some, names=["left", "right", "n"])
+                left, right, n = relation.pairs()[:3]
+                part = ((named(left, right).view(np.uint64) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                    if len(some):
+                        columns = [pa.array(part[some[:1]]), pa.array([squeezed(left[some], right[some], n[some])], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["part", "counts"])
 
     return rel.mapInArrow(run, GROUPS)
 
 
+def added_up(parted: DataFrame, least: int) -> DataFrame:
+    """left, right and a, the sum of all chunks, where that is ``least`` or more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right, n = map(np.concatenate, zip(*map(loosened, table["counts"].to_pylist()), strict=True))
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        first = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
+        a = np.add.reduceat(n[order], first)
+        columns = [left[first], right[first], a]
+        return pa.table([c[a >= least] for c in columns], names=["left", "right", "a"])
+
+    return parted.groupBy("part").applyInArrow(run, "left bigint, right bigint, a bigint")
+
+
 def with_names(counted: DataFrame) -> DataFrame:
     """left, right and a, and id: the name of the phrase."""
 
@@ -219,6 +259,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     counts = each.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("a"), F.first("w.names").alias("id"))
     of_chunk = F.aggregate("counts", F.lit(0).cast("bigint"), lambda total, n: total + n)
     totals = settle(words.groupBy("lang").agg(F.sum(of_chunk).alias("n")))
+    parts = max(PARTS, -(-(totals.agg(F.sum("n")).first()[0] or 0) // PART_WORDS))
     none, missing = F.array().cast("array<bigint>"), F.lit(None).cast("bigint")
     frequent = unique_names(counts.where(F.col("a") >= least))
     own = [missing.alias("left"), missing.alias("right"), "lang", F.array("word").alias("words"), "a", none.alias("heads"), none.alias("tails")]
@@ -226,8 +267,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     rel, read, held = words.select("names", "places"), words_in, context.broadcast(filter_of(frequent))
     written = words
     for length in range(2, longest + 1):
-        counted = groups(rel, read, held).groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        frequent = unique_names(with_names(counted))
+        frequent = unique_names(with_names(added_up(groups(rel, read, held, parts), least)))
         levels.append(settle(described(frequent, levels[-1])))
         if length < longest:
             longer = context.broadcast(filter_of(frequent))
